@@ -9,21 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm.exact_dedup import exact_duplicates
+from quizloom.llm.language_id import language_id
+from quizloom.llm.line_dedup import dedup_lines
 from quizloom.llm.mixing import mix_sources
+from quizloom.llm.ngram_join import ngram_jaccard_join
 from quizloom.llm.packing import pack_documents
+from quizloom.llm.quality import quality_scores
 from quizloom.llm.token_count import token_counts
+from quizloom.llm.toxicity import toxicity_scores
+from quizloom.llm.vector_dedup import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per copy drawn: doc_id, source, epoch, block, n_words, weight."""
     mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), target_entropy=0.95, max_repetition=4.0)
     return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_words"), F.round("_weight", 6).alias("weight"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_gone, text_sha256 (of the text that is left; null for a null text)."""
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_gone"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,10 +48,29 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, p_low_quality, p_toxic, toxic (p_toxic >= 0.5)."""
+    out = toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    p = F.col("_p")
+    return out.select("doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), (p[1] >= 0.5).alias("toxic"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -43,7 +78,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op4_pack_documents, op5_token_counts, op8_exact_dedup]
+    found = [
+        op1_language_id, op2_mix_sources, op3_line_dedup, op4_pack_documents, op5_token_counts, op6_embedding_near_dedup, op7_toxicity, op8_exact_dedup, op9_ngram_jaccard_join,
+        op10_quality,
+    ]
     return {f.__name__: f for f in found}
 
 
