@@ -94,15 +94,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of these bytes, A-Z as a-z."""
+def words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of these bytes, A-Z as a-z.
+
+    ``begins``: where the rows begin that stand here one after the other; no word crosses such a place.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = np.empty(len(data) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[data]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = ~_SPACE[data]
+    fresh = np.ones(len(data) + 1, bool)  # whether a word that has this byte can't go on from the one before
+    np.logical_not(inside[:-1], out=fresh[1:-1])
+    fresh[begins[begins < len(data)]] = True
+    start, end = np.flatnonzero(inside & fresh[:-1]), np.flatnonzero(inside & (fresh[1:] | np.append(~inside[1:], True))) + 1
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, len(data)), out=total[1:])
     shift = powers(inverse(_BYTE_BASE), len(data))

@@ -27,9 +27,9 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     """By blocks of rows: (bytes of the block, row, place among the row's lines, word start, word end, WordSums, byte start, byte end) of each line with words."""
     for a, z in slices(offsets, 1 << 20):
         own = data[offsets[a] : offsets[z]]
-        start, _, hashes = words(own)
-        feeds = np.flatnonzero(own == 10)
         begins = offsets[a:z] - offsets[a]
+        start, _, hashes = words(own, begins)
+        feeds = np.flatnonzero(own == 10)
         # A line begins after a feed and at the start of each row; empty rows begin where the next does.
         first = np.concatenate([begins, feeds + 1])
         row = np.concatenate([np.arange(a, z), a + np.searchsorted(begins, feeds, "right") - 1])

@@ -35,7 +35,7 @@ SAMPLE_DOCS = 3000
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: n consecutive words, or all words where there are fewer."""
     for a, z in slices(offsets, 1 << 20):
-        start, _, hashes = words(data[offsets[a] : offsets[z]])
+        start, _, hashes = words(data[offsets[a] : offsets[z]], offsets[a:z] - offsets[a])
         sums = WordSums(hashes)
         bounds = np.searchsorted(start, offsets[a : z + 1] - offsets[a])
         all_ = sums.run(np.arange(max(len(hashes) - n + 1, 0)), np.arange(n, len(hashes) + 1)) if len(hashes) >= n else np.zeros(0, np.uint64)

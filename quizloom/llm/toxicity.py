@@ -21,9 +21,9 @@ from quizloom.llm.linear import dual_coordinate_descent, margins, platt
 from quizloom.llm.quality import labelled_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Lengths of the word beginnings that are features beside whole words; a feature counts if so many training texts have it, and if its
-#: frequency differs between the classes by so many standard errors.
-BEGINNINGS, LEAST_TEXTS, LEAST_Z = (4, 5, 6), 3, 3.0
+#: Lengths of the word beginnings that are features beside whole words; a feature counts if so many training texts have it, and if the
+#: log-likelihood ratio (G) of its counts in the two classes reaches this: by chance about one feature in 100,000 does.
+BEGINNINGS, LEAST_TEXTS, LEAST_G = (4, 5, 6), 3, 20.0
 FOLDS = 3
 
 
@@ -56,6 +56,12 @@ class Link:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(features, before) + self.b, -50, 50))))
 
 
+def _g(a: int, b: int, n1: int, n0: int) -> float:
+    """G of the table of texts with (a of n1, b of n0) and without the feature."""
+    p = (a + b) / (n1 + n0)
+    return 2 * sum(o * np.log(o / e) for o, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))) if o)
+
+
 def _fit(name: str, sets: list[set[str]], positive: np.ndarray, before: np.ndarray) -> Link:
     """One linear model: words that tell the classes apart, scaled by their log ratios, and the earlier probabilities."""
     n1, n0 = int(positive.sum()), int((~positive).sum())
@@ -68,8 +74,7 @@ def _fit(name: str, sets: list[set[str]], positive: np.ndarray, before: np.ndarr
     for f in sorted(in1.keys() | in0.keys()):
         a, b = in1[f], in0[f]
         if a + b >= LEAST_TEXTS:
-            p = (a + b) / (n1 + n0)
-            if abs(a / n1 - b / n0) > LEAST_Z * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5:
+            if _g(a, b, n1, n0) > LEAST_G:
                 index[f] = len(index)
                 ratio.append(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
     scale = np.array(ratio) / 3.0 if ratio else np.zeros(0)
