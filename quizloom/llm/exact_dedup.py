@@ -33,13 +33,16 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
     floor = max(64, int(df.count() * hot_part))
     hot = rows.groupBy("_hash").count().where(F.col("count") > floor).select("_hash", F.lit(True).alias("_hot"))
-    rows = rows.join(F.broadcast(hot), "_hash", "left").select("_id", "_text", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(HOT_SALTS)) + 1).otherwise(0).alias("_salt"))
+    rows = rows.join(F.broadcast(hot), "_hash", "left").select("_id", "_text", "_hash", F.substring("_text", 1, 16).alias("_begin"), F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(HOT_SALTS)) + 1).otherwise(0).alias("_salt"))
 
     first = F.desc_nulls_last if keep == "largest" else F.asc_nulls_last
     best = F.max if keep == "largest" else F.min
-    dealt = rows.repartitionByRange("_text", "_salt").sortWithinPartitions("_text", "_salt", first("_id"))
+    # Ranges begin at a text's first characters; a 64-bit hash parts texts that share them, so that the sampled splitters that come to
+    # the driver stay short. Whole texts are sorted and compared behind both.
+    order = ["_begin", "_hash", "_salt", "_text"]
+    dealt = rows.repartitionByRange("_begin", "_hash", "_salt").sortWithinPartitions(*order, first("_id"))
     # The windows need what the sort has made: rows of one text and salt together, the best id first.
-    same = Window.partitionBy("_text", "_salt")
+    same = Window.partitionBy(*order)
     found = dealt.select(
         "_id", "_salt", F.sha2("_text", 256).alias("text_sha256"),
         F.row_number().over(same.orderBy(first("_id"))).alias("_nth"),
@@ -47,7 +50,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     spread = dealt.where("_salt > 0").groupBy("_text").agg(best("_id").alias("_hot_best"), F.count(F.lit(1)).alias("_hot_n"))
     spread = spread.select(F.sha2("_text", 256).alias("_sha"), "_hot_best", "_hot_n")
-    out = found.join(F.broadcast(spread), (F.col("_salt") > 0) & (F.col("text_sha256") == F.col("_sha")), "left")
+    out = found.join(F.broadcast(spread), (F.col("_salt") > 0) & F.col("text_sha256").eqNullSafe(F.col("_sha")), "left")
     keep_id = F.when(F.col("_salt") > 0, F.col("_hot_best")).otherwise(F.col("_best"))
     return out.select(
         F.col("_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("_hot_n", "_n").alias("group_size"),
