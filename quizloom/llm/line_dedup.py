@@ -50,6 +50,11 @@ def _repeat(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def shared_words(m: np.ndarray) -> np.ndarray:
+    """Up to half of m words, rounded down to a multiple of 4 so that neighbouring lengths mostly agree; at least 1."""
+    return np.maximum(m // 8 * 4, np.minimum(m // 2, 3))
+
+
 def _line_keys(least_words: int):
     """(doc, place, line hash, half keys) of each line that counts."""
 
@@ -61,13 +66,16 @@ def _line_keys(least_words: int):
                 if not len(k):
                     continue
                 w0, w1, n = w0[k], w1[k], n[k]
-                # Of two near lines the shorter has m words, m or m - 1 of the longer; they agree in the first or in the last m // 2 words.
-                keys = []
-                for tag, m in ((1, n), (1, n - 1), (2, n), (2, n - 1)):
-                    h = m // 2
+                # Of two near lines the shorter has m words, n or n - 1 for a line of n; they agree in their first or in their last
+                # shared_words(m) words. Mostly that is one number for n and n - 1.
+                keys, used = [], []
+                for tag, m in ((1, n), (2, n), (1, n - 1), (2, n - 1)):
+                    h = shared_words(m)
                     keys.append(mixed((sums.run(w0, w0 + h) if tag == 1 else sums.run(w1 - h, w1)) + np.uint64(tag)))
-                halves = np.stack(keys, 1).astype(np.int64).reshape(-1)
-                ends = pa.array(np.arange(len(k) + 1) * 4, pa.int32())
+                    used.append(np.ones(len(k), bool) if m is n else h != shared_words(n))
+                used = np.stack(used, 1)
+                halves = np.stack(keys, 1).view(np.int64)[used]
+                ends = pa.array(np.concatenate([[0], np.cumsum(used.sum(1))]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(row[k])), pa.array(place[k]), pa.array(sums.run(w0, w1).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(halves))],
                     names=["doc", "place", "line", "halves"],
@@ -181,8 +189,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     out = df.join(gone, F.col(id_col).cast("long") == F.col("doc"), "left")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), F.col("_places")))
-    # A closure over ``lines`` would split the text for each line; a struct holds the split lines once.
-    kept = F.transform(left, lambda i: F.get(F.col("_split"), i.cast("int")))
-    out = out.withColumn("_split", F.when(F.col("_places").isNotNull(), lines))
+    # The one-element array binds the split lines to a name; else the text would be split again for each line.
+    kept = F.get(F.transform(F.array(lines), lambda split: F.transform(left, lambda i: F.get(split, i.cast("int")))), F.lit(0))
     text = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.withColumns({text_col: text, "_lines": n.cast("long"), "_gone": F.coalesce(F.size("_places"), F.lit(0)).cast("long")}).select(*[f"`{c}`" for c in df.columns], "_lines", "_gone")
