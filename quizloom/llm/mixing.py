@@ -115,7 +115,7 @@ def mix_sources(
     )
     plan = staged(plan, "mixing-plan")
 
-    def placed(rows: DataFrame) -> DataFrame:
+    def placed(rows: DataFrame, plan: DataFrame = plan) -> DataFrame:
         """With the document's block, and its block's and its own place in the epoch that is cut."""
         rows = rows.join(plan, F.col("_src").eqNullSafe(F.col("_psrc"))).withColumn("_block", F.pmod(_draw(F.lit(seed), F.lit("block"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.col("_blocks")))
         return rows.withColumns({
@@ -133,9 +133,11 @@ def mix_sources(
     upto = F.sum("_tok").over(Window.partitionBy("_src").orderBy("_in", "_id"))
     last = inside.withColumn("_upto", upto).where("_upto <= _room").groupBy("_src").agg(F.max(F.struct("_in", "_id")).alias("_last"))
     cut = crossed.join(last.withColumnRenamed("_src", "_lsrc"), F.col("_csrc").eqNullSafe(F.col("_lsrc")), "left").select("_csrc", "_cblock", "_cat", "_last")
+    # Written out, the table of sources has a known size, by which Spark decides whether it can go to all executors.
+    plan = staged(plan.join(cut, F.col("_psrc").eqNullSafe(F.col("_csrc")), "left"), "mixing-cuts")
 
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), n_words(F.col(text_col)).alias("_tok"))
-    drawn = placed(whole).join(cut, F.col("_src").eqNullSafe(F.col("_csrc")), "left")
+    drawn = placed(whole, plan)
     before = (F.col("_at") < F.col("_cat")) | ((F.col("_at") == F.col("_cat")) & (F.col("_block") < F.col("_cblock")))
     here = (F.col("_at") == F.col("_cat")) & (F.col("_block") == F.col("_cblock")) & (F.struct("_in", "_id") <= F.col("_last"))
     copies = F.col("_epochs") + F.when(F.col("_rest") > 0, F.coalesce(before | here, F.lit(False)).cast("long")).otherwise(0)
