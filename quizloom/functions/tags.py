@@ -55,8 +55,10 @@ def suggest_tags(text: Column, answer: Column | None = None) -> Column:
             era = F.when(h.rlike(rf"\b{years}\b"), name).otherwise(era)
         return F.struct(found.alias("found"), era.alias("era"))
 
-    # The one-element array binds the lower-cased text to a name, so that it is computed once.
-    both = F.get(F.transform(F.array(hay), scored), F.lit(0))
-    found, era = both["found"], both["era"]
-    with_era = F.when(~F.arrays_overlap(found, F.array(*map(F.lit, ERAS))) & era.isNotNull(), F.concat(found, F.array(era))).otherwise(found)
-    return F.slice(F.when(F.size(with_era) == 0, F.array(F.lit(DEFAULT_TAG))).otherwise(with_era), 1, MOST_TAGS)
+    def finished(both: Column) -> Column:
+        found, era = both["found"], both["era"]
+        with_era = F.when(~F.arrays_overlap(found, F.array(*map(F.lit, ERAS))) & era.isNotNull(), F.concat(found, F.array(era))).otherwise(found)
+        return F.slice(F.when(F.size(with_era) == 0, F.array(F.lit(DEFAULT_TAG))).otherwise(with_era), 1, MOST_TAGS)
+
+    # One-element arrays bind the lower-cased text, and then what was found in it, to names, so that each is computed once.
+    return F.get(F.transform(F.transform(F.array(hay), scored), finished), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions.text import recover_spaces
 from quizloom.functions.web import html_text, is_boilerplate, is_document, join_url, normalize_doc_url, page_links, page_title, url_host
+from quizloom.sources.scratch import staged
 
 DEFAULT_DELAY, LEAST_DELAY = 10.0, 1.0
 MAX_DEPTH, MAX_PAGES = 3, 600
@@ -22,7 +23,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, position, link): each page's links once, absolute, without fragment, http(s) only, document viewers rewritten."""
     raw = pages.select("page_id", "url", F.posexplode(page_links(F.col("html"))).alias("position", "href"))
     raw = raw.where(~F.col("href").rlike("^(?:$|#|mailto:|tel:|javascript:)"))
-    links = raw.select("page_id", "position", normalize_doc_url(join_url(F.col("url"), F.col("href"))).alias("link")).where(F.col("link").rlike("^https?:"))
+    joined = raw.select("page_id", "position", join_url(F.col("url"), F.col("href")).alias("_joined")).where(F.col("_joined").rlike("^https?:"))
+    links = joined.select("page_id", "position", normalize_doc_url(F.col("_joined")).alias("link"))
     return links.groupBy("page_id", "link").agg(F.min("position").alias("position"))
 
 
@@ -44,11 +46,12 @@ def crawl_frontier(links: DataFrame, sources: DataFrame, seeds: DataFrame, *, ma
     """
     hosts = seeds.select(url_host(F.col("url")).alias("host")).distinct().union(seeds.sparkSession.createDataFrame([(h,) for h in document_hosts], "host string")).distinct()
     good = links.select("url", "link", url_host(F.col("link")).alias("host")).where(~is_boilerplate(F.col("link"))).join(hosts, "host", "left_semi").select("url", "link").distinct()
-    seen = seeds.select("url", F.lit(0).alias("depth"))
+    good = staged(good, "links")
+    seen = staged(seeds.select("url", F.lit(0).alias("depth")), "level")
     level = seen
     for depth in range(1, max_depth + 1):
         found = level.select("url").join(good, "url").select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        level = found.select("url", F.lit(depth).alias("depth"))
+        level = staged(found.select("url", F.lit(depth).alias("depth")), "level")
         seen = seen.union(level)
     pending = sources.where("status = 'pending'").select("url", "depth")
     fetched = sources.where("status != 'pending'").select("url")
@@ -83,7 +86,7 @@ def strip_repeated_lines(doc_pages: DataFrame) -> DataFrame:
     In documents of three pages or more, lines under 90 characters among the first or last two of a page count as furniture if
     they stand so on half of the pages (three at least).
     """
-    lines = F.filter(F.transform(F.split("text", r"\n"), F.trim), lambda t: t != "")
+    lines = F.filter(F.transform(F.split("text", r"\n"), lambda t: F.trim(t)), lambda t: t != "")
     edge = F.filter(F.concat(F.slice(lines, 1, 2), F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 2)), lambda t: F.length(t) < 90)
     counts = doc_pages.select("doc_id", F.explode(edge).alias("line")).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
     pages = doc_pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))

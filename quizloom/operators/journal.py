@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quizloom.sources.scratch import staged
+
 EVENT = (
     "kind string, sessionId long, userId long, userName string, format string, origin string, difficulty string, filters struct<tags:array<string>,mode:string>, startedAt string, "
     "attemptId long, questionId long, buzzClueOrdinal int, clueCount int, response string, verdict string, judgedBy string, latencyMs long, createdAt string, endedAt string"
@@ -109,10 +111,11 @@ def apply_session_ends(sessions: DataFrame, events: DataFrame, session_map: Data
 
 
 def restore(events: DataFrame, users: DataFrame, sessions: DataFrame, attempts: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
-    """The replayed tables, and a report of one row; nothing is written, so it is a dry run until the caller writes the tables."""
-    people = resolve_users(events, users)
-    mapped = resolve_sessions(events, sessions, people)
-    outcomes = restore_attempts(events, attempts, mapped, questions)
+    """The replayed tables, and a report of one row; none of the bank's tables is written, so it is a dry run until the caller writes them."""
+    events = staged(events.drop("line"), "events")  # each of these is read several times
+    people = staged(resolve_users(events, users), "people")
+    mapped = staged(resolve_sessions(events, sessions, people), "mapped")
+    outcomes = staged(restore_attempts(events, attempts, mapped, questions), "outcomes")
     new_users = people.where("created").select("user_id", "name").distinct()
     new_sessions = mapped.where("added").select("session_id", "started_at", "format", "filters_json", "user_id", F.lit(None).cast("string").alias("ended_at")).distinct()
     all_sessions = apply_session_ends(sessions.unionByName(new_sessions, allowMissingColumns=True), events, mapped)

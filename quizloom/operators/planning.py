@@ -143,7 +143,7 @@ def validate_generated(items: DataFrame, fmt: str, bank: DataFrame | None = None
     d = items.select("item_id", F.from_json("json", ITEM).alias("d"))
     text = lambda c: F.trim(F.coalesce(F.col(f"d.{c}"), F.lit("")))
     if fmt == "tossup":
-        middles = F.slice(F.filter(F.transform(F.coalesce("d.middle", F.array().cast("array<string>")), F.trim), lambda m: m != ""), 1, 3)
+        middles = F.slice(F.filter(F.transform(F.coalesce("d.middle", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda m: m != ""), 1, 3)
         one = lambda tier, t: F.array(F.struct(F.lit(tier).alias("tier"), t.alias("text")))
         clues = F.concat(one("leadin", text("leadin")), F.transform(middles, lambda m: F.struct(F.lit("middle").alias("tier"), m.alias("text"))), one("giveaway", text("giveaway")))
         rows = d.select("item_id", text("answer").alias("answer"), clues.alias("clues")).withColumn("body", F.array_join(F.transform("clues", lambda c: c["text"]), " "))

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CORRECT = F.col("verdict") == "correct"
+
+def is_correct() -> Column:
+    return F.col("verdict") == "correct"
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -24,7 +26,7 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
 def overview(attempts: DataFrame, sessions: DataFrame, questions: DataFrame) -> DataFrame:
     """Per user: attempts, correct, accuracy, sessions, mean buzz position, and the size of the bank."""
     position = F.when(F.col("buzz_ordinal").isNotNull() & (F.col("clue_count") > 1), F.col("buzz_ordinal") / (F.col("clue_count") - 1))
-    done = attempts.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(CORRECT).alias("correct"), F.round(F.avg(position), 6).alias("mean_buzz"))
+    done = attempts.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(is_correct()).alias("correct"), F.round(F.avg(position), 6).alias("mean_buzz"))
     held = sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
     bank = questions.agg(F.count(F.lit(1)).alias("bank_questions"), F.count_if(F.col("origin") == "official").alias("bank_official"))
     users = held.join(done, "user_id", "full").na.fill(0, ["attempts", "correct", "sessions"])
@@ -34,21 +36,21 @@ def overview(attempts: DataFrame, sessions: DataFrame, questions: DataFrame) ->
 
 def recent_sessions(attempts: DataFrame, sessions: DataFrame, limit: int = 12) -> DataFrame:
     """Per user the newest sessions that have an attempt."""
-    counts = attempts.groupBy("session_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(CORRECT).alias("correct"))
+    counts = attempts.groupBy("session_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(is_correct()).alias("correct"))
     held = sessions.join(counts, "session_id")
     return top_per(held, ["user_id"], [F.desc("started_at"), F.desc("session_id")], limit)
 
 
 def accuracy_by_tag(attempts: DataFrame, question_tags: DataFrame, min_attempts: int = 1) -> DataFrame:
     """Per user and tag; an attempt counts once for each of its question's tags. Counts per question are combined before the tags fan out."""
-    per_question = attempts.groupBy("user_id", "question_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(CORRECT).alias("correct"))
+    per_question = attempts.groupBy("user_id", "question_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(is_correct()).alias("correct"))
     per_tag = per_question.join(question_tags, "question_id").groupBy("user_id", "tag").agg(F.sum("attempts").alias("attempts"), F.sum("correct").alias("correct"))
     return per_tag.where(F.col("attempts") >= min_attempts).withColumn("accuracy", ratio(F.col("correct"), F.col("attempts")))
 
 
 def weak_areas(attempts: DataFrame, question_tags: DataFrame, min_attempts: int = 4, limit: int = 6) -> DataFrame:
     """Per user the worst tags below the user's own accuracy, each with the number of its questions that the user has not seen."""
-    own = attempts.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(CORRECT).alias("_c")).select("user_id", ratio(F.col("_c"), F.col("_n")).alias("overall"))
+    own = attempts.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_correct()).alias("_c")).select("user_id", ratio(F.col("_c"), F.col("_n")).alias("overall"))
     weak = accuracy_by_tag(attempts, question_tags, min_attempts).join(own, "user_id").where("accuracy < overall")
     weak = top_per(weak, ["user_id"], [F.asc("accuracy"), F.desc("attempts"), F.asc("tag")], limit)
     totals = question_tags.groupBy("tag").agg(F.countDistinct("question_id").alias("_all"))
@@ -69,7 +71,7 @@ def tag_resources(tags: DataFrame, sources: DataFrame, source_tags: DataFrame, p
 
 def most_missed(attempts: DataFrame, limit: int = 10) -> DataFrame:
     """Per user the questions most often not answered correctly."""
-    per = attempts.groupBy("user_id", "question_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(~CORRECT).alias("misses")).where("misses > 0")
+    per = attempts.groupBy("user_id", "question_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(~is_correct()).alias("misses")).where("misses > 0")
     return top_per(per, ["user_id"], [F.desc("misses"), F.desc("attempts"), F.asc("question_id")], limit)
 
 

@@ -40,5 +40,6 @@ def set_tags(question_tags: DataFrame, tags: DataFrame, new: DataFrame) -> tuple
 def top_up_tags(model_tags: Column, text: Column, answer: Column) -> Column:
     """A model's categories; if fewer than two, keyword guesses up to three; five at most."""
     given = F.filter(model_tags, lambda t: F.trim(t) != "")
-    more = F.slice(F.array_union(given, suggest_tags(text, answer)), 1, 3)
-    return F.slice(F.when(F.size(given) < 2, more).otherwise(given), 1, 5)
+    few = F.size(given) < 2
+    guesses = suggest_tags(F.when(few, text), F.when(few, answer))  # an empty text costs nothing to look through
+    return F.slice(F.when(few, F.slice(F.array_union(given, guesses), 1, 3)).otherwise(given), 1, 5)

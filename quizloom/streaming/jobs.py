@@ -55,6 +55,6 @@ def stream_lockouts(events: DataFrame, threshold: int = 8, window: str = "15 min
 
 def stream_inbox(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*.{html,htm,txt}") -> StreamingQuery:
     """Take in the files that wait in a folder, then stop: each batch is extracted row by row, errors kept in their rows, and given to ``sink``."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where(F.col("length") <= MOST_BYTES)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder).where(F.col("length") <= MOST_BYTES)
     files = files.select("path", "content", F.col("length").alias("bytes"))
     return files.writeStream.foreachBatch(lambda batch, epoch: sink(extract_uploads(batch), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
