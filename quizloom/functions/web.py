@@ -27,12 +27,20 @@ def any_of(text: Column, parts: list[str]) -> Column:
     return found
 
 
+# By pattern and not by a URL parser: links of real pages break its rules (stray per cent signs, spaces), and still have a host.
+_HOST, _PATH, _QUERY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", r"\?([^#]*)"
+
+
 def url_host(url: Column) -> Column:
-    return F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
-    return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, _PATH, 1), F.lit(""))
+
+
+def url_query(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, _QUERY, 1), F.lit(""))
 
 
 def detect_kind(url: Column, content_type: Column, content: Column) -> Column:
@@ -75,7 +83,7 @@ def is_document(url: Column, document_hosts: list[str] = ()) -> Column:
 
 def normalize_doc_url(url: Column) -> Column:
     """Viewer pages of Google Docs and Drive, as the addresses that return the document itself."""
-    host, path, query = url_host(url), url_path(url), F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    host, path, query = url_host(url), url_path(url), url_query(url)
     doc, file = F.regexp_extract(path, r"/document/d/([A-Za-z0-9_-]+)", 1), F.regexp_extract(path, r"/file/d/([A-Za-z0-9_-]+)", 1)
     opened = F.regexp_extract(F.concat(F.lit("?"), query), r"[?&]id=([A-Za-z0-9_-]+)", 1)
     some = F.when(file != "", file).when(opened != "", opened)
@@ -142,7 +150,7 @@ def display_name(source_id: Column, title: Column, url: Column) -> Column:
     parts = F.filter(F.split(url_path(url), "/"), lambda p: (p != "") & ~F.lower(p).isin(GENERIC_PARTS))
     last = F.get(parts, F.size(parts) - 1)
     decoded = F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
-    by_id = F.nullif(F.regexp_extract(F.concat(F.lit("?"), F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))), r"[?&]id=([^&]*)", 1), F.lit(""))
+    by_id = F.nullif(F.regexp_extract(F.concat(F.lit("?"), url_query(url)), r"[?&]id=([^&]*)", 1), F.lit(""))
     return F.coalesce(F.nullif(F.trim(title), F.lit("")), decoded, by_id, url)
 
 

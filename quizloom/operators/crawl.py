@@ -45,6 +45,8 @@ def crawl_frontier(links: DataFrame, sources: DataFrame, seeds: DataFrame, *, ma
     is no boilerplate, and it was not met before. Pending sources stay in. The limit is the crawl's page budget.
     """
     hosts = seeds.select(url_host(F.col("url")).alias("host")).distinct().union(seeds.sparkSession.createDataFrame([(h,) for h in document_hosts], "host string")).distinct()
+    # Written out first: the filters below would else be pushed into the expressions that make the links, and repeat them for each test.
+    links = staged(links.select("url", "link").distinct(), "links")
     good = links.select("url", "link", url_host(F.col("link")).alias("host")).where(~is_boilerplate(F.col("link"))).join(hosts, "host", "left_semi").select("url", "link").distinct()
     good = staged(good, "links")
     seen = staged(seeds.select("url", F.lit(0).alias("depth")), "level")

@@ -101,7 +101,18 @@ def _seeds(spark, d):
     return table(spark, d, "pages").where("page_id % 10 = 0").select("url")
 
 
-@query()
+_HOST = "regexp_extract({}, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(
+    _LINKS.replace("WITH tags", "WITH RECURSIVE tags")
+    + f""", seeds AS (SELECT DISTINCT url FROM pages WHERE page_id % 10 = 0), good AS (SELECT DISTINCT p.url, l.link FROM links l JOIN pages p USING (page_id) WHERE NOT {_BOILER.replace("(url,", "(l.link,")}
+    AND ({_HOST.format("l.link")} IN (SELECT {_HOST.format("url")} FROM seeds) OR {_HOST.format("l.link")} IN ('docs.google.com', 'drive.google.com'))),
+    walk AS (SELECT url, 0 AS depth FROM seeds UNION SELECT g.link, w.depth + 1 FROM walk w JOIN good g ON g.url = w.url WHERE w.depth < 3),
+    todo AS (SELECT url, CAST(min(depth) AS INT) AS depth FROM (SELECT * FROM walk UNION ALL SELECT url, 1 FROM pages WHERE page_id % 2 = 1) GROUP BY 1)
+    SELECT url, {_HOST.format("url")} AS host, depth, regexp_matches(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '\\.(pdf|docx|doc|txt|rtf)$') AS is_document FROM todo
+    WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) ORDER BY is_document DESC, depth, url LIMIT 600"""
+)
 def crawl_frontier(spark, d):
     """The walk from each tenth page; pages are the known sources, those with even ids fetched."""
     pages = table(spark, d, "pages")
@@ -110,7 +121,7 @@ def crawl_frontier(spark, d):
     return crawl.crawl_frontier(links, known, _seeds(spark, d))
 
 
-_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+_HOST = _HOST.format("url")
 
 
 @query(f"""SELECT page_id, url, host, CAST(depth AS INT) AS depth, is_document, (row_number() OVER (PARTITION BY host ORDER BY is_document DESC, depth, url) - 1) * CASE WHEN length(host) % 2 = 0 THEN 2.5::DOUBLE ELSE 10::DOUBLE END AS earliest_s
@@ -250,11 +261,11 @@ def fingerprint_dedup_incremental(spark, d):
     return dedup.dedup_exact_incremental(rows.where("question_id % 2 = 1"), rows.where("question_id % 2 = 0")).select("question_id", "fingerprint")
 
 
-def _tag_sql(hay: str) -> str:
+def _tag_sql(hay: str, rows: str = "documents") -> str:
     hits = ", ".join(f"{{'less': -({' + '.join(f'(contains(h, {chr(39)}{t}{chr(39)}))::INT' for t in terms)}), 'tag': '{tag}'}}" for tag, terms in tag_functions.RULES.items())
     eras = "CASE " + " ".join(f"WHEN regexp_matches(h, '\\b{y}\\b') THEN '{e}'" for y, e in tag_functions.ERA_YEARS) + " END"
     names = "[" + ", ".join(f"'{e}'" for e in tag_functions.ERAS) + "]"
-    return f"""WITH t AS (SELECT doc_id, lower({hay}) AS h FROM documents), s AS (SELECT doc_id, h, list_sort(list_filter([{hits}], lambda x: x.less < 0)) AS l FROM t),
+    return f"""WITH t AS (SELECT doc_id, lower({hay}) AS h FROM {rows}), s AS (SELECT doc_id, h, list_sort(list_filter([{hits}], lambda x: x.less < 0)) AS l FROM t),
     f AS (SELECT doc_id, list_transform(l[1:5], lambda x: x.tag) AS found, {eras} AS era FROM s), e AS (SELECT doc_id, CASE WHEN NOT list_has_any(found, {names}) AND era IS NOT NULL THEN list_append(found, era) ELSE found END AS found FROM f)
     SELECT doc_id, array_to_string((CASE WHEN len(found) = 0 THEN ['World History'] ELSE found END)[1:5], '|') AS tags FROM e"""
 
@@ -281,7 +292,11 @@ def tag_untagged(spark, d):
     return tagging.tag_untagged(rows, rows.where("question_id % 3 = 0").select("question_id"))
 
 
-@query()
+@query(
+    "SELECT doc_id AS source_id, unnest(string_split(tags, '|')) AS tag FROM ("
+    + _tag_sql("concat_ws(' ', title, url, left(text, 4000)) || ' '", "(" + with_("sources") + "SELECT s.*, d.text, d.doc_id FROM sources s JOIN documents d ON d.doc_id = s.source_id WHERE kind IN ('studyguide', 'index', 'rules') AND doc_id % 8 <> 0)")
+    + ")"
+)
 def tag_sources(spark, d):
     texts = documents(spark, d).withColumnRenamed("doc_id", "source_id")
     return tagging.tag_sources(sources(spark, d), texts, texts.select("source_id").where("source_id % 8 = 0"))
@@ -366,12 +381,17 @@ def reset_parsed(spark, d):
 # Near duplicates and the index ------------------------------------------------------------------------------------------
 
 _TOK = f"list_filter(string_split({norm_sql('text')}, ' '), lambda t: t <> '')"
-_INDEX = f"""idx AS (SELECT item_id AS doc_id, term, count(*) AS tf, length FROM (SELECT item_id, unnest({_TOK}) AS term, len({_TOK}) AS length FROM benchmark) GROUP BY ALL),
+def _index_sql(text: str = "text") -> str:
+    own = f"list_filter(string_split({norm_sql(text)}, ' '), lambda t: t <> '')"
+    return f"""idx AS (SELECT item_id AS doc_id, term, count(*) AS tf, length FROM (SELECT item_id, unnest({own}) AS term, len({own}) AS length FROM benchmark) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT doc_id, length FROM idx)), dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM idx GROUP BY 1),
 q AS (SELECT doc_id AS query_id, list_distinct(list_filter(({_TOK})[1:12], lambda t: length(t) >= 4)) AS terms FROM documents), asked AS (SELECT query_id, unnest(terms) AS term FROM q WHERE len(terms) >= 4),
 scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score FROM asked JOIN idx USING (term) JOIN dfs USING (term), stats GROUP BY 1, 2)"""
 
 
+_INDEX = _index_sql()
+
+
 def bank_index(spark, d):
     return dedup.build_text_index(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("body")))
 
@@ -417,7 +437,10 @@ def _near_by_text(new, bank):
     return same.groupBy(F.col("query_id").alias("question_id")).agg(F.min_by("doc_id", "rank").alias("duplicate_of"))
 
 
-@query()
+@query(
+    f"""WITH {_index_sql("text || ' The passage'")}, top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+    SELECT query_id AS question_id, arg_min(doc_id, rank) AS duplicate_of FROM top WHERE rank <= 5 AND score > 4 GROUP BY 1"""
+)
 def find_near_duplicates(spark, d):
     new = documents(spark, d).select(F.col("doc_id").alias("question_id"), F.lit("tossup").alias("type"), F.lit("passage").alias("answer"), F.col("text").alias("body"))
     bank = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("tossup").alias("type"), F.lit("The passage").alias("answer"), F.col("text").alias("body"))
@@ -459,12 +482,25 @@ def similarity_pairs(spark, d):
     return name_pairs(spark, d).select("attempt_id", F.round(similarity(F.col("response"), F.col("answer")), 6).alias("similarity"))
 
 
-@query()
+def _judge_sql() -> str:
+    near = "(list_contains({l}, t) OR (length(t) >= 5 AND len(list_filter({l}, lambda x: length(x) >= 4 AND 1 - levenshtein(t, x) / greatest(length(t), length(x)) >= 0.82)) > 0))"
+    hits = "len(list_filter(r, lambda t: " + near.format(l="s") + "))"
+    # Part names are two words, none of them generic or a number: then all distinctive words, all words and a leading part are one case.
+    return f"""WITH p AS (SELECT a.p_partkey AS attempt_id, a.p_name AS x, b.p_name AS y, string_split(a.p_name, ' ') AS s, string_split(b.p_name, ' ') AS r FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+    m AS (SELECT *, x = y AS same, {hits} = len(r) AS every, {hits} > 0 AS shared, 1 - levenshtein(x, y) / greatest(length(x), length(y)) AS close FROM p)
+    SELECT attempt_id, same OR every OR (NOT shared AND close < 0.55) AS decided, CASE WHEN same OR every THEN 'correct' WHEN NOT shared AND close < 0.55 THEN 'incorrect' END AS verdict,
+    CASE WHEN same THEN 'exact' WHEN every OR (NOT shared AND close < 0.55) THEN 'fuzzy' END AS judged_by,
+    CASE WHEN same THEN 'exact match' WHEN every THEN 'matched on ' || array_to_string(r, ' + ') WHEN shared THEN 'partial token overlap' WHEN close < 0.55 THEN 'no overlap' ELSE 'close spelling' END AS reason FROM m"""
+
+
+@query(_judge_sql())
 def judge_offline(spark, d):
     return grading.judge_offline(name_pairs(spark, d))
 
 
-@query()
+@query(
+    f"""SELECT attempt_id, coalesce(verdict, CASE WHEN reason = 'partial token overlap' THEN 'correct' ELSE 'incorrect' END) AS verdict, coalesce(judged_by, 'fuzzy') AS judged_by, CASE WHEN decided THEN reason ELSE reason || ' (judged offline)' END AS reason FROM ({_judge_sql()})"""
+)
 def resolve_undecided(spark, d):
     return grading.resolve_undecided(grading.judge_offline(name_pairs(spark, d)))
 
@@ -514,19 +550,26 @@ def bullets(spark, d):
     return part.select(F.col("p_partkey").alias("source_id"), F.concat(F.lit("Chapter one\n- "), "a", F.lit(" - "), "b", F.lit("\n- The End - THE BEE BOWL")).alias("text"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS source_id, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])) AS w, upper(p_type[1]) || lower(p_type[2:]) AS k FROM part),
+_TOPICS = """WITH t AS (SELECT p_partkey AS source_id, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])) AS w, upper(p_type[1]) || lower(p_type[2:]) AS k FROM part),
     n AS (SELECT source_id, array_to_string(w, ' ') AS a, k || ' Of ' || array_to_string(w, ' ') AS b FROM t), u AS (SELECT a AS topic, source_id, 1 AS line, 1 AS pos FROM n UNION ALL SELECT b, source_id, 1, 2 FROM n),
-    f AS (SELECT topic, min((source_id, line, pos)) AS m FROM u GROUP BY 1) SELECT topic, m[1] AS source_id FROM f ORDER BY source_id, m[3] LIMIT 4000""")
+    f AS (SELECT topic, min((source_id, line, pos)) AS m FROM u GROUP BY 1), topics AS (SELECT topic, m[1] AS source_id, m[3] AS pos FROM f ORDER BY source_id, pos LIMIT 4000)"""
+
+
+@query(_TOPICS + " SELECT topic, source_id FROM topics")
 def study_topics(spark, d):
     return planning.study_topics(bullets(spark, d)).select("topic", "source_id")
 
 
-@query()
+@query(_TOPICS + " SELECT topic, source_id FROM topics WHERE lower(topic) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey <= 99 AND p_partkey % 3 <> 0)")
 def unused_topics(spark, d):
     return planning.unused_topics(planning.study_topics(bullets(spark, d)), questions(spark, d)).select("topic", "source_id")
 
 
-@query()
+@query(
+    _TOPICS
+    + """, h AS (SELECT topic, row_number() OVER (ORDER BY source_id, pos) - 1 AS n FROM topics ORDER BY n LIMIT 69)
+    SELECT CAST(n // 5 AS INT) AS slice, count(*) AS count, string_agg((n % 5 + 1) || '. ' || topic, chr(10) ORDER BY n) AS listing FROM h GROUP BY 1"""
+)
 def topic_requests(spark, d):
     return planning.topic_requests(planning.study_topics(bullets(spark, d)), 40)
 

@@ -202,7 +202,10 @@ def stream_lockouts(spark, d):
     return closed.withColumns({"from": F.col("from").cast("timestamp_ntz"), "to": F.col("to").cast("timestamp_ntz")})
 
 
-@query()
+@query(
+    """SELECT event_id AS attempt_id, user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS question_id,
+    CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'correct' ELSE 'incorrect' END AS verdict, NULL::INT AS buzz_ordinal, NULL::INT AS clue_count, date_trunc('second', ts) AS created_at FROM events"""
+)
 def stream_journal(spark, d):
     """The journal of ``events``, written as text and read back as a stream: each attempt once."""
     folder = _folder(spark, "journal")
@@ -212,7 +215,7 @@ def stream_journal(spark, d):
     found = jobs.stream_journal(spark, folder, "60 days")
     out = f"{folder}-out"
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out)
+    return spark.read.schema(found.schema).parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("SELECT 'questions' AS name, count(*) AS rows FROM part WHERE p_partkey <= 99 UNION ALL SELECT 'question_tags', count(*) FROM (SELECT p_partkey, p_type FROM part WHERE p_partkey <= 99 UNION SELECT p_partkey, p_brand FROM part WHERE p_partkey <= 99)")
