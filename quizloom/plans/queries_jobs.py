@@ -89,6 +89,43 @@ def history_diff(spark, d):
     return journal.history_diff(journal_events(spark, d), sessions(spark, d), attempts(spark, d))
 
 
+@query("SELECT user_id, count(DISTINCT ts::DATE) AS sessions, count(*) AS attempts FROM events GROUP BY 1")
+def history_by_profile(spark, d):
+    held = sessions(spark, d)
+    return journal.history_by_profile(held.select("user_id").distinct(), held, attempts(spark, d).drop("user_id"))
+
+
+@query("SELECT 'user ' || (user_id % 120) AS profile, strftime(ts, '%Y-%m-%d') AS started_at, count(DISTINCT user_id) AS journal_sessions FROM events GROUP BY 1, 2")
+def resolve_sessions(spark, d):
+    """How many of the journal's sessions come to be one: same profile, day, format and filters."""
+    events, (users, held, _) = journal_events(spark, d), empty_tables(spark)
+    people = journal.resolve_users(events, users)
+    mapped = journal.resolve_sessions(events, held, people)
+    names = people.select("user_id", F.col("name").alias("profile")).distinct()
+    return mapped.join(names, "user_id").groupBy("profile", "started_at", "session_id").agg(F.count(F.lit(1)).alias("journal_sessions")).drop("session_id")
+
+
+@query(
+    _REPLAY
+    + """, k AS (SELECT *, q >= 90 AS lost FROM a), n AS (SELECT u, day, q, t, count(*) AS n FROM k WHERE NOT lost GROUP BY ALL)
+    SELECT 'added' AS outcome, count(*) AS attempts FROM n UNION ALL SELECT 'skipped', sum(n - 1)::BIGINT FROM n HAVING sum(n - 1) > 0 UNION ALL SELECT 'orphan', count(*) FROM k WHERE lost HAVING count(*) > 0"""
+)
+def restore_attempts(spark, d):
+    events, (users, held, done) = journal_events(spark, d), empty_tables(spark)
+    mapped = journal.resolve_sessions(events, held, journal.resolve_users(events, users))
+    out = journal.restore_attempts(events, done, mapped, questions(spark, d).where("question_id < 90"))
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("attempts"))
+
+
+@query("SELECT DISTINCT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') || ' 23:00:00' ELSE 'open' END AS ended_at FROM events")
+def apply_session_ends(spark, d):
+    """Sessions of even users get an end from the journal; the others have one already, which stays."""
+    held = sessions(spark, d).withColumn("ended_at", F.when(F.col("user_id") % 2 == 1, "open"))
+    ids = held.select(F.xxhash64("session_id").alias("journal_session"), "session_id", "started_at")
+    ends = ids.select(F.lit("session_end").alias("kind"), F.col("journal_session").alias("sessionId"), F.concat(F.date_format("started_at", "yyyy-MM-dd"), F.lit(" 23:00:00")).alias("endedAt"))
+    return journal.apply_session_ends(held, ends, ids.select("journal_session", "session_id")).select("session_id", "ended_at")
+
+
 @query("SELECT 'sessions' AS name, count(DISTINCT ts::DATE) AS rows FROM events WHERE user_id = 5 UNION ALL SELECT 'attempts', count(*) FROM events WHERE user_id = 5")
 def clear_user_history(spark, d):
     return journal.clear_user_history({"sessions": sessions(spark, d), "attempts": attempts(spark, d)}, 5)[1]
