@@ -36,10 +36,6 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], labels: n
     return w
 
 
-def margins(rows: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray) -> np.ndarray:
-    return np.array([w[at] @ v + w[-1] for at, v in rows])
-
-
 def platt(scores: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """a, b of the probability 1 / (1 + exp(-(a score + b))), by Newton's method on smoothed 0/1 targets."""
     pos, neg = (labels > 0).sum(), (labels <= 0).sum()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizloom.llm._shared import fold_of, slices, utf8
-from quizloom.llm.linear import dual_coordinate_descent, margins, platt
+from quizloom.llm.linear import dual_coordinate_descent, platt
 
 #: N-gram lengths in bytes, and the number of indicators they are hashed to.
 LENGTHS, BUCKETS = (2, 4), 1 << 18

@@ -8,7 +8,6 @@ what it will get. Words are seen whole and by their first letters, so that infle
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.linear import dual_coordinate_descent, margins, platt
+from quizloom.llm._shared import staged
+from quizloom.llm.linear import dual_coordinate_descent, platt
 from quizloom.llm.quality import labelled_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -56,69 +56,129 @@ class Link:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(features, before) + self.b, -50, 50))))
 
 
-def _g(a: int, b: int, n1: int, n0: int) -> float:
-    """G of the table of texts with (a of n1, b of n0) and without the feature."""
-    p = (a + b) / (n1 + n0)
-    return 2 * sum(o * np.log(o / e) for o, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))) if o)
+def _g(a, b, n1, n0):
+    """G of the tables of texts with (a of n1, b of n0) and without a feature."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    p = (a + b) / max(n1 + n0, 1)
+    total = np.zeros_like(a)
+    for seen, expected in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))):
+        total += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    return 2 * total
 
 
-def _fit(name: str, sets: list[set[str]], positive: np.ndarray, before: np.ndarray) -> Link:
-    """One linear model: words that tell the classes apart, scaled by their log ratios, and the earlier probabilities."""
-    n1, n0 = int(positive.sum()), int((~positive).sum())
-    if not n1 or not n0:
-        return Link(name, weight=np.array([30.0 if n1 else -30.0]), earlier=np.zeros(before.shape[1]))
-    in1, in0 = Counter(), Counter()
-    for s, y in zip(sets, positive, strict=True):
-        (in1 if y else in0).update(s)
-    index, ratio = {}, []
-    for f in sorted(in1.keys() | in0.keys()):
-        a, b = in1[f], in0[f]
-        if a + b >= LEAST_TEXTS:
-            if _g(a, b, n1, n0) > LEAST_G:
-                index[f] = len(index)
-                ratio.append(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
-    scale = np.array(ratio) / 3.0 if ratio else np.zeros(0)
-    n_words, n_before = len(index), before.shape[1]
-    rows = []
-    for k, s in enumerate(sets):
-        at = np.array(sorted(index[f] for f in s & index.keys()), np.int64)
-        rows.append((np.concatenate([at, n_words + np.arange(n_before)]), np.concatenate([scale[at], before[k]])))
-    cost = np.where(positive, (n1 + n0) / 2 / n1, (n1 + n0) / 2 / n0)
-    w = dual_coordinate_descent(rows, np.where(positive, 1.0, -1.0), n_words + n_before, cost)
-    link = Link(name, index, np.append(w[:n_words] * scale, w[-1]), w[n_words:-1])
-    return link
+@dataclass
+class Sample:
+    """The bounded training sample: of each text its fold, its labels and which of the telling features it has; and the features' counts."""
+
+    fold: np.ndarray
+    positive: list[np.ndarray]  # by category
+    sets: list[np.ndarray]  # feature numbers
+    features: list[str]
+    counts: np.ndarray  # by feature, fold and 0 (texts) or 1 + category (texts with that label)
 
 
-def _calibrated(name: str, sets: list[set[str]], positive: np.ndarray, before: np.ndarray) -> tuple[Link, np.ndarray]:
-    """The model of all rows, and the out-of-fold probability of each row."""
-    fold, held = np.arange(len(sets)) % FOLDS, np.zeros(len(sets))
-    for k in range(FOLDS):
-        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        link = _fit(name, [sets[i] for i in inside], positive[inside], before[inside])
-        held[outside] = [link.margin(sets[i], list(before[i])) for i in outside]
-    link = _fit(name, sets, positive, before)
-    link.a, link.b = platt(held, np.where(positive, 1, -1))
-    return link, 1 / (1 + np.exp(-np.clip(link.a * held + link.b, -50, 50)))
+def _telling(counts: np.ndarray, totals: np.ndarray, category: int, out: int | None) -> np.ndarray:
+    """Which features tell a category from the rest, by the texts outside fold ``out``."""
+    inside = [k for k in range(FOLDS) if k != out]
+    n, n1 = totals[inside, 0].sum(), totals[inside, 1 + category].sum()
+    seen, a = counts[:, inside, 0].sum(1), counts[:, inside, 1 + category].sum(1)
+    return (seen >= LEAST_TEXTS) & (_g(a, seen - a, n1, n - n1) > LEAST_G)
 
 
-def train_chain(sample: DataFrame, id_col: str, text_col: str, categories: list[tuple[str, str, int]]) -> list[Link]:
-    """``categories``: (name, label column, value that means yes), in the order of the chain. ``sample`` is bounded and comes to the driver."""
+def gather(sample: DataFrame, id_col: str, text_col: str, categories: list[tuple[str, str, int]]) -> Sample:
+    """Count features where the texts lie, sum the counts by feature, keep those that tell any category in any folds, and only then fetch which text has which.
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What comes to the driver is the telling features and their numbers by text, not the texts' words.
+    """
+    labels = [F.coalesce((F.col(c) == yes).cast("int"), F.lit(0)).alias(f"y{k}") for k, (_, c, yes) in enumerate(categories)]
+    names = [f"y{k}" for k in range(len(categories))]
+    rows = staged(sample.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(FOLDS)).cast("int").alias("fold"), *labels), "toxic-sample")
+    totals = np.zeros((FOLDS, 1 + len(names)), np.int64)
+    for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).collect():
+        totals[r["fold"]] = [r["n"], *(r[y] for y in names)]
+    width = 1 + len(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[str, np.ndarray] = {}
+            for text, fold, *y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for f in text_features(text):
+                    row = found.get(f)
+                    if row is None:
+                        row = found[f] = [0] * (FOLDS * width)
+                    row[fold * width] += 1
+                    for k, v in enumerate(y):
+                        row[fold * width + 1 + k] += v
+            columns = list(zip(*found.values(), strict=True)) if found else [()] * (FOLDS * width)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int32()) for c in columns)], names=["f", *counted])
+
+    counted = [f"c{k}" for k in range(FOLDS * width)]
+    summed = rows.select("text", "fold", *names).mapInArrow(count, "f string, " + ", ".join(f"{c} int" for c in counted)).groupBy("f").agg(*[F.sum(c).alias(c) for c in counted])
+    seen = sum(F.col(f"c{k * width}") for k in range(FOLDS))
+    summed = summed.where(seen >= LEAST_TEXTS)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [" ".join(sorted(text_features(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *(c.cast(pa.int64()) for c in b.columns[2:]), pa.array(found, pa.string())], names=names)
+            counts = np.stack([c.to_numpy() for c in b.columns[1:]], 1).reshape(-1, FOLDS, width)
+            good = np.zeros(len(counts), bool)
+            for c in range(width - 1):
+                for out in (None, *range(FOLDS)):
+                    good |= _telling(counts, totals, c, out)
+            yield b.filter(pa.array(good))
+
+    kept = summed.mapInArrow(test, summed.schema).orderBy("f").toPandas()
+    features = kept["f"].tolist()
+    counts = kept[counted].to_numpy(np.int64).reshape(-1, FOLDS, width)
+    index = rows.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(features)})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = index.value
+        for b in batches:
+            found = [sorted(known[f] for f in text_features(t) & known.keys()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(found, pa.list_(pa.int32()))], names=["id", "fold", *names, "has"])
 
-    columns = list(dict.fromkeys(c for _, c, _ in categories))
-    names = ["id", *(f"y{k}" for k in range(len(columns))), "f"]
-    got = sample.select(id_col, text_col, *columns).mapInArrow(take, ", ".join(["id string", *(f"y{k} long" for k in range(len(columns))), "f string"])).toPandas().sort_values("id", kind="stable")
-    sets = [set(f.split()) for f in got["f"]]
-    before, links = np.zeros((len(sets), 0)), []
-    for name, column, yes in categories:
-        y = (got[f"y{columns.index(column)}"] == yes).to_numpy()
-        link, held = _calibrated(name, sets, y, before) if len(sets) >= FOLDS else (Link(name, weight=np.array([-30.0]), earlier=np.zeros(before.shape[1])), np.zeros(len(sets)))
+    got = rows.select("id", "text", "fold", *names).mapInArrow(pick, "id string, fold int, " + "".join(f"{y} int, " for y in names) + "has array<int>").toPandas().sort_values("id", kind="stable")
+    return Sample(got["fold"].to_numpy(), [(got[y] == 1).to_numpy() for y in names], [np.array(h, np.int64) for h in got["has"]], features, counts)
+
+
+def _fit(name: str, sample: Sample, category: int, before: np.ndarray, out: int | None) -> Link:
+    """One linear model from the texts outside fold ``out``: telling features scaled by their log ratios, and the earlier probabilities."""
+    own = np.flatnonzero(sample.fold != (-1 if out is None else out))
+    positive = sample.positive[category][own]
+    n1, n0 = int(positive.sum()), int((~positive).sum())
+    if not n1 or not n0:
+        return Link(name, weight=np.array([30.0 if n1 else -30.0]), earlier=np.zeros(before.shape[1]))
+    inside = [k for k in range(FOLDS) if k != out]
+    totals = np.zeros((FOLDS, sample.counts.shape[2] if sample.counts.size else 1 + category + 1), np.int64)
+    totals[inside[0], 0], totals[inside[0], 1 + category] = n1 + n0, n1
+    good = np.flatnonzero(_telling(sample.counts, totals, category, out)) if len(sample.features) else np.zeros(0, np.int64)
+    seen, a = sample.counts[good][:, inside, 0].sum(1), sample.counts[good][:, inside, 1 + category].sum(1)
+    scale = (np.log((a + 0.5) / (n1 + 1)) - np.log((seen - a + 0.5) / (n0 + 1))) / 3.0
+    number = np.full(len(sample.features) + 1, -1)
+    number[good] = np.arange(len(good))
+    rows = []
+    for i in own:
+        at = number[sample.sets[i]]
+        at = at[at >= 0]
+        rows.append((np.concatenate([at, len(good) + np.arange(before.shape[1])]), np.concatenate([scale[at], before[i]])))
+    cost = np.where(positive, (n1 + n0) / 2 / n1, (n1 + n0) / 2 / n0)
+    w = dual_coordinate_descent(rows, np.where(positive, 1.0, -1.0), len(good) + before.shape[1], cost)
+    return Link(name, {sample.features[g]: k for k, g in enumerate(good)}, np.append(w[: len(good)] * scale, w[-1]), w[len(good) : -1])
+
+
+def train_chain(sample: Sample, categories: list[tuple[str, str, int]]) -> list[Link]:
+    """Models in the order of the chain; each learns from the out-of-fold probabilities of those before it."""
+    before, links = np.zeros((len(sample.sets), 0)), []
+    for c, (name, _, _) in enumerate(categories):
+        held = np.zeros(len(sample.sets))
+        for out in range(FOLDS):
+            link = _fit(name, sample, c, before, out)
+            for i in np.flatnonzero(sample.fold == out):
+                held[i] = link.margin({sample.features[f] for f in sample.sets[i]}, list(before[i]))
+        link = _fit(name, sample, c, before, None)
+        link.a, link.b = platt(held, np.where(sample.positive[c], 1, -1)) if len(held) else (1.0, 0.0)
         links.append(link)
-        before = np.column_stack([before, held])
+        before = np.column_stack([before, 1 / (1 + np.exp(-np.clip(link.a * held + link.b, -50, 50)))])
     return links
 
 
@@ -159,5 +219,5 @@ def toxicity_scores(
     """
     columns = list(dict.fromkeys(c for _, c, _ in categories))
     sample = labelled_texts(df, labels, id_col, text_col, columns, balance, most_docs, train if train is not None else F.lit(True))
-    links = train_chain(sample, id_col, "_text", categories)
+    links = train_chain(gather(sample, id_col, "_text", categories), categories)
     return chain_probabilities(df, links, id_col, text_col)
