@@ -85,19 +85,30 @@ def _line_keys(least_words: int):
 
 
 def _variants(least_words: int):
-    """Of each row (doc, text, places): keys of the listed lines (kind 2, with their text) and of their variants with one word left out (0 and 1)."""
+    """Of each row (doc, text, marks): keys of the marked lines (kind 2, with their text) and of their variants with one word left out (0 and 1).
+
+    A mark is 4 times the line's place, plus 1 if it shares its beginning with another line, plus 2 for its end. What is shared is
+    whole, so a word is left out only elsewhere (of equal words in a row any one may go, and one stands elsewhere).
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(1))
-            wanted, places = b.column(2).value_lengths().to_numpy(), b.column(2).flatten().to_numpy()
-            pairs = np.sort(np.repeat(np.arange(len(wanted)), wanted) * (1 << 32) + places)
+            wanted, marks = b.column(2).value_lengths().to_numpy(), b.column(2).flatten().to_numpy()
+            pairs = np.repeat(np.arange(len(wanted)), wanted) * (1 << 32) + (marks >> 2)
+            order = np.argsort(pairs)
+            pairs, sides = pairs[order], (marks & 3)[order]
             for own, row, place, w0, w1, sums, first, last in _lines(data, offsets):
                 k = np.flatnonzero(np.isin(row * (1 << 32) + place, pairs))
                 if not len(k):
                     continue
+                side = sides[np.searchsorted(pairs, row[k] * (1 << 32) + place[k])]
                 w0, w1 = w0[k], w1[k]
-                owner, i = _repeat(w1 - w0)
+                n = w1 - w0
+                h = shared_words(n - 1)
+                begin, end = np.where(side == 1, h, 0), np.where(side == 2, n - h, n)
+                owner, i = _repeat(end - begin)
+                i = i + begin[owner]
                 rest = sums.without(w0[owner], w1[owner], w0[owner] + i)
                 # The place and what is left: all lines with one such key differ in that word alone.
                 swap = mixed(rest + (i.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
@@ -159,13 +170,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = keys.groupBy("line").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     exact = keys.select("doc", "place", "line", "at").join(lines.where("n > 1").select("line", "first"), "line").where("at > first").select("doc", "place")
 
-    halves = keys.select("line", F.explode("halves").alias("half"))
+    halves = keys.select("line", F.posexplode("halves").alias("_i", "half")).select("line", "half", (F.col("_i") % 2 + 1).alias("side"))
     shared = halves.groupBy("half").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x != y").select("half")
-    suspects = halves.join(shared, "half", "left_semi").select("line").distinct()
+    suspects = halves.join(shared, "half", "left_semi").groupBy("line").agg(F.bit_or("side").alias("side"))
     place = F.pmod("first", F.lit(1 << 32).cast("decimal(31,0)"))
-    suspects = lines.join(suspects, "line", "left_semi").select(((F.col("first") - place) / F.lit(1 << 32)).cast("decimal(20,0)").cast("long").alias("doc"), place.cast("long").alias("place"))
-    suspects = suspects.groupBy("doc").agg(F.collect_set("place").alias("places"))
-    variants = docs.join(suspects, "doc").select("doc", "_text", "places").mapInArrow(_variants(least_words), "doc long, place long, key long, kind byte, line_text string")
+    suspects = lines.join(suspects, "line").select(((F.col("first") - place) / F.lit(1 << 32)).cast("decimal(20,0)").cast("long").alias("doc"), (place.cast("long") * 4 + F.col("side")).alias("mark"))
+    suspects = suspects.groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    variants = docs.join(suspects, "doc").select("doc", "_text", "marks").mapInArrow(_variants(least_words), "doc long, place long, key long, kind byte, line_text string")
     variants = staged(variants, "variants").withColumn("at", _order("doc", "place"))
 
     least = [F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"m{k}") for k in (0, 1, 2)]
