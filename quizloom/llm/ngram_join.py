@@ -6,7 +6,7 @@
 2. Documents with equal sets are one class; only the classes' smallest ids go on.
 3. Classes meet in runs, one for each shingle of their prefixes. In a short run, pairs of fitting sizes are
    candidates. In a long run all meet one pivot first.
-4. Candidates are verified on their whole sets; the links make components.
+4. Candidates that their bitmaps do not exclude are verified on their whole sets; the links make components.
 5. A long run that now lies in one component is done. In the others a signature tree is built over the run: leaves hold
    sizes and bitmaps, inner nodes the range of sizes and the OR of the bitmaps. A dual traversal drops pairs of nodes whose
    largest possible overlap is too small or that lie in one component; what is left is verified as before.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from quizloom.llm._shared import WordSums, mixed, slices, staged, utf8, words
 from quizloom.llm.components import components
 
-#: Bits of a document's bitmap.
-BITS = 1024
+#: Bits of a document's bitmap: the power of two from twice its set's size, within these bounds. Lengths that differ are made
+#: equal by OR-ing the longer one's parts, as places are hashes modulo the length.
+LEAST_BITS, MOST_BITS = 1024, 1 << 17
 #: Runs of at most this many classes are compared pair by pair.
 SHORT_RUN = 24
 #: Documents of the sample whose frequent shingles come last in the order; it steers balance only, never the result.
@@ -82,8 +83,8 @@ def _prepare(percent: int, n: int, frequent):
                 folded = mixed(s)
                 first.append(int(np.bitwise_xor.reduce(folded)) if len(s) else 0)
                 second.append(int(np.add.reduce(mixed(folded + np.uint64(1)))) if len(s) else 0)
-                bits = np.zeros(BITS, np.uint8)
-                bits[(folded >> np.uint64(40)).astype(np.int64) % BITS] = 1
+                bits = np.zeros(min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())) if len(s) else LEAST_BITS, np.uint8)
+                bits[(folded >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
                 bitmaps.append(np.packbits(bits).tobytes())
                 keep = len(s) - int(least_overlap(len(s), percent)) + 1 if len(s) else 0
                 if len(ranked) and len(s):
@@ -128,7 +129,7 @@ def _meet(percent: int):
             key, doc, size = key[short], doc[short], size[short]
             pairs = []
             for d in range(1, SHORT_RUN):
-                same = (key[d:] == key[:-d]) & fits(size[d:], size[:-d], percent)
+                same = (key[d:] == key[:-d]) & (doc[d:] != doc[:-d]) & fits(size[d:], size[:-d], percent)
                 if not len(same) or not (key[d:] == key[:-d]).any():
                     break
                 pairs.append(np.stack([doc[:-d][same], doc[d:][same]], 1))
@@ -184,6 +185,49 @@ def bit_counts(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap OR-ed down to so many 64-bit words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def overlap_possible(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes, percent: int) -> bool:
+    """Whether two sets of these sizes and bitmaps can reach the threshold: each set has at least as many elements outside the other as it has bits that the other lacks."""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    n = min(len(a), len(b))
+    a, b = folded(a, n), folded(b, n)
+    most = min(size_a - int(bit_counts(a & ~b)), size_b - int(bit_counts(b & ~a)))
+    return (100 + percent) * most >= percent * (size_a + size_b)
+
+
+def whole_bitmaps(maps: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """overlap_possible() for many pairs, each at the length of its shorter bitmap (a tree has all at the shortest)."""
+    n = np.array([len(m) for m in maps])
+    least = np.minimum(n[i], n[j])
+    ok = np.zeros(len(i), bool)
+    for words in np.unique(least):
+        at = np.flatnonzero(least == words)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        rows = np.stack([folded(maps[k], words) for k in used])
+        for k in range(0, len(at), 1 << 14):
+            own = slice(k, k + (1 << 14))
+            a, b = rows[place[: len(at)][own]], rows[place[len(at) :][own]]
+            p, q = i[at[own]], j[at[own]]
+            most = np.minimum(size[p] - bit_counts(a & ~b), size[q] - bit_counts(b & ~a))
+            ok[at[own]] = (100 + percent) * most >= percent * (size[p] + size[q])
+    return ok
+
+
+def _possible(percent: int):
+    """Rows (a, b, size_a, bits_a, size_b, bits_b): the pairs (a, b) whose leaves do not exclude them."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [overlap_possible(*row, percent) for row in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return make
+
+
 class SignatureTree:
     """Levels of nodes over sets sorted by component and size: size ranges, OR of the bitmaps, AND-like component (-1 if mixed)."""
 
@@ -241,9 +285,13 @@ def _trees(percent: int):
         def of(run: pa.Table):
             size, part = run["size"].to_numpy(), run["part"].to_numpy()
             doc = run["doc"].to_numpy()
-            bits = np.frombuffer(b"".join(run["bits"].to_pylist()), np.uint64).reshape(len(doc), -1)
+            maps = [np.frombuffer(m, np.uint64) for m in run["bits"].to_pylist()]
+            least = min(map(len, maps))
+            bits = np.stack([folded(m, least) for m in maps])
             _, part = np.unique(part, return_inverse=True)
             for i, j in SignatureTree(size, bits, part).pairs(percent):
+                ok = whole_bitmaps(maps, size, i, j, percent)
+                i, j = i[ok], j[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
 
         held: list[pa.Table] = []
@@ -280,8 +328,12 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = heads.select(F.explode("prefix").alias("shingle"), "doc", "size").repartition("shingle").sortWithinPartitions("shingle", "doc")
     met = staged(rows.mapInArrow(_meet(percent), "a long, b long, shingle long, size long"), "met")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs that reach the threshold, by their whole sets."""
+    def verified(pairs: DataFrame, tested: bool = False) -> DataFrame:
+        """Those of the distinct pairs that reach the threshold, by their whole sets; ``tested``: their bitmaps have been compared."""
+        if not tested:
+            side = sets.select(F.col("doc").cast("long").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+            pairs = pairs.distinct().join(side, "a").join(side.toDF("b", "size_b", "bits_b"), "b")
+            pairs = pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(_possible(percent), "a long, b long")
         pairs = staged(pairs.distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
 
@@ -305,7 +357,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_runs = placed.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("shingle")
     placed = placed.join(open_runs, "shingle", "left_semi").join(sets.select(F.col("doc").cast("long").alias("doc"), "bits"), "doc")
     more = placed.select("shingle", "doc", "size", "bits", "part").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_trees(percent), "a long, b long")
-    links = links.union(verified(more)).distinct()
+    links = links.union(verified(more, tested=True)).distinct()
     links = staged(links, "links")
     joined = staged(components(links), "joined")
 
