@@ -310,6 +310,36 @@ def _trees(percent: int):
     return make
 
 
+#: Bits of the filter that keeps documents without candidates out of the shuffle: about 16 for each wanted id, within these bounds.
+LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 26
+
+
+def only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs(doc, _text) whose id is in wanted(doc).
+
+    A bitmap of two hashes of the wanted ids (8 MB at most) lets few others through, so that not all texts are shuffled for the
+    exact semi-join behind it. Where ids are too many for it, it lets more through, and the join does more.
+    """
+    n = wanted.count()
+    bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * n).bit_length()))
+    places = [F.pmod(F.xxhash64(F.lit(k), "doc"), F.lit(bits)) for k in range(2)]
+    words_ = wanted.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toPandas()
+    bitmap = np.zeros(bits >> 6, np.uint64)
+    bitmap[words_["word"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64).view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for c in b.columns[2:]:
+                at = c.to_numpy()
+                ok &= (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["doc", "_text"]).filter(pa.array(ok))
+
+    own = docs.select(F.col("doc").cast("long").alias("doc"), "_text").where("doc is not null")
+    return own.select("doc", "_text", *[p.alias(f"h{k}") for k, p in enumerate(places)]).mapInArrow(sift, "doc long, _text string").join(wanted, "doc", "left_semi")
+
+
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, class_id, component_id, and n_links between classes.
 
@@ -335,7 +365,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             pairs = pairs.distinct().join(side, "a").join(side.toDF("b", "size_b", "bits_b"), "b")
             pairs = pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(_possible(percent), "a long, b long")
         pairs = staged(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+        ends = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "ends")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -343,7 +373,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc", "own"])
 
-        own = docs.select(F.col("doc").cast("long").alias("doc"), "_text").join(ends, "doc", "left_semi").mapInArrow(whole, "doc long, own array<long>")
+        own = only_wanted(docs, ends).mapInArrow(whole, "doc long, own array<long>")
         own = staged(own, "sets")
         both = pairs.join(own.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(own.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a")
         shared = F.size(F.array_intersect("own_a", "own_b")).cast("long")
