@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quizloom.llm._shared import WordSums, mixed, slices, staged, utf8, words
 
-#: Lines of fewer words are left alone: they are headings, list marks and the like.
+#: Lines of fewer words have no near lines: one word is too much of them.
 LEAST_WORDS = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER_AZ = {c: c + 32 for c in range(65, 91)}
@@ -55,14 +55,14 @@ def shared_words(m: np.ndarray) -> np.ndarray:
     return np.maximum(m // 8 * 4, np.minimum(m // 2, 3))
 
 
-def _line_keys(least_words: int):
-    """(doc, place, line hash, half keys) of each line that counts."""
+def _line_keys(least_words: int, exact_words: int):
+    """(doc, place, line hash, half keys) of each line that counts; lines of fewer than ``least_words`` words have no half keys."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, row, place, w0, w1, sums, *_ in _lines(*utf8(b.column(1))):
                 n = w1 - w0
-                k = np.flatnonzero(n >= least_words)
+                k = np.flatnonzero(n >= exact_words)
                 if not len(k):
                     continue
                 w0, w1, n = w0[k], w1[k], n[k]
@@ -72,7 +72,7 @@ def _line_keys(least_words: int):
                 for tag, m in ((1, n), (2, n), (1, n - 1), (2, n - 1)):
                     h = shared_words(m)
                     keys.append(mixed((sums.run(w0, w0 + h) if tag == 1 else sums.run(w1 - h, w1)) + np.uint64(tag)))
-                    used.append(np.ones(len(k), bool) if m is n else h != shared_words(n))
+                    used.append((n >= least_words) & (np.ones(len(k), bool) if m is n else h != shared_words(n)))
                 used = np.stack(used, 1)
                 halves = np.stack(keys, 1).view(np.int64)[used]
                 ends = pa.array(np.concatenate([[0], np.cumsum(used.sum(1))]), pa.int32())
@@ -152,12 +152,13 @@ def _order(doc: str, place: str) -> Column:
     return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(place).cast("decimal(10,0)")).cast("decimal(31,0)")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, exact_words: int | None = None) -> DataFrame:
     """(doc, place) of each line that repeats an earlier line of the corpus, exactly or but for one word.
 
     Earlier means a smaller id, or the same id and a smaller place. A line goes if any earlier line is near it, whether or
-    not that one goes too. Lines of fewer than ``least_words`` words, and rows with a null id or text, take no part. Rows
-    that share an id share its lines' places, and are judged alike.
+    not that one goes too. Lines of fewer than ``least_words`` words are near none; those of ``exact_words`` words or more
+    (``least_words`` if not given; 1: all that are not blank) go if they repeat an earlier line exactly. Rows with a null id
+    or text take no part. Rows that share an id share its lines' places, and are judged alike.
 
     At scale: exact repeats meet by a grouping with sums combined before the shuffle. Two lines one word apart agree in their
     first or their last half, so only lines that share a half with another line (again a combined grouping) get variants. A
@@ -166,7 +167,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shuffle, decides for all its members, however many.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text")).where("doc is not null and _text is not null")
-    keys = staged(docs.mapInArrow(_line_keys(least_words), "doc long, place long, line long, halves array<long>"), "lines").withColumn("at", _order("doc", "place"))
+    keys = staged(docs.mapInArrow(_line_keys(least_words, least_words if exact_words is None else max(1, min(exact_words, least_words))), "doc long, place long, line long, halves array<long>"), "lines").withColumn("at", _order("doc", "place"))
     lines = keys.groupBy("line").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     exact = keys.select("doc", "place", "line", "at").join(lines.where("n > 1").select("line", "first"), "line").where("at > first").select("doc", "place")
 
@@ -189,13 +190,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return exact.union(near).distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, exact_words: int | None = None) -> DataFrame:
     """All columns of ``df``, with the text without the lines that repeated_lines() finds, and _lines, _gone (lines before, and left out).
 
     Null ids and null texts stay as they are (null texts have 0 lines). A text whose lines are all gone is empty; what to
     do with its row is the caller's choice. Rows with equal ids are judged alike. An empty table gives an empty result.
     """
-    gone = repeated_lines(df, id_col, text_col, least_words).groupBy("doc").agg(F.collect_list("place").alias("_places"))
+    gone = repeated_lines(df, id_col, text_col, least_words, exact_words).groupBy("doc").agg(F.collect_list("place").alias("_places"))
     lines = F.split(F.col(text_col), "\n", -1)
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     out = df.join(gone, F.col(id_col).cast("long") == F.col("doc"), "left")

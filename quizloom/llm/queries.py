@@ -35,8 +35,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines, n_gone, text_sha256 (of the text that is left; null for a null text)."""
-    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Per document: doc_id, n_lines, n_gone, text_sha256 (of the text that is left; null for a null text). Lines of any length go if they repeat exactly."""
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), exact_words=1)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_gone"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("quizloom.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quizloom.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, token_count, toxicity, vector_dedup  # noqa: E402
+from quizloom.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, queries, token_count, toxicity, vector_dedup  # noqa: E402
 from quizloom.llm.components import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, _text string, size long"
@@ -131,6 +131,22 @@ def test_lines(spark, docs, rows, none):
     assert line_dedup.within_one_edit("a B c", "a b  d") and not line_dedup.within_one_edit("a b c", "b c d")
 
 
+def test_query_takes_short_lines(spark, tmp_path):
+    """op3: every exact repeat of a line that is not blank goes, short ones too; one word apart, only of LEAST_WORDS words or more."""
+    long = "one two three four five six seven eight"
+    texts = ["MIT license.\n\nx\n漢字の行", f"mit  License.\n\ny\n漢字の行\n{long}", f"MIT licence.\n\nX\n{long} nine\n漢字の行二", "one two three four five six seven", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, gone = [], collections.Counter()
+    for i, t in rows:
+        for w in filter(None, map(line_words, (t or "").split("\n"))):
+            gone[i] += any(w == s or (min(len(w), len(s)) >= line_dedup.LEAST_WORDS and near(w, s)) for s in seen)
+            seen.append(w)
+    out = by_id(queries.op3_line_dedup(spark, str(tmp_path)))
+    assert {i: out[i]["n_gone"] for i, _ in rows} == {i: gone[i] for i, _ in rows} == {0: 0, 1: 2, 2: 2, 3: 0, 4: 0}
+    assert out[1]["text_sha256"] == hashlib.sha256(f"\ny\n{long}".encode()).hexdigest()
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 
 
