@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows without an id stay."""
-    found = ngram_jaccard_join(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_keep"))
+    found = ngram_jaccard_join(docs, count_links=False).where("component_id = doc_id").select(F.col("doc_id").alias("_keep"))
     kept = docs.join(found, docs["doc_id"] == F.col("_keep"), "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))
 

@@ -10,10 +10,14 @@
 5. A long run that now lies in one component is done. In the others a signature tree is built over the run: leaves hold
    sizes and bitmaps, inner nodes the range of sizes and the OR of the bitmaps. A dual traversal drops pairs of nodes whose
    largest possible overlap is too small or that lie in one component; what is left is verified as before.
+6. The components are then exact, and every link lies in one. Pairs that have not been compared met in long runs only, so both
+   have rows in one. Such classes of a component are dealt into blocks by ranges of sizes and by hash, and all pairs of blocks
+   that can fit are counted on whole sets, each pair of blocks by a task of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,8 @@ from quizloom.llm.components import components
 LEAST_BITS, MOST_BITS = 1024, 1 << 17
 #: Runs of at most this many classes are compared pair by pair.
 SHORT_RUN = 24
+#: A block of a component has about so many classes and elements of sets at most.
+BLOCK_ROWS, BLOCK_ELEMENTS = 512, 1 << 18
 #: Documents of the sample whose frequent shingles come last in the order; it steers balance only, never the result.
 SAMPLE_DOCS = 3000
 
@@ -310,6 +316,52 @@ def _trees(percent: int):
     return make
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Numbers of common elements of each set of ``a`` with each of ``b``."""
+    (x, at), (y, to) = ((np.concatenate([*s, np.zeros(0, np.int64)]), np.repeat(np.arange(len(s)), [len(k) for k in s])) for s in (a, b))
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.int64)
+    x_in, y_in = np.isin(x, common), np.isin(y, common)
+    x, at, y, to = np.searchsorted(common, x[x_in]), at[x_in], np.searchsorted(common, y[y_in]), to[y_in]
+    x_order, y_order = np.argsort(x), np.argsort(y)
+    x, at, y, to = x[x_order], at[x_order], y[y_order], to[y_order]
+    for k in range(0, len(common), columns):
+        sides = []
+        for value, row, n in ((x, at, len(a)), (y, to, len(b))):
+            own = slice(*np.searchsorted(value, [k, k + columns]))
+            side = np.zeros((n, columns), np.float32)
+            side[row[own], value[own] - k] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    """Of a pair of blocks, rows (p, s, q, t, side, doc, own): how many of the other block's classes each class links with."""
+
+    def make(rows: pa.Table) -> pa.Table:
+        doc, place = np.unique(rows["doc"].to_numpy(), return_index=True)  # rows that repeat an id count once
+        side = rows["side"].to_numpy()[place]
+        lists = rows["own"].combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [flat[ends[k] : ends[k + 1]] for k in place]
+        size = np.array([len(x) for x in sets])
+        one = all(rows[x][0] == rows[y][0] for x, y in (("p", "q"), ("s", "t")))
+        i = np.flatnonzero(side == 0)
+        j = i if one else np.flatnonzero(side == 1)
+        n = overlaps([sets[k] for k in i], [sets[k] for k in j])
+        linked = 100 * n >= percent * (size[i][:, None] + size[j][None, :] - n)
+        count = np.zeros(len(doc), np.int64)
+        if one:
+            np.fill_diagonal(linked, False)
+        else:
+            count[j] = linked.sum(0)
+        count[i] = linked.sum(1)
+        return pa.table({"rep": pa.array(doc), "n": pa.array(count)}).filter(pa.array(count > 0))
+
+    return make
+
+
 #: Bits of the filter that keeps documents without candidates out of the shuffle: about 16 for each wanted id, within these bounds.
 LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 26
 
@@ -340,12 +392,11 @@ def only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.select("doc", "_text", *[p.alias(f"h{k}") for k, p in enumerate(places)]).mapInArrow(sift, "doc long, _text string").join(wanted, "doc", "left_semi")
 
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: id, n_shingles, class_id, component_id, and n_links between classes.
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 75, count_links: bool = True) -> DataFrame:
+    """Per row: id, n_shingles, class_id, component_id, and, if asked to ``count_links``, n_links between classes.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct shingles. class_id
-    is the smallest id with the very same set; n_links is the number of other classes that this class links with and that were compared
-    (pairs within one component may stay uncompared); component_id is the smallest id reachable by links. A null or
+    is the smallest id with the very same set; n_links is the number of all other classes that this class links with; component_id is the smallest id reachable by links. A null or
     blank text has an empty set and is alone. Rows with a null id have n_shingles and null ids. Rows that
     repeat an id must repeat its text. An empty table gives an empty result.
     """
@@ -358,6 +409,17 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = heads.select(F.explode("prefix").alias("shingle"), "doc", "size").repartition("shingle").sortWithinPartitions("shingle", "doc")
     met = staged(rows.mapInArrow(_meet(percent), "a long, b long, shingle long, size long"), "met")
 
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """(doc, own): the whole sets of the documents of wanted(doc)."""
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = list(shingle_sets(*utf8(b.column(1)), shingle_words))
+                bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc", "own"])
+
+        return only_wanted(docs, wanted).mapInArrow(whole, "doc long, own array<long>")
+
     def verified(pairs: DataFrame, tested: bool = False) -> DataFrame:
         """Those of the distinct pairs that reach the threshold, by their whole sets; ``tested``: their bitmaps have been compared."""
         if not tested:
@@ -367,14 +429,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = staged(pairs.distinct(), "pairs")
         ends = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "ends")
 
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = list(shingle_sets(*utf8(b.column(1)), shingle_words))
-                bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc", "own"])
-
-        own = only_wanted(docs, ends).mapInArrow(whole, "doc long, own array<long>")
-        own = staged(own, "sets")
+        own = staged(whole_sets(ends), "sets")
         both = pairs.join(own.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(own.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a")
         shared = F.size(F.array_intersect("own_a", "own_b")).cast("long")
         return both.select("a", "b", shared.alias("n"), (F.size("own_a").cast("long") + F.size("own_b")).alias("sum")).where(f"100 * n >= {percent} * (sum - n)").select("a", "b")
@@ -391,11 +446,31 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = staged(links, "links")
     joined = staged(components(links), "joined")
 
-    counts = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = classes.join(joined.withColumnRenamed("v", "rep"), "rep", "left").join(counts, "rep", "left")
+    def numbers() -> DataFrame:
+        """(rep, n_links), of all links."""
+        # Sizes of linked sets differ by a factor of 100 / percent at most, so their logarithms to a slightly larger base differ by less than 1.
+        members = run_rows.select("doc", "size").distinct().join(joined.withColumnRenamed("v", "doc"), "doc")
+        members = staged(members.withColumn("p", F.floor(F.log("size") / (math.log(100 / percent) + 1e-9))), "members")
+        parts = members.groupBy("component", "p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).alias("m"))
+        parts = parts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("p", "m"))).alias("parts"))
+        dealt = members.join(parts, "component").withColumn("s", F.pmod(F.xxhash64(F.lit("block"), "doc"), F.element_at("parts", F.col("p"))))
+        numbers_of = "if({0} is null, array(), sequence(0L, {0} - 1))".format
+        own, after, before = (numbers_of(f"element_at(parts, p {k})") for k in ("+ 0", "+ 1", "- 1"))
+        pairs = f"""concat(transform({own}, t -> struct(p as p, least(s, t) as s, p as q, greatest(s, t) as t, int(t < s) as side)),
+            transform({after}, t -> struct(p as p, s as s, p + 1 as q, t as t, 0 as side)), transform({before}, t -> struct(p - 1 as p, t as s, p as q, s as t, 1 as side)))"""
+        dealt = dealt.select("doc", "component", F.expr(pairs).alias("pairs")).join(whole_sets(members.select("doc")), "doc").select("component", "doc", "own", F.inline("pairs"))
+        counted = dealt.groupBy("component", "p", "s", "q", "t").applyInArrow(_block_links(percent), "rep long, n long")
+        known = members.select("doc", F.lit(True).alias("known"))
+        others = links.join(known.toDF("a", "a_known"), "a", "left").join(known.toDF("b", "b_known"), "b", "left").where("a_known is null or b_known is null")
+        ends = others.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))
+        return staged(counted.union(ends).groupBy("rep").agg(F.sum("n").alias("n_links")), "counts")
+
+    classes = classes.join(joined.withColumnRenamed("v", "rep"), "rep", "left")
+    if count_links:
+        classes = classes.join(numbers(), "rep", "left")
     out = sets.select("doc", "size", "d1", "d2").join(classes, ["d1", "d2", "size"], "left")
     doc = F.col("doc").cast("long")
     return out.select(
         F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(doc.isNotNull(), F.coalesce("rep", doc)).alias("class_id"),
-        F.when(doc.isNotNull(), F.coalesce("component", "rep", doc)).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(doc.isNotNull(), F.coalesce("component", "rep", doc)).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
     )

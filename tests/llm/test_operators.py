@@ -199,6 +199,29 @@ def test_long_runs_use_trees(spark):
     assert {i: got[i]["component_id"] for i in sets} == brute_components(pairs, list(sets))
 
 
+@pytest.mark.parametrize("block_rows", [512, 16])
+def test_all_links_of_long_runs(spark, tmp_path, monkeypatch, block_rows):
+    """op9: n_links counts every link, also between texts of one component that meet in long runs only."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    rng = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = prose(rng, 70, [f"v{i}" for i in range(500)]).split()
+        for i in range(80):
+            w = base[: rng.randint(45, 70)]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((g * 1000 + i, " ".join(w)))
+    rows += [(3000, rows[3][1]), (3001, "alone in the whole of this corpus"), (3002, ""), (3003, None), rows[5]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    distinct = set(sets.values()) - {frozenset()}
+    want = {i: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in distinct) if x else 0 for i, x in sets.items()}
+    got = queries.op9_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and max(want.values()) > 24
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
 def test_signature_tree():
     rng = np.random.default_rng(3)
     sets = [set(rng.choice(400, rng.integers(5, 60), replace=False)) for _ in range(70)]
