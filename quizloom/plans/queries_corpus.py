@@ -349,10 +349,13 @@ def parse_tossups(spark, d):
 
 @query()
 def parse_mcqs(spark, d):
+    """One exam per document: each of its lines that is not blank is the stem of a question; a blank text has one without a stem."""
     docs = documents(spark, d).withColumn("p_partkey", F.col("doc_id") % 100)
     part = table(spark, d, "part").where("p_partkey < 100")
-    stem = F.concat(F.lit("Question 1: History\n"), F.substring(text_functions.collapse_spaces(F.col("text")), 1, 60), F.lit("?\n"))
-    exam = F.concat(stem, F.lit("A. "), "p_name", F.lit("\nB. "), "p_brand", F.lit("\nC. "), "p_type", F.lit("\nCorrect Answer: "), F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, F.col("p_brand")).otherwise("none of these"))
+    lines = F.filter(F.transform(F.split("text", "\n"), text_functions.collapse_spaces), lambda t: t != "")
+    lines = F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
+    options = F.concat(F.lit("?\nA. "), "p_name", F.lit("\nB. "), "p_brand", F.lit("\nC. "), "p_type", F.lit("\nCorrect Answer: "), F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, F.col("p_brand")).otherwise("none of these"), F.lit("\n\n"))
+    exam = F.array_join(F.transform(lines, lambda line, i: F.concat(F.lit("Question "), (i + 1).cast("string"), F.lit(": History\n"), line, options)), "")
     out = parse.parse_mcqs(docs.join(part, "p_partkey").select(F.col("doc_id").alias("source_id"), exam.alias("text")))
     return out.select("source_id", "position", "reason", "stem", "answer", F.size("options").alias("n_options"))
 

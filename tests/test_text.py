@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quizloom.functions import text, web
 from quizloom.functions.tags import suggest_tags
 from quizloom.operators import parse
+from quizloom.plans import queries_corpus
 
 
 def one(spark, column, **values):
@@ -100,6 +101,16 @@ def test_mcqs(spark):
     assert [o["label"] for o in rows[1]["options"] if o["is_correct"]] == ["B"]
 
 
+def test_mcq_query_reads_whole_texts(spark, tmp_path):
+    """Each line of a document is a stem, whole and however far back it stands."""
+    lines = [f"Which of the {k} rivers of this long account " + "flows on and on " * 20 + f"to sea {k}" for k in range(4)]
+    rows = [(1, "\n".join(lines)), (3, lines[0] + "\n\n  \n" + lines[3]), (4, " \n"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"name {k}", f"brand {k}", f"type {k}") for k in range(8)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r["source_id"], r["position"], r["stem"], r["answer"]) for r in queries_corpus.parse_mcqs(spark, str(tmp_path)).collect() if r["source_id"] != 4)
+    assert got == [(1, k, f"{x}?", "brand 1") for k, x in enumerate(lines)] + [(3, 0, f"{lines[0]}?", "name 3"), (3, 1, f"{lines[3]}?", "name 3")]
+
+
 def test_urls(spark):
     join = web.join_url(F.col("b"), F.col("h"))
     for base, href, url in [
