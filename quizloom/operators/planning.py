@@ -83,7 +83,7 @@ def grounding_excerpts(tags: DataFrame, sources: DataFrame, source_texts: DataFr
     Only sources that may be used for training. Texts are cut before anything is shuffled; a tag's excerpts together keep to the budget.
     """
     free = sources.where(F.col("ai_train_ok") & F.col("kind").isin("studyguide", "index")).select("source_id", "kind", "title", "url")
-    vocabulary = F.broadcast(tags.select("tag").distinct().limit(10_000))  # a vocabulary: a dimension of bounded size
+    vocabulary = tags.select("tag").distinct()
     hits = free.join(source_tags, "source_id").join(vocabulary, "tag", "left_semi").select("tag", "source_id", "title", "url")
     hits = hits.union(free.join(vocabulary, F.contains(F.lower("title"), F.lower("tag"))).select("tag", "source_id", "title", "url")).distinct()
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("tag").orderBy("source_id"))).where(F.col("rank") <= most)

@@ -61,11 +61,11 @@ def weak_areas(attempts: DataFrame, question_tags: DataFrame, min_attempts: int
 def tag_resources(tags: DataFrame, sources: DataFrame, source_tags: DataFrame, per_tag: int = 3, kinds: tuple = ("studyguide", "index", "rules"), states: tuple = ("fetched", "extracted", "parsed")) -> DataFrame:
     """Up to ``per_tag`` reading resources of each tag: sources with the tag, or with its name in their title.
 
-    ``tags`` is the vocabulary, a dimension of known size; Spark chooses how to match titles to it.
+    ``tags`` is the vocabulary, of any size; Spark chooses how to match titles to it, which holds each title against each tag.
     """
     usable = sources.where(F.col("kind").isin(*kinds) & F.col("status").isin(*states)).select("source_id", "title", "url")
     tagged = source_tags.join(usable, "source_id").join(tags.select("tag"), "tag", "left_semi").select("tag", "source_id", "title", "url")
-    titled = usable.join(F.broadcast(tags.select("tag").distinct().limit(10_000)), F.lower("title").contains(F.lower("tag"))).select("tag", "source_id", "title", "url")
+    titled = usable.join(tags.select("tag").distinct(), F.lower("title").contains(F.lower("tag"))).select("tag", "source_id", "title", "url")
     return top_per(tagged.union(titled).distinct(), ["tag"], [F.asc("url"), F.asc("source_id")], per_tag)
 
 

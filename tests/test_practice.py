@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quizloom.functions.grading import tokenize_answer
-from quizloom.operators import crawl, dedup, grading, journal, planning, review
+from quizloom.operators import crawl, dedup, grading, journal, planning, practice, review
 from quizloom.streaming import jobs
 
 
@@ -161,3 +161,15 @@ def test_repeated_lines(spark):
     pages = [(1, p, f"Head 0\nbody {p} is here\nmore {p}\nPage {p + 1} of 4") for p in range(4)] + [(2, 0, "Head 0\nx"), (2, 1, "Head 0\ny")]
     out = {(r["doc_id"], r["page"]): r["text"] for r in crawl.strip_repeated_lines(spark.createDataFrame(pages, "doc_id long, page long, text string")).collect()}
     assert out[1, 2] == "body 2 is here\nmore 2" and out[2, 0] == "Head 0\nx"
+
+
+def test_large_vocabularies_keep_all_tags(spark):
+    """With more than 10,000 tags each one keeps its tagged and its titled sources."""
+    n = 10_500
+    tags = spark.range(n).select(F.format_string("tag%05d;", F.col("id")).alias("tag"))
+    sources = spark.range(40).select(F.col("id").alias("source_id"), F.lit("studyguide").alias("kind"), F.lit("parsed").alias("status"), F.lit(True).alias("ai_train_ok"), F.format_string("On TAG%05d; and more", F.col("id") * 262).alias("title"), F.format_string("u%02d", F.col("id")).alias("url"))
+    source_tags = tags.select("tag", (F.substring("tag", 4, 5).cast("long") % 40).alias("source_id"))
+    want = {(f"tag{k:05};", k % 40) for k in range(n)} | {(f"tag{262 * k:05};", k) for k in range(40)}
+    assert {(r["tag"], r["source_id"]) for r in practice.tag_resources(tags, sources, source_tags).collect()} == want
+    texts = sources.select("source_id", F.lit("some text").alias("text"))
+    assert {(r["tag"], r["source_id"]) for r in planning.grounding_excerpts(tags, sources, texts, source_tags).collect()} == want
