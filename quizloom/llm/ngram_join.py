@@ -4,15 +4,17 @@
    one fixed order (shingles frequent in a bounded sample last, else by hash), so many first ones that two sets at the threshold
    must share one of them.
 2. Documents with equal sets are one class; only the classes' smallest ids go on.
-3. Classes meet in runs, one for each shingle of their prefixes. In a short run, pairs of fitting sizes are
-   candidates. In a long run all meet one pivot first.
-4. Candidates that their bitmaps do not exclude are verified on their whole sets; the links make components.
-5. A long run that now lies in one component is done. In the others a signature tree is built over the run: leaves hold
-   sizes and bitmaps, inner nodes the range of sizes and the OR of the bitmaps. A dual traversal drops pairs of nodes whose
-   largest possible overlap is too small or that lie in one component; what is left is verified as before.
-6. The components are then exact, and every link lies in one. Pairs that have not been compared met in long runs only, so both
-   have rows in one. Such classes of a component are dealt into blocks by ranges of sizes and by hash, and all pairs of blocks
-   that can fit are counted on whole sets, each pair of blocks by a task of its own.
+3. Classes meet in runs, one for each shingle of their prefixes. A run of a few classes is a single leaf: its pairs of fitting sizes
+   are candidates if their bitmaps leave enough overlap, and are verified on their whole sets.
+4. Over each longer run a signature tree is built: leaves hold sizes and bitmaps, inner nodes the range of sizes, the OR of
+   the bitmaps and the largest number of elements that a set has beyond its bits. A dual traversal drops pairs of nodes whose
+   largest possible overlap is too small, or that lie in one group of candidates already. What comes out is each class's
+   group, one row a class, never the pairs.
+5. Groups of all runs that share a class are one component of candidates; every link that meets in a long run lies in one. The
+   classes of a component are dealt into blocks by ranges of sizes and by hash, and all pairs of blocks that can
+   fit are compared on whole sets, each pair of blocks by a task of its own: it counts each class's links and names the least
+   class that it reaches.
+6. Links of both kinds make the components.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ from quizloom.llm.components import components
 #: Bits of a document's bitmap: the power of two from twice its set's size, within these bounds. Lengths that differ are made
 #: equal by OR-ing the longer one's parts, as places are hashes modulo the length.
 LEAST_BITS, MOST_BITS = 1024, 1 << 17
-#: Runs of at most this many classes are compared pair by pair.
+#: Runs of at most this many classes are one leaf, compared pair by pair.
 SHORT_RUN = 24
-#: A block of a component has about so many classes and elements of sets at most.
+#: A longer run, or a component of candidates, is dealt to several tasks by blocks of about so many classes and elements of sets at most.
 BLOCK_ROWS, BLOCK_ELEMENTS = 512, 1 << 18
 #: Documents of the sample whose frequent shingles come last in the order; it steers balance only, never the result.
 SAMPLE_DOCS = 3000
@@ -41,7 +43,7 @@ SAMPLE_DOCS = 3000
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: n consecutive words, or all words where there are fewer."""
-    for a, z in slices(offsets, 1 << 20):
+    for a, z in slices(offsets, 1 << 19):
         start, _, hashes = words(data[offsets[a] : offsets[z]], offsets[a:z] - offsets[a])
         sums = WordSums(hashes)
         bounds = np.searchsorted(start, offsets[a : z + 1] - offsets[a])
@@ -61,59 +63,81 @@ def least_overlap(size: np.ndarray | int, percent: int):
     return -(-np.asarray(size) * percent // 100)
 
 
-def frequent_shingles(df: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Shingles that several documents of a sample have (of SAMPLE_DOCS documents, by a hash of the text), the rarest first."""
-    rows = df.select(F.col(text_col).alias("_text")).where("_text is not null")
+def frequent_shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+    """Shingles that several documents of a sample have (of about SAMPLE_DOCS documents, by a hash of the id), the rarest first."""
+    rows = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     total = df.count()
     if total > SAMPLE_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("shingles"), "_text"), F.lit(1 << 20)) < int(SAMPLE_DOCS / total * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("shingles"), F.col(id_col)), F.lit(1 << 30)) < int(SAMPLE_DOCS / total * (1 << 30)))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(*utf8(b.column(0)), n))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
 
-    counted = rows.mapInArrow(take, "s long").groupBy("s").count().where("count >= 3").toPandas().sort_values(["count", "s"])
+    counted = rows.select(text_col).mapInArrow(take, "s long").groupBy("s").count().where("count >= 3").toPandas().sort_values(["count", "s"])
     return counted["s"].to_numpy(np.int64).view(np.uint64)
 
 
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set that together stand for it."""
+    if not len(s):
+        return 0, 0
+    folded = mixed(s)
+    return int(np.bitwise_xor.reduce(folded)), int(np.add.reduce(mixed(folded + np.uint64(1))))
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's bitmap as 64-bit words."""
+    n = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())) if len(s) else LEAST_BITS
+    bits = np.zeros(n, np.uint8)
+    bits[(mixed(s) >> np.uint64(40)).astype(np.int64) % n] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def _prepare(percent: int, n: int, frequent):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
         order = np.argsort(common)
         ranked = common[order]
+
+        def prefix(s: np.ndarray) -> np.ndarray:
+            keep = len(s) - int(least_overlap(len(s), percent)) + 1 if len(s) else 0
+            if not len(ranked) or not len(s):
+                return s[:keep]
+            at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
+            known = ranked[at] == s
+            if not known.any():
+                return s[:keep]
+            return s[np.lexsort((s, np.where(known, order[at] + 1, 0)))[:keep]]
+
         for b in batches:
-            size, first, second, prefixes, bitmaps = [], [], [], [], []
-            for s in shingle_sets(*utf8(b.column(1)), n):
-                size.append(len(s))
-                folded = mixed(s)
-                first.append(int(np.bitwise_xor.reduce(folded)) if len(s) else 0)
-                second.append(int(np.add.reduce(mixed(folded + np.uint64(1)))) if len(s) else 0)
-                bits = np.zeros(min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())) if len(s) else LEAST_BITS, np.uint8)
-                bits[(folded >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
-                bitmaps.append(np.packbits(bits).tobytes())
-                keep = len(s) - int(least_overlap(len(s), percent)) + 1 if len(s) else 0
-                if len(ranked) and len(s):
-                    at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-                    rank = np.where(ranked[at] == s, order[at] + 1, 0)
-                    chosen = s[np.lexsort((s, rank))[:keep]]
-                else:
-                    chosen = s[:keep]
-                prefixes.append(chosen)
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
-            flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)), pa.array(bitmaps, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))],
-                names=["doc", "size", "d1", "d2", "bits", "prefix"],
-            )
+            data, offsets = utf8(b.column(1))
+            for a, z in slices(offsets, 1 << 21):
+                size, ids, prefixes, maps = [], [], [], []
+                for s in shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], n):
+                    size.append(len(s)), ids.append(digests(s)), prefixes.append(prefix(s)), maps.append(bitmap(s).tobytes())
+                both = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(a, z - a), pa.array(size, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(maps, pa.binary()), _lists(prefixes)], names=["doc", "size", "d1", "d2", "bits", "prefix"]
+                )
 
     return make
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the runs of equal values in sorted ``keys``."""
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return cut, np.append(cut[1:], len(keys))
+    if not len(keys[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    cut = np.flatnonzero(fresh)
+    return cut, np.append(cut[1:], len(keys[0]))
 
 
 def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -122,66 +146,41 @@ def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Sorted rows (shingle, doc, size) of a task: candidate pairs of its runs; of a long run, pairs with its pivot and the run's rows (b null)."""
+    """Sorted rows (shingle, doc, size) of a task: pairs (a, b) of its short runs; of a long run its rows (b null)."""
+
+    def short_pairs(key, doc, size) -> np.ndarray:
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, SHORT_RUN):
+            same = key[d:] == key[:-d]
+            if not same.any():
+                break
+            same &= (doc[d:] != doc[:-d]) & fits(size[d:], size[:-d], percent)
+            found.append(np.stack([doc[:-d][same], doc[d:][same]], 1))
+        both = np.concatenate(found)
+        return np.unique(np.stack([both.min(1), both.max(1)], 1), axis=0) if len(both) else both
+
+    def out(pairs, key, doc, size) -> pa.RecordBatch:
+        n = len(pairs)
+        nulls = pa.nulls(n, pa.int64())
+        columns = [pa.array(np.concatenate([pairs[:, 0], doc])), pa.concat_arrays([pa.array(pairs[:, 1].copy()), pa.nulls(len(doc), pa.int64())]), pa.concat_arrays([nulls, pa.array(key)]), pa.concat_arrays([nulls, pa.array(size)])]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "shingle", "size"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, shingle, size) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shingle, pa.int64()), pa.array(size, pa.int64())], names=["a", "b", "shingle", "size"])
-
-        def flush(key, doc, size):
-            start, end = _runs(key)
-            n = end - start
-            short = np.repeat((n <= SHORT_RUN) & (n > 1), n)
-            key, doc, size = key[short], doc[short], size[short]
-            pairs = []
-            for d in range(1, SHORT_RUN):
-                same = (key[d:] == key[:-d]) & (doc[d:] != doc[:-d]) & fits(size[d:], size[:-d], percent)
-                if not len(same) or not (key[d:] == key[:-d]).any():
-                    break
-                pairs.append(np.stack([doc[:-d][same], doc[d:][same]], 1))
-            if pairs:
-                found = np.concatenate(pairs)
-                found = np.unique(np.stack([found.min(1), found.max(1)], 1), axis=0)
-                if len(found):
-                    nulls = pa.nulls(len(found), pa.int64())
-                    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), nulls, nulls], names=["a", "b", "shingle", "size"])
-            return None
-
-        def long_run(key, doc, size):
-            """Bounded memory: a run longer than a batch keeps only its first row, its pivot."""
-            pivot, p_size = doc[0], size[0]
-            ok = fits(size, p_size, percent) & (doc != pivot)
-            if ok.any():
-                yield out(np.minimum(doc[ok], pivot), np.maximum(doc[ok], pivot), [None] * int(ok.sum()), [None] * int(ok.sum()))
-            yield out(doc, [None] * len(doc), np.full(len(doc), key), size)
-
-        held = [np.zeros(0, np.int64)] * 3
-        carry = None  # the long run that the last batch ended in: key, pivot, its size
+        held, going = [np.zeros(0, np.int64)] * 3, None  # rows of a short run that may go on; the long run that may go on
         for b in batches:
             key, doc, size = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns, strict=True))
-            if carry is not None and len(key):
-                more = int(np.searchsorted(key, carry[0], "right"))
-                if more:
-                    yield from long_run(carry[0], np.concatenate([[carry[1]], doc[:more]]), np.concatenate([[carry[2]], size[:more]]))
-                    key, doc, size = key[more:], doc[more:], size[more:]
-                if len(key):
-                    carry = None
             if not len(key):
-                held = [key, doc, size]
                 continue
             start, end = _runs(key)
-            last = start[-1]
-            for s, e in zip(start, end, strict=True):
-                if e - s > SHORT_RUN:
-                    yield from long_run(int(key[s]), doc[s:e], size[s:e])
-            if end[-1] - last > SHORT_RUN:
-                carry = (int(key[last]), int(doc[last]), int(size[last]))
-                last = len(key)
-            if (r := flush(key[:last], doc[:last], size[:last])) is not None:
-                yield r
-            held = [key[last:], doc[last:], size[last:]]
-        if (r := flush(*held)) is not None:
-            yield r
+            long = end - start > SHORT_RUN
+            long[0] |= going is not None and key[0] == going
+            upto = len(key) if long[-1] else start[-1]
+            going = key[-1] if long[-1] else None
+            in_long = np.repeat(long, end - start)[:upto]
+            own = [x[:upto] for x in (key, doc, size)]
+            yield out(short_pairs(*(x[~in_long] for x in own)), *(x[in_long] for x in own))
+            held = [x[upto:] for x in (key, doc, size)]
+        yield out(short_pairs(*held), *[np.zeros(0, np.int64)] * 3)
 
     return make
 
@@ -196,122 +195,179 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
-def overlap_possible(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes, percent: int) -> bool:
-    """Whether two sets of these sizes and bitmaps can reach the threshold: each set has at least as many elements outside the other as it has bits that the other lacks."""
-    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
-    n = min(len(a), len(b))
-    a, b = folded(a, n), folded(b, n)
-    most = min(size_a - int(bit_counts(a & ~b)), size_b - int(bit_counts(b & ~a)))
-    return (100 + percent) * most >= percent * (size_a + size_b)
-
-
-def whole_bitmaps(maps: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """overlap_possible() for many pairs, each at the length of its shorter bitmap (a tree has all at the shortest)."""
-    n = np.array([len(m) for m in maps])
-    least = np.minimum(n[i], n[j])
-    ok = np.zeros(len(i), bool)
-    for words in np.unique(least):
-        at = np.flatnonzero(least == words)
-        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-        rows = np.stack([folded(maps[k], words) for k in used])
-        for k in range(0, len(at), 1 << 14):
-            own = slice(k, k + (1 << 14))
-            a, b = rows[place[: len(at)][own]], rows[place[len(at) :][own]]
-            p, q = i[at[own]], j[at[own]]
-            most = np.minimum(size[p] - bit_counts(a & ~b), size[q] - bit_counts(b & ~a))
-            ok[at[own]] = (100 + percent) * most >= percent * (size[p] + size[q])
-    return ok
-
-
 def _possible(percent: int):
-    """Rows (a, b, size_a, bits_a, size_b, bits_b): the pairs (a, b) whose leaves do not exclude them."""
+    """Rows (a, b, size_a, bits_a, size_b, bits_b): the pairs (a, b) whose bitmaps leave the threshold possible."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [overlap_possible(*row, percent) for row in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            ok = np.zeros(b.num_rows, bool)
+            sizes = [b.column(k).to_numpy() for k in (2, 4)]
+            (x, x_at), (y, y_at) = (_words_of(b.column(k)) for k in (3, 5))
+            n = [np.diff(at) for at in (x_at, y_at)]
+            for own, other in {tuple(p) for p in np.stack(n, 1).tolist()}:
+                rows = np.flatnonzero((n[0] == own) & (n[1] == other))
+                for some in np.array_split(rows, max(1, len(rows) * max(own, other) >> 17)):
+                    sides = [w[at[some][:, None] + np.arange(k)] for w, at, k in ((x, x_at, own), (y, y_at, other))]
+                    least = min(own, other)
+                    p, q = (np.bitwise_or.reduce(s.reshape(len(some), -1, least), axis=1) for s in sides)
+                    size_p, size_q = (s[some] for s in sizes)
+                    most = bit_counts(p & q) + np.minimum(size_p - bit_counts(p), size_q - bit_counts(q))
+                    ok[some] = (100 + percent) * most >= percent * (size_p + size_q)
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return make
 
 
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit words of a column of bitmaps one after the other, and the n + 1 places where they begin."""
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes(), np.uint64), (ends - ends[0]) // 8
+
+
+class Groups:
+    """Disjoint groups of 0 .. n - 1; a group's label is its least member."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> bool:
+        """Make the members i[k] and j[k] one group; whether anything changed."""
+        changed, parent = False, np.arange(len(self.label))
+        while True:
+            a, b = self.label[i], self.label[j]
+            if (a == b).all():
+                return changed
+            changed = True
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            self.label = parent[self.label]
+
+
 class SignatureTree:
-    """Levels of nodes over sets sorted by component and size: size ranges, OR of the bitmaps, AND-like component (-1 if mixed)."""
-
-    def __init__(self, size: np.ndarray, bits: np.ndarray, part: np.ndarray):
-        self.order = np.lexsort((size, part))
-        self.size, self.bits, self.part = size[self.order], bits[self.order], part[self.order]
-        low, high, ors, part = self.size, self.size, self.bits, self.part
-        self.levels = [(low, high, ors, part)]
-        while len(low) > 1:
-            cut = np.arange(0, len(low), 4)
-            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            ors = np.bitwise_or.reduceat(ors, cut, axis=0)
-            p0, p1 = np.minimum.reduceat(part, cut), np.maximum.reduceat(part, cut)
-            part = np.where(p0 == p1, p0, -1)
-            self.levels.append((low, high, ors, part))
-
-    def pairs(self, percent: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of sets of different components whose bitmaps and sizes leave the threshold possible."""
+    """Levels of nodes over sets: size ranges, OR of the bitmaps, and how many elements a set of the node has beyond its bits at most.
+
+    Leaves stand in the order of their bitmaps, so that like sets are neighbours and the ORs stay sparse.
+    """
+
+    WIDTH = 4
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray):
+        first = bits[:, : min(4, bits.shape[1])].byteswap()
+        self.order = np.lexsort(tuple(first[:, k] for k in range(first.shape[1] - 1, -1, -1)))
+        size, bits = size[self.order], bits[self.order]
+        self.levels = [(size, size, bits, size - bit_counts(bits))]
+        self.visited = 0
+        while len(self.levels[-1][0]) > 1:
+            low, high, ors, beyond = self.levels[-1]
+            cut = np.arange(0, len(low), self.WIDTH)
+            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(ors, cut, axis=0), np.maximum.reduceat(beyond, cut)))
+
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether any set below node i can link with one below node j: no set shares more with another than the bits that both ORs have, and what it has beyond its own bits."""
+        low, high, ors, beyond = self.levels[level]
+        self.visited += len(i)
+        ok = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        at = np.flatnonzero(ok)
+        a, b = i[at], j[at]
+        most = np.minimum(bit_counts(ors[a] & ors[b]) + np.minimum(beyond[a], beyond[b]), np.minimum(high[a], high[b]))
+        ok[at] = (100 + percent) * most >= percent * (low[a] + low[b])
+        return ok
+
+    def groups(self, percent: int, matter: np.ndarray | None = None, block: int = 1 << 12) -> Groups:
+        """Groups of sets that possible pairs join (by places in the input); a pair counts if one of its sets has ``matter``."""
+        n = len(self.order)
+        groups, matter = Groups(n), np.ones(n, bool) if matter is None else matter[self.order]
+
+        def test(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if level == 0:
+                i, j = (x[matter[i] | matter[j]] for x in (i, j))
+            ok = self.possible(level, i, j, percent)
+            return i[ok], j[ok]
+
+        for d in range(1, min(n, self.WIDTH + 1)):  # neighbours first: then most pairs lie in one group
+            groups.join(*test(0, np.arange(n - d), np.arange(d, n)))
+        bounds = self._bounds(groups.label)
         stack = [(len(self.levels) - 1, np.array([0]), np.array([0]))]
         while stack:
             level, i, j = stack.pop()
-            low, high, ors, part = self.levels[level]
-            ok = (part[i] < 0) | (part[i] != part[j])
-            ok &= (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
-            i, j = i[ok], j[ok]
-            # A set has at least as many elements outside another as it has bits that the other lacks. For nodes only the OR is known,
-            # so bits common to both bound the overlap only at the leaves, where each bit can also stand for several elements.
-            if level == 0 and len(i):
-                over_i = self.size[i] - bit_counts(ors[i] & ~ors[j])
-                over_j = self.size[j] - bit_counts(ors[j] & ~ors[i])
-                ok = (100 + percent) * np.minimum(over_i, over_j) >= percent * (self.size[i] + self.size[j])
-                i, j = i[ok], j[ok]
-            elif len(i):
-                # An inner node's smallest set has `low` elements; its bits may all lie in the other's OR, at most so many do.
-                shared = bit_counts(ors[i] & ors[j])
-                ok = (shared > 0) | (low[i] == 0)
-                i, j = i[ok], j[ok]
+            least, most = bounds[level]
+            apart = (least[i] != most[i]) | (least[j] != most[j]) | (least[i] != least[j])
+            i, j = test(level, i[apart], j[apart])
             if not len(i):
                 continue
             if level == 0:
-                yield self.order[i], self.order[j]
+                if groups.join(i, j):
+                    bounds = self._bounds(groups.label)
                 continue
-            n = len(self.levels[level - 1][0])
-            for at in range(0, len(i), block // 16):
-                a = (4 * i[at : at + block // 16, None] + np.arange(4)).repeat(4, 1)
-                b = np.tile(4 * j[at : at + block // 16, None] + np.arange(4), (1, 4))
-                keep = (a < n) & (b < n) & (a <= b if level > 1 else a < b)
+            below = len(self.levels[level - 1][0])
+            for at in range(0, len(i), block // self.WIDTH**2):
+                own = slice(at, at + block // self.WIDTH**2)
+                a = (self.WIDTH * i[own, None] + np.arange(self.WIDTH)).repeat(self.WIDTH, 1)
+                b = np.tile(self.WIDTH * j[own, None] + np.arange(self.WIDTH), (1, self.WIDTH))
+                keep = (a < below) & (b < below) & (a <= b if level > 1 else a < b)
                 stack.append((level - 1, a[keep], b[keep]))
+        out = Groups(n)
+        out.join(self.order, self.order[groups.label])
+        return out
+
+    def _bounds(self, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By level, the least and largest label below each node."""
+        out = [(label, label)]
+        while len(out[-1][0]) > 1:
+            cut = np.arange(0, len(out[-1][0]), self.WIDTH)
+            out.append((np.minimum.reduceat(out[-1][0], cut), np.maximum.reduceat(out[-1][1], cut)))
+        return out
+
+
+def run_groups(size: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """The group of each set of a run. Sets that can link have bitmaps of one length, or one twice as long as the other's: a tree for each length."""
+    n, out = np.array([len(m) for m in maps]), Groups(len(maps))
+    for least in np.unique(n):
+        own = np.flatnonzero((n == least) | (n == 2 * least))
+        if len(own) > 1:
+            tree = SignatureTree(size[own], np.stack([folded(maps[k], least) for k in own]))
+            label = tree.groups(percent, n[own] == least).label
+            out.join(own, own[label])
+    return out.label
 
 
 def _trees(percent: int):
-    """Sorted rows (shingle, doc, size, bits, part) of a task: candidate pairs between components, run by run."""
+    """Rows (shingle, p, s, q, t, doc, size, bits) of a task, sorted: of each run, rows (a, b) of a class and the least class of its group."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(run: pa.Table):
-            size, part = run["size"].to_numpy(), run["part"].to_numpy()
-            doc = run["doc"].to_numpy()
-            maps = [np.frombuffer(m, np.uint64) for m in run["bits"].to_pylist()]
-            least = min(map(len, maps))
-            bits = np.stack([folded(m, least) for m in maps])
-            _, part = np.unique(part, return_inverse=True)
-            for i, j in SignatureTree(size, bits, part).pairs(percent):
-                ok = whole_bitmaps(maps, size, i, j, percent)
-                i, j = i[ok], j[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
-
-        held: list[pa.Table] = []
+        def of(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            doc, place = np.unique(run["doc"].to_numpy(), return_index=True)
+            words_, at = _words_of(run["bits"].combine_chunks())
+            label = run_groups(run["size"].to_numpy()[place], [words_[at[k] : at[k + 1]] for k in place], percent)
+            joined = label != np.arange(len(doc))
+            return doc[label[joined]], doc[joined]
+
+        def ended(runs: list[pa.Table]) -> pa.RecordBatch:
+            found = [of(run) for run in runs]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            both = np.unique(np.stack([a, b], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+        names = ("shingle", "p", "s", "q", "t")
+        held: list[pa.Table] = []  # the pieces of the run that may go on
         for b in batches:
-            t = pa.Table.from_batches([b])
-            start, end = _runs(t["shingle"].to_numpy())
-            for s, e in zip(start, end, strict=True):
-                piece = t.slice(s, e - s)
-                if held and held[0]["shingle"][0] != piece["shingle"][0]:
-                    yield from of(pa.concat_tables(held))
-                    held = []
-                held.append(piece)
+            table = pa.Table.from_batches([b])
+            if not table.num_rows:
+                continue
+            start, end = _runs(*(table[n].to_numpy() for n in names))
+            pieces = [table.slice(s, e - s) for s, e in zip(start, end, strict=True)]
+            if held and all(held[0][n][0] == pieces[0][n][0] for n in names):
+                held.append(pieces.pop(0))
+            if pieces:
+                yield ended(([pa.concat_tables(held)] if held else []) + pieces[:-1])
+                held = [pieces[-1]]
         if held:
-            yield from of(pa.concat_tables(held))
+            yield ended([pa.concat_tables(held)])
 
     return make
 
@@ -337,7 +393,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> n
 
 
 def _block_links(percent: int):
-    """Of a pair of blocks, rows (p, s, q, t, side, doc, own): how many of the other block's classes each class links with."""
+    """Of a pair of blocks, rows (rep, n, low): how many of the other block's classes each class links with, and the least class that it reaches there."""
 
     def make(rows: pa.Table) -> pa.Table:
         doc, place = np.unique(rows["doc"].to_numpy(), return_index=True)  # rows that repeat an id count once
@@ -351,34 +407,58 @@ def _block_links(percent: int):
         j = i if one else np.flatnonzero(side == 1)
         n = overlaps([sets[k] for k in i], [sets[k] for k in j])
         linked = 100 * n >= percent * (size[i][:, None] + size[j][None, :] - n)
-        count = np.zeros(len(doc), np.int64)
+        count, groups = np.zeros(len(doc), np.int64), Groups(len(doc))
         if one:
             np.fill_diagonal(linked, False)
         else:
             count[j] = linked.sum(0)
         count[i] = linked.sum(1)
-        return pa.table({"rep": pa.array(doc), "n": pa.array(count)}).filter(pa.array(count > 0))
+        x, y = np.nonzero(linked)
+        groups.join(i[x], j[y])
+        return pa.table({"rep": pa.array(doc), "n": pa.array(count), "low": pa.array(doc[groups.label])}).filter(pa.array(count > 0))
 
     return make
 
 
+def in_blocks(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """``rows`` (group, doc, size, ...) once for each pair of blocks that it belongs to, with (p, s, q, t, side).
+
+    A group of at most BLOCK_ROWS classes and BLOCK_ELEMENTS elements is one block. A larger one is dealt by ranges of sizes (p) and,
+    in each, by a hash (s). Sizes of sets that link differ by a factor of 100 / percent at most, so their logarithms to a slightly
+    larger base differ by less than 1: only blocks of the same range or the next are paired.
+    """
+    size = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_elements"))
+    large = size.where((F.col("_n") > BLOCK_ROWS) | (F.col("_elements") > BLOCK_ELEMENTS)).select(group, F.lit(True).alias("_large"))
+    rows = rows.join(large, group, "left").withColumn("p", F.when(F.col("_large"), F.floor(F.log("size") / (math.log(100 / percent) + 1e-9))).otherwise(F.lit(0).cast("long")))
+    parts = rows.where("_large").groupBy(group, "p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).alias("m"))
+    parts = parts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("p", "m"))).alias("_parts"))
+    rows = rows.drop("_large").join(parts, group, "left")
+    own = F.coalesce(F.element_at("_parts", F.col("p")), F.lit(1).cast("long"))
+    dealt = rows.withColumns({"_own": own, "s": F.pmod(F.xxhash64(F.lit("block"), "doc"), own)})
+    numbers = "if({0} is null, array(), sequence(0L, {0} - 1))".format
+    pairs = f"""concat(transform({numbers("_own")}, t -> struct(p as p, least(s, t) as s, p as q, greatest(s, t) as t, int(t < s) as side)),
+        transform({numbers("element_at(_parts, p + 1)")}, t -> struct(p as p, s as s, p + 1 as q, t as t, 0 as side)), transform({numbers("element_at(_parts, p - 1)")}, t -> struct(p - 1 as p, t as s, p as q, s as t, 1 as side)))"""
+    kept = [c for c in rows.columns if c not in ("p", "_parts")]
+    return dealt.withColumn("_pairs", F.expr(pairs)).select(*kept, F.inline("_pairs"))
+
+
 #: Bits of the filter that keeps documents without candidates out of the shuffle: about 16 for each wanted id, within these bounds.
 LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 26
 
 
 def only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs(doc, _text) whose id is in wanted(doc).
+    """docs(doc, _text) whose id is in wanted(doc, d1), with d1.
 
     A bitmap of two hashes of the wanted ids (8 MB at most) lets few others through, so that not all texts are shuffled for the
-    exact semi-join behind it. Where ids are too many for it, it lets more through, and the join does more.
+    exact join behind it. Where ids are too many for it, it lets more through, and the join does more.
     """
     n = wanted.count()
     bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * n).bit_length()))
     places = [F.pmod(F.xxhash64(F.lit(k), "doc"), F.lit(bits)) for k in range(2)]
     words_ = wanted.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toPandas()
-    bitmap = np.zeros(bits >> 6, np.uint64)
-    bitmap[words_["word"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64).view(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    filter_ = np.zeros(bits >> 6, np.uint64)
+    filter_[words_["word"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64).view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -389,7 +469,22 @@ def only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["doc", "_text"]).filter(pa.array(ok))
 
     own = docs.select(F.col("doc").cast("long").alias("doc"), "_text").where("doc is not null")
-    return own.select("doc", "_text", *[p.alias(f"h{k}") for k, p in enumerate(places)]).mapInArrow(sift, "doc long, _text string").join(wanted, "doc", "left_semi")
+    return own.select("doc", "_text", *[p.alias(f"h{k}") for k, p in enumerate(places)]).mapInArrow(sift, "doc long, _text string").join(wanted, "doc")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc, own): the whole sets of the documents of wanted(doc, d1); of an id's texts the one with this digest."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            d1 = b.column(2).to_numpy().view(np.uint64)
+            for a, z in slices(offsets, 1 << 21):
+                found = list(shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], n))
+                right = np.array([digests(s)[0] == d for s, d in zip(found, d1[a:z].tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), _lists(found)], names=["doc", "own"]).filter(pa.array(right))
+
+    return only_wanted(docs, wanted).select("doc", "_text", "d1").mapInArrow(whole, "doc long, own array<long>")
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 75, count_links: bool = True) -> DataFrame:
@@ -398,76 +493,55 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct shingles. class_id
     is the smallest id with the very same set; n_links is the number of all other classes that this class links with; component_id is the smallest id reachable by links. A null or
     blank text has an empty set and is alone. Rows with a null id have n_shingles and null ids. Rows that
-    repeat an id must repeat its text. An empty table gives an empty result.
+    repeat an id and its text are judged alike. If several different sets have the same smallest id (an id with more than one
+    text), one of them, by digest, takes part in the join and the others are alone. Other columns play no part. An empty
+    table gives an empty result. Shingles and sets are compared by 64-bit and 128-bit hashes.
     """
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
-    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, text_col, shingle_words))
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, "doc", "_text", shingle_words))
     sets = staged(docs.mapInArrow(_prepare(percent, shingle_words, frequent), f"doc {kind}, size long, d1 long, d2 long, bits binary, prefix array<long>"), "shingles")
-    classes = staged(sets.where("size > 0 and doc is not null").groupBy("d1", "d2", "size").agg(F.min(F.col("doc").cast("long")).alias("rep")), "classes")
-    heads = sets.select(F.col("doc").cast("long").alias("doc"), "size", "prefix").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    classes = sets.where("size > 0 and doc is not null").groupBy("d1", "d2", "size").agg(F.min(F.col("doc").cast("long")).alias("rep"))
+    chosen = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2", "size")).alias("c")).select("rep", "c.*")
+    classes = staged(chosen, "classes")
+    one = classes.select(F.col("rep").alias("doc"), "d1", "d2", "size")
+    heads = sets.withColumn("doc", F.col("doc").cast("long")).join(one, ["doc", "d1", "d2", "size"], "left_semi")
     rows = heads.select(F.explode("prefix").alias("shingle"), "doc", "size").repartition("shingle").sortWithinPartitions("shingle", "doc")
     met = staged(rows.mapInArrow(_meet(percent), "a long, b long, shingle long, size long"), "met")
-
-    def whole_sets(wanted: DataFrame) -> DataFrame:
-        """(doc, own): the whole sets of the documents of wanted(doc)."""
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = list(shingle_sets(*utf8(b.column(1)), shingle_words))
-                bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc", "own"])
-
-        return only_wanted(docs, wanted).mapInArrow(whole, "doc long, own array<long>")
-
-    def verified(pairs: DataFrame, tested: bool = False) -> DataFrame:
-        """Those of the distinct pairs that reach the threshold, by their whole sets; ``tested``: their bitmaps have been compared."""
-        if not tested:
-            side = sets.select(F.col("doc").cast("long").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-            pairs = pairs.distinct().join(side, "a").join(side.toDF("b", "size_b", "bits_b"), "b")
-            pairs = pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(_possible(percent), "a long, b long")
-        pairs = staged(pairs.distinct(), "pairs")
-        ends = staged(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "ends")
-
-        own = staged(whole_sets(ends), "sets")
-        both = pairs.join(own.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(own.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a")
-        shared = F.size(F.array_intersect("own_a", "own_b")).cast("long")
-        return both.select("a", "b", shared.alias("n"), (F.size("own_a").cast("long") + F.size("own_b")).alias("sum")).where(f"100 * n >= {percent} * (sum - n)").select("a", "b")
-
-    links = staged(verified(met.where("b is not null").select("a", "b")), "links")
-    joined = staged(components(links), "joined")
-    run_rows = met.where("b is null").select(F.col("a").alias("doc"), "shingle", "size").distinct()
-    part = F.coalesce("component", "doc")
-    placed = run_rows.join(joined.withColumnRenamed("v", "doc"), "doc", "left").select("doc", "shingle", "size", part.alias("part"))
-    open_runs = placed.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("shingle")
-    placed = placed.join(open_runs, "shingle", "left_semi").join(sets.select(F.col("doc").cast("long").alias("doc"), "bits"), "doc")
-    more = placed.select("shingle", "doc", "size", "bits", "part").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_trees(percent), "a long, b long")
-    links = links.union(verified(more, tested=True)).distinct()
-    links = staged(links, "links")
-    joined = staged(components(links), "joined")
-
-    def numbers() -> DataFrame:
-        """(rep, n_links), of all links."""
-        # Sizes of linked sets differ by a factor of 100 / percent at most, so their logarithms to a slightly larger base differ by less than 1.
-        members = run_rows.select("doc", "size").distinct().join(joined.withColumnRenamed("v", "doc"), "doc")
-        members = staged(members.withColumn("p", F.floor(F.log("size") / (math.log(100 / percent) + 1e-9))), "members")
-        parts = members.groupBy("component", "p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).alias("m"))
-        parts = parts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("p", "m"))).alias("parts"))
-        dealt = members.join(parts, "component").withColumn("s", F.pmod(F.xxhash64(F.lit("block"), "doc"), F.element_at("parts", F.col("p"))))
-        numbers_of = "if({0} is null, array(), sequence(0L, {0} - 1))".format
-        own, after, before = (numbers_of(f"element_at(parts, p {k})") for k in ("+ 0", "+ 1", "- 1"))
-        pairs = f"""concat(transform({own}, t -> struct(p as p, least(s, t) as s, p as q, greatest(s, t) as t, int(t < s) as side)),
-            transform({after}, t -> struct(p as p, s as s, p + 1 as q, t as t, 0 as side)), transform({before}, t -> struct(p - 1 as p, t as s, p as q, s as t, 1 as side)))"""
-        dealt = dealt.select("doc", "component", F.expr(pairs).alias("pairs")).join(whole_sets(members.select("doc")), "doc").select("component", "doc", "own", F.inline("pairs"))
-        counted = dealt.groupBy("component", "p", "s", "q", "t").applyInArrow(_block_links(percent), "rep long, n long")
-        known = members.select("doc", F.lit(True).alias("known"))
-        others = links.join(known.toDF("a", "a_known"), "a", "left").join(known.toDF("b", "b_known"), "b", "left").where("a_known is null or b_known is null")
-        ends = others.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))
-        return staged(counted.union(ends).groupBy("rep").agg(F.sum("n").alias("n_links")), "counts")
+    maps = heads.select("doc", "bits")
+
+    # Long runs: groups of candidates, and the components that these make over all runs.
+    long_rows = in_blocks(met.where("b is null").select("shingle", F.col("a").alias("doc"), "size").distinct(), "shingle", percent)
+    keys = ["shingle", "p", "s", "q", "t"]
+    grown = long_rows.select(*keys, "doc", "size").join(maps, "doc").select(*keys, "doc", "size", "bits").repartition(*keys).sortWithinPartitions(*keys)
+    near = components(grown.mapInArrow(_trees(percent), "a long, b long"))
+    near = staged(near.select(F.col("v").alias("doc"), F.col("component").alias("part")), "candidates")
+
+    # Short runs: pairs that do not lie in one such component.
+    part_a, part_b = near.toDF("a", "part_a"), near.toDF("b", "part_b")
+    pairs = met.where("b is not null").select("a", "b").distinct()
+    pairs = pairs.join(part_a, "a", "left").join(part_b, "b", "left").where("part_a is null or part_b is null or part_a != part_b").select("a", "b")
+    size = heads.select("doc", "size", "bits")
+    pairs = pairs.join(size.toDF("a", "size_a", "bits_a"), "a").join(size.toDF("b", "size_b", "bits_b"), "b")
+    pairs = staged(pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(_possible(percent), "a long, b long").distinct(), "pairs")
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(near.select("doc")).distinct()
+    ends = staged(ends.join(classes.select(F.col("rep").alias("doc"), "d1"), "doc"), "ends")
+    own = staged(whole_sets(docs, ends, shingle_words), "sets")
+
+    both = pairs.join(own.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(own.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a")
+    shared = F.size(F.array_intersect("own_a", "own_b")).cast("long")
+    links = both.select("a", "b", shared.alias("n"), (F.size("own_a").cast("long") + F.size("own_b")).alias("sum")).where(f"100 * n >= {percent} * (sum - n)")
+    links = staged(links.select("a", "b").distinct(), "links")
+    dealt = in_blocks(near.join(classes.select(F.col("rep").alias("doc"), "size"), "doc"), "part", percent)
+    blocks = dealt.join(own, "doc").select("part", "p", "s", "q", "t", "side", "doc", "own").groupBy("part", "p", "s", "q", "t").applyInArrow(_block_links(percent), "rep long, n long, low long")
+    blocks = staged(blocks, "block-links")
+    joined = components(links.union(blocks.select("low", "rep")))
 
     classes = classes.join(joined.withColumnRenamed("v", "rep"), "rep", "left")
     if count_links:
-        classes = classes.join(numbers(), "rep", "left")
+        counted = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n")).union(blocks.select("rep", "n"))
+        classes = classes.join(counted.groupBy("rep").agg(F.sum("n").alias("n_links")), "rep", "left")
     out = sets.select("doc", "size", "d1", "d2").join(classes, ["d1", "d2", "size"], "left")
     doc = F.col("doc").cast("long")
     return out.select(

@@ -223,18 +223,23 @@ def test_all_links_of_long_runs(spark, tmp_path, monkeypatch, block_rows):
 
 
 def test_signature_tree():
+    """No pair at the threshold is apart in the groups, and the traversal visits a small part of the pairs of nodes."""
     rng = np.random.default_rng(3)
-    sets = [set(rng.choice(400, rng.integers(5, 60), replace=False)) for _ in range(70)]
-    for k in range(20):
-        sets.append(set(list(sets[k])[1:]) | {1000 + k})
-    size = np.array([len(s) for s in sets])
-    bits = np.zeros((len(sets), 1024), np.uint8)
-    for k, s in enumerate(sets):
-        bits[k, [hash((7, int(x))) % 1024 for x in s]] = 1
-    tree = ngram_join.SignatureTree(size, np.packbits(bits, axis=1).view(np.uint64), np.arange(len(sets)))
-    found = {tuple(sorted((int(a), int(b)))) for i, j in tree.pairs(75) for a, b in zip(i, j, strict=True)}
-    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    assert want and want <= found and len(found) < len(sets) ** 2 / 10
+    sets = [np.unique(rng.integers(1, 2**63, rng.integers(60, 120)).astype(np.uint64)) for _ in range(400)]
+    shared = np.arange(1, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.union1d(s, shared) for s in sets]
+    for k in range(60):
+        sets.append(np.union1d(sets[k][2:], rng.integers(1, 2**63, 3).astype(np.uint64)))
+    sets += [np.unique(rng.integers(1, 2**63, n).astype(np.uint64)) for n in (1500, 3000, 5, 1)]
+    sets += [sets[-4][20:], sets[-3][100:], sets[-1]]
+    maps, size = [ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    label = ngram_join.run_groups(size, maps, 75)
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert len(want) >= 62 and all(label[a] == label[b] for a, b in want)
+    assert len(np.unique(label)) > len(sets) - 80
+    small = [np.unique(rng.integers(1, 2**63, 36).astype(np.uint64)) for _ in range(600)]
+    tree = ngram_join.SignatureTree(np.array([len(s) for s in small]), np.stack([ngram_join.bitmap(s) for s in small]))
+    assert len(np.unique(tree.groups(75).label)) == 600 and tree.visited < 600**2 / 2 / 4
 
 
 def test_components(spark):
