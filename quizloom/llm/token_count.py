@@ -2,7 +2,8 @@
 
 The library counts a text by merging its characters. Two facts about the vocabulary, proved from the model before any text
 is read, make that additive over short pre-tokens: no piece has the space mark behind another character, and no piece of
-several characters holds a line feed; so no merge crosses those places. Further, the strings of the vocabulary that
+several characters holds a line feed; so no merge crosses those places (the library writes a space as the space mark, so a
+literal U+2581 in a text is a space here too). Further, the strings of the vocabulary that
 encode alone as one token are listed once; a pre-token among them counts 1 without any merge, and only the rest is merged
 by the library (and remembered, up to a bound).
 """
@@ -83,7 +84,7 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
         counts = _counter(model_file, proven.value)
         get, cut = counts.__getitem__, _PRE_TOKEN.findall
         for b in batches:
-            n = [sum(map(get, cut(" " + t))) if t else 0 for t in b.column(1).to_pylist()]
+            n = [sum(map(get, cut(" " + t.replace("▁", " ")))) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
