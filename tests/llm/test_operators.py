@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -364,7 +365,9 @@ def test_token_counts(spark, docs, rows, none):
     for i, t, *_ in rows:
         assert got[i]["n_tokens"] == len(sp.encode(t or "")) and got[i]["n_bytes"] == len((t or "").encode())
     assert token_count.token_counts(none, path).count() == 0
-    odd = ["a  b   c ", " lead", "\n\nx", "x\n y", "<s> </s> <unk>", "　 é é", "123 4,5", "a\x00b\tc", "▁under ▁▁ x", "日本語 テキスト"]
+    odd = ["a  b   c ", " lead", "\n\nx", "x\n y", "<s> </s> <unk>", "　 é é", "123 4,5", "a\x00b\tc", "▁under ▁▁ x", "日本語 テキスト", "▁ ", " ▁", "a▁ b ▁\n▁ c"]
+    rng = random.Random(17)
+    odd += ["".join(rng.choice(["▁", " ", "\n", "a", "the", "é", ".", "▁▁", "  ", "ing", "\t", "１"]) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
     frame_ = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(frame_, path).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(odd)}
 
@@ -489,6 +492,44 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_of_vectors(spark):
+    """Three rows in, three out; an id with two vectors is one vertex."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, None), (5, [0.0, 1.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0])]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    assert {(r["n_links"], r["component_id"]) for r in got if r["vec_id"] in (1, 2)} <= {(1, 1), (2, 1)}
+    assert len({(r["n_links"], r["component_id"]) for r in got if r["vec_id"] == 5}) == 1
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, False)]
+
+
+@pytest.mark.parametrize("dims", [1, 64, 768, 1536, 3000])
+def test_recall_of_vectors(spark, dims):
+    """Pairs planted just above the threshold are found, whatever the dimension; none below it links."""
+    rng = np.random.default_rng(dims)
+    rows = []
+    for k in range(150):
+        x = rng.normal(size=dims)
+        x /= np.linalg.norm(x)
+        away = rng.normal(size=dims)
+        away -= (away @ x) * x
+        rows.append(x)
+        if dims > 1:
+            c = rng.uniform(0.95, 0.96) if k % 3 else rng.uniform(0.93, 0.9499)
+            rows.append(c * x + math.sqrt(1 - c * c) * away / np.linalg.norm(away))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    all_ = np.array(rows)
+    near = all_ @ all_.T / np.linalg.norm(all_, axis=1)[:, None] / np.linalg.norm(all_, axis=1)[None] >= 0.95
+    want = (near.sum(1) - 1).tolist()
+    got = by_id(vector_dedup.near_vectors(df), "vec_id")
+    assert [got[i]["n_links"] for i in range(len(rows))] == want
+
+
+def test_hadamard_rotation():
+    x = np.random.default_rng(2).normal(size=(3, 3000))
+    y = vector_dedup.Rotation(3000, 4096, 5).turn(x)
+    assert np.allclose(x @ x.T, y @ y.T)
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(1)
     turn = vector_dedup.rotation(16, vector_dedup.CODE_BITS, 3)
@@ -497,9 +538,7 @@ def test_estimate_is_unbiased():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = x + 0.2 * rng.normal(size=x.shape)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    code = np.sign(y @ turn)
     factor = np.abs(y @ turn).sum(1) / np.sqrt(vector_dedup.CODE_BITS)
-    estimate = ((x @ turn) * code).sum(1) / np.sqrt(vector_dedup.CODE_BITS) / factor
+    estimate, error = vector_dedup.estimates(*vector_dedup.quantised(x @ turn), np.packbits(y @ turn > 0, axis=1), factor)
     off = estimate - (x * y).sum(1)
-    error = vector_dedup.ERRORS * np.sqrt((1 - factor**2) / factor**2 / (vector_dedup.CODE_BITS - 1))
     assert abs(off.mean()) < 0.005 and (np.abs(off) <= error).mean() > 0.999
