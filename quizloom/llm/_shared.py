@@ -34,6 +34,16 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch on its way to a Python worker, where the session names no bound: rows may be very long.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in this session, unless it has a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def fold_of(id_col: str) -> Column:
     """crc32 of the id written as text, modulo 3; null ids have no fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
@@ -65,6 +75,8 @@ def slices(offsets: np.ndarray, most: int):
 # Odd multipliers of the polynomial hashes below, with their inverses modulo 2**64.
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps between batches; those for a single longer text are made anew.
+HELD_POWERS = 1 << 22
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -73,7 +85,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if held is None or len(held) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        held = _powers[base] = np.multiply.accumulate(steps)
+        held = np.multiply.accumulate(steps)
+        if n <= HELD_POWERS:
+            _powers[base] = held
     return held[:n]
 
 
@@ -94,22 +108,35 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+class ByteSums:
+    """Hashes of any run of bytes (A-Z as a-z) in constant time."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, len(data)), out=self.total[1:])
+        self.shift = powers(inverse(_BYTE_BASE), len(data))
+
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.total[end] - self.total[start]) * self.shift[start] + (end - start).astype(np.uint64))
+
+
+def spans(inside: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of marked bytes; none crosses a place in ``begins``, where a row begins."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh = np.ones(len(inside) + 1, bool)  # whether a run that has this byte can't go on from the one before
+    np.logical_not(inside[:-1], out=fresh[1:-1])
+    fresh[begins[begins < len(inside)]] = True
+    return np.flatnonzero(inside & fresh[:-1]), np.flatnonzero(inside & (fresh[1:] | np.append(~inside[1:], True))) + 1
+
+
 def words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of these bytes, A-Z as a-z.
 
     ``begins``: where the rows begin that stand here one after the other; no word crosses such a place.
     """
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = ~_SPACE[data]
-    fresh = np.ones(len(data) + 1, bool)  # whether a word that has this byte can't go on from the one before
-    np.logical_not(inside[:-1], out=fresh[1:-1])
-    fresh[begins[begins < len(data)]] = True
-    start, end = np.flatnonzero(inside & fresh[:-1]), np.flatnonzero(inside & (fresh[1:] | np.append(~inside[1:], True))) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, len(data)), out=total[1:])
-    shift = powers(inverse(_BYTE_BASE), len(data))
-    return start, end, mixed((total[end] - total[start]) * shift[start] + (end - start).astype(np.uint64))
+    start, end = spans(~_SPACE[data], begins)
+    return start, end, ByteSums(data).run(start, end) if len(start) else np.zeros(0, np.uint64)
 
 
 class WordSums:

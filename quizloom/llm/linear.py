@@ -6,31 +6,30 @@ import numpy as np
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, c: np.ndarray, epochs: int = 20, seed: int = 0, tolerance: float = 1e-3) -> np.ndarray:
-    """Weights (the last one is the bias) of min |w|^2 / 2 + sum c_i max(0, 1 - y_i w x_i)^2.
+    """Weights (the last one is the bias) of min |w|^2 / 2 + sum c_i max(0, 1 - y_i w x_i).
 
     ``rows``: indices and values of each row; ``labels`` are +1 or -1; ``c``: the cost of each row. The dual has one
-    variable a row; each step solves for one and adds the change to w (Hsieh et al. 2008, squared hinge loss).
+    variable a row, between 0 and its cost; each step solves for one and adds the change to w (Hsieh et al. 2008, hinge loss).
+    It ends when no variable's slope is further than ``tolerance`` from an optimum's.
     """
     n, w, alpha = len(rows), np.zeros(size + 1), np.zeros(len(rows))
-    diagonal = 0.5 / c
-    square = np.array([float(v @ v) for _, v in rows]) + 1.0 + diagonal
+    square = np.array([float(v @ v) for _, v in rows]) + 1.0
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in draw.permutation(n):
             at, v = rows[i]
             y = labels[i]
-            slope = y * (w[at] @ v + w[size]) - 1.0 + diagonal[i] * alpha[i]
-            if alpha[i] == 0.0:
-                worst = max(worst, -min(slope, 0.0))
-            else:
-                worst = max(worst, abs(slope))
-            new = max(alpha[i] - slope / square[i], 0.0)
-            step = (new - alpha[i]) * y
-            if step:
-                w[at] += step * v
-                w[size] += step
-                alpha[i] = new
+            slope = y * (w[at] @ v + w[size]) - 1.0
+            old = alpha[i]
+            if old <= 0.0 <= slope or old >= c[i] and slope <= 0.0:
+                continue
+            worst = max(worst, abs(slope))
+            new = min(max(old - slope / square[i], 0.0), c[i])
+            step = (new - old) * y
+            w[at] += step * v
+            w[size] += step
+            alpha[i] = new
         if worst < tolerance:
             break
     return w

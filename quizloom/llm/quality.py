@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm._shared import fold_of, slices, utf8
+from quizloom.llm._shared import bounded_batches, fold_of, slices, utf8
 from quizloom.llm.linear import dual_coordinate_descent, platt
 
 #: N-gram lengths in bytes, and the number of indicators they are hashed to.
@@ -56,10 +56,13 @@ class QualityModel:
 def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], balance: str, most_docs: int, train: Column) -> DataFrame:
     """Texts with labels: at most about ``most_docs`` rows, half of each value of ``balance``, chosen by a hash of the id.
 
+    Of repeated labels of an id the least value of each column counts.
+
     The chosen ids are picked from the labels alone, which are narrow; they are at most about ``most_docs`` rows, so they are broadcast
     to the texts, which are not shuffled.
     """
-    usable = labels.select(F.col(id_col).alias("_id"), *label_cols).where(F.col("_id").isNotNull() & F.col(balance).isNotNull()).dropDuplicates(["_id"]).withColumnRenamed("_id", id_col).where(train)
+    usable = labels.select(F.col(id_col).alias("_id"), *label_cols).where(F.col("_id").isNotNull() & F.col(balance).isNotNull())
+    usable = usable.groupBy("_id").agg(*[F.min(c).alias(c) for c in label_cols]).withColumnRenamed("_id", id_col).where(train)
     n = {r[balance]: r["count"] for r in usable.groupBy(balance).count().collect()}
     part = F.lit(0.0)
     for value, count in n.items():
@@ -76,20 +79,35 @@ def log_ratios(rows: list[np.ndarray], positive: np.ndarray, size: int) -> np.nd
     return np.log(counts[1] / counts[0])
 
 
+def _sent(found: np.ndarray) -> bytes:
+    """A set of n-grams as 4 bytes each, or, where that is shorter, as a bitmap: BUCKETS / 8 bytes at most."""
+    if len(found) < BUCKETS // 32:
+        return np.sort(found).astype("<u4").tobytes()
+    bits = np.zeros(BUCKETS, np.uint8)
+    bits[found] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _received(raw: bytes) -> np.ndarray:
+    if len(raw) < BUCKETS // 8:
+        return np.frombuffer(raw, "<u4").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
 def train_quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_docs: int, train: Column) -> QualityModel | None:
-    """Features are taken where the texts lie; the bounded sample's feature sets come to the driver, where the solver runs."""
+    """Features are taken where the texts lie; the bounded sample's feature sets (32 KB a text at most) come to the driver, where the solver runs."""
     sample = labelled_texts(df, labels, id_col, text_col, [label_col], label_col, most_docs, train)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.sort(f).astype("<u4").tobytes() for f in features(*utf8(b.column(1)))]
+            found = [_sent(f) for f in features(*utf8(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2).cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "y", "f"])
 
     got = sample.mapInArrow(take, "id string, y long, f binary").toPandas().sort_values("id", kind="stable")
     positive = got["y"].to_numpy() == 1
     if not len(got) or positive.all() or not positive.any():
         return None
-    rows = [np.frombuffer(f, "<u4").astype(np.int64) for f in got["f"]]
+    rows = [_received(f) for f in got["f"]]
 
     def fit(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights by feature, and the log ratios in them, from the rows ``own``."""
@@ -118,9 +136,10 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Per row: id, held_out (crc32 of the id as text modulo 3 is 1), score (0 to 1, high: label 1), predicted (0 or 1).
 
     Labels of held-out ids are never read. At most about ``most_docs`` labelled texts are learned from, half of each
-    class; of repeated labels of an id one counts, null labels none. A null text is scored as an empty one. Without labels of both
+    class; of repeated labels of an id the least counts, null labels none. A null text is scored as an empty one. Without labels of both
     classes each score is 0.5. Rows with equal or null ids each give their row; null ids are never held out.
     """
+    bounded_batches(df.sparkSession)
     model = train_quality(df, labels, id_col, text_col, label_col, most_docs, F.coalesce(fold_of(id_col), F.lit(0)) != 1)
     held = df.sparkSession.sparkContext.broadcast(model)
 
