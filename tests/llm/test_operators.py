@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("quizloom.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quizloom.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, queries, token_count, toxicity, vector_dedup  # noqa: E402
+from quizloom.llm import exact_dedup, language_id, line_dedup, linear, mixing, ngram_join, packing, quality, queries, token_count, toxicity, vector_dedup  # noqa: E402
 from quizloom.llm.components import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, _text string, size long"
@@ -470,6 +470,79 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity_scores(docs, labels.limit(0)).count() == 302
 
 
+def test_chain_by_definition(spark):
+    """Probabilities by plain words and sums; each text's out-of-fold margin does not depend on its own fold's labels."""
+    docs, labels = labelled(spark)
+    cats = toxicity.CATEGORIES
+    rows = quality.labelled_texts(docs, labels, "doc_id", "text", ["quality", "toxic"], "toxic", 12000, F.lit(True))
+    sample = toxicity.gather(rows, "doc_id", "_text", cats)
+    chain = toxicity.train_chain(sample, cats)
+
+    def hashed(raw):
+        return next(toxicity.text_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), (0, [], []))[2].tolist()
+
+    def plain(text):
+        words_ = {w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())}
+        return words_ | {w[:n] + b"*" for w in words_ for n in toxicity.BEGINNINGS if len(w) > n}
+
+    weight = {int(f): [link.weight[k] for link in chain.links] for k, f in enumerate(chain.features)}
+    got = {r["doc_id"]: r["_p"] for r in toxicity.chain_probabilities(docs, chain, "text").collect()}
+    assert len(chain.features) and any(w[1] > 0 for w in weight.values())
+    for r in docs.collect()[::7]:
+        features = hashed((r["text"] or "").encode())
+        assert len(features) == len(set(features)) == len(plain(r["text"]))
+        p = []
+        for k, link in enumerate(chain.links):
+            margin = sum(weight[f][k] for f in features if f in weight) + link.bias + sum(x * y for x, y in zip(link.earlier, p, strict=True))
+            p.append(1 / (1 + math.exp(-(link.a * margin + link.b))))
+        assert np.allclose(got[r["doc_id"]], p)
+
+    none = np.zeros((len(sample.sets), 0))
+    held = toxicity.out_of_fold("t", sample, 1, none)
+    out = sample.fold == 0
+    by_word = np.array([any(weight[int(sample.features[f])][1] > 0 for f in s) for s in sample.sets])
+    assert (np.sign(held[by_word]) > 0).mean() > 0.9
+    flipped = toxicity.Sample(sample.fold, [y.copy() for y in sample.positive], sample.sets, sample.features, sample.counts.copy())
+    flipped.positive[1][out] = ~flipped.positive[1][out]
+    flipped.counts[:, 0, 2] = flipped.counts[:, 0, 0] - flipped.counts[:, 0, 2]
+    again = toxicity.out_of_fold("t", flipped, 1, none)
+    assert np.allclose(again[out], held[out]) and not np.allclose(again[~out], held[~out])
+
+
+def test_few_labels_suffice(spark):
+    """Six texts of each class are enough for a perfect word, on a small table as on a large one."""
+    docs = spark.createDataFrame([(i, "plain words stand here" + (" vilestword" if i % 2 else "")) for i in range(12)], "doc_id long, text string")
+    got = toxicity.toxicity_scores(docs, docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))).collect()
+    assert all((r["_p"][1] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+
+def test_solver_reaches_the_optimum():
+    """The dual's value meets the primal's: no better weights of the hinge loss exist."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 6))
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=120) * 0.5 > 0, 1.0, -1.0)
+    c = np.where(y > 0, 0.4, 0.9)
+    w = linear.dual_coordinate_descent([(np.arange(6), v) for v in x], y, 6, c, epochs=3000, tolerance=1e-6)
+
+    def primal(w):
+        return w @ w / 2 + (c * np.maximum(0, 1 - y * (x @ w[:6] + w[6]))).sum()
+
+    best = primal(w)
+    for size in (1e-3, 1e-2, 0.1):
+        for _ in range(300):
+            assert primal(w + size * rng.normal(size=7)) >= best - 1e-6
+
+
+def test_repeated_labels_and_long_texts(spark):
+    docs, labels = labelled(spark)
+    twice = labels.union(labels.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")))
+    a, b = (sorted(map(str, quality.quality_scores(docs, x).collect())) for x in (twice, twice.repartition(7)))
+    assert a == b
+    long = docs.union(spark.createDataFrame([(9_000, "word and word " * 1_500_000)], "doc_id long, text string"))
+    assert quality.quality_scores(long, labels).where("doc_id = 9000 and score between 0 and 1").count() == 1
+    assert toxicity.toxicity_scores(long, labels).where("doc_id = 9000 and _p[1] < 0.5").count() == 1
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------------
 
 
