@@ -130,6 +130,11 @@ def spans(inside: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside & fresh[:-1]), np.flatnonzero(inside & (fresh[1:] | np.append(~inside[1:], True))) + 1
 
 
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space."""
+    return _SPACE[data]
+
+
 def words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of these bytes, A-Z as a-z.
 
@@ -160,3 +165,41 @@ class WordSums:
         left = (self.total[gone] - self.total[start]) * self.back[start]
         right = (self.total[end] - self.total[gone + 1]) * self.back[start + 1]
         return mixed(left + right + (end - start - 1).astype(np.uint64))
+
+
+_PRIME, _PRIME_BASES = (1 << 31) - 1, (48271, 69621)
+_prime_powers: dict[int, np.ndarray] = {}
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2**31 - 1, by doubling."""
+    held = _prime_powers.get(base)
+    if held is None or len(held) < n:
+        held = np.ones(1, np.int64)
+        while len(held) < max(n, 1 << 16):
+            held = np.concatenate([held, held * pow(base, len(held), _PRIME) % _PRIME])
+        if n <= HELD_POWERS:
+            _prime_powers[base] = held
+    return held[:n]
+
+
+class PrimeSums:
+    """A second, unlike hash (31 bits, modulo a prime) of any run of words, given the bytes and where the words start and end; A-Z as a-z."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.bytes = self._sums(_LOWER[data].astype(np.int64) + 1, 0)
+        self.words = self._sums(self._run(self.bytes, 0, start, end) + 1, 1)
+
+    @staticmethod
+    def _sums(values: np.ndarray, which: int) -> np.ndarray:
+        total = np.zeros(len(values) + 1, np.int64)
+        np.cumsum(values % _PRIME * prime_powers(_PRIME_BASES[which], max(len(values), 1))[: len(values)] % _PRIME, out=total[1:])
+        return total
+
+    @staticmethod
+    def _run(total: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        back = prime_powers(pow(_PRIME_BASES[which], -1, _PRIME), len(total))
+        return (total[end] - total[start]) % _PRIME * back[start] % _PRIME
+
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._run(self.words, 1, start, end)

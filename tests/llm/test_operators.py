@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("quizloom.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quizloom.llm import exact_dedup, language_id, line_dedup, linear, mixing, ngram_join, packing, quality, queries, token_count, toxicity, vector_dedup  # noqa: E402
+from quizloom.llm import _shared, exact_dedup, language_id, line_dedup, linear, mixing, ngram_join, packing, quality, queries, token_count, toxicity, vector_dedup  # noqa: E402
 from quizloom.llm.components import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, _text string, size long"
@@ -118,8 +118,8 @@ def test_lines(spark, docs, rows, none):
     for i, t, *_ in sorted(rows):
         for p, line in enumerate((t or "").split("\n")):
             w = line_words(line)
-            if len(w) >= line_dedup.LEAST_WORDS:
-                if any(near(w, s) for s in seen):
+            if w:
+                if any(w == s or (min(len(w), len(s)) >= line_dedup.LEAST_WORDS and near(w, s)) for s in seen):
                     gone.add((i, p))
                 seen.append(w)
     got = {(r["doc"], r["place"]) for r in line_dedup.repeated_lines(docs).collect()}
@@ -132,6 +132,43 @@ def test_lines(spark, docs, rows, none):
     assert line_dedup.within_one_edit("a B c", "a b  d") and not line_dedup.within_one_edit("a b c", "b c d")
 
 
+def test_lines_of_long_texts_and_clashing_columns(spark, monkeypatch):
+    """Texts cut into blocks give the same lines; columns with inner names stay; a chain of edits leaves its first line."""
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 64)
+    rng = random.Random(3)
+    lines = [prose(rng, rng.randint(0, 12)) for _ in range(40)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(60)) + rng.choice(["", "\n"]) for _ in range(6)]
+    seen, gone = set(), set()
+    for i, t in enumerate(texts):
+        for p, line in enumerate(t.split("\n")):
+            w = line_words(line)
+            if w and w in seen:
+                gone.add((i, p))
+            seen.add(w)
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+    got = [(int(r), int(p), int(e - s)) for _, row, place, s_, e_, *_ in line_dedup._lines(np.frombuffer(b"".join(data), np.uint8), offsets) for r, p, s, e in zip(row, place, s_, e_, strict=True) if e > s]
+    assert sorted(got) == sorted((i, p, len(line_words(x))) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if line_words(x))
+    names = ["doc", "_places", "_row", "_doc", "_gone", "place", "check"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = by_id(line_dedup.dedup_lines(df, least_words=50))
+    for i, t in enumerate(texts):
+        assert out[i]["text"] == "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
+        assert all(out[i][n] == n for n in names if n != "_gone") and out[i]["_gone"] == sum(d == i for d, _ in gone)
+    words_ = [f"v{k}" for k in range(10)]
+    chain = [" ".join([f"x{k}" for k in range(step)] + words_[step:]) for step in range(5)]
+    assert [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).orderBy("doc_id").collect()] == [chain[0], "", "", "", ""]
+
+
+def test_second_hash_of_lines():
+    raw = b"A b  ab\tc\na B ab C"
+    data = np.frombuffer(raw, np.uint8)
+    start, end = _shared.spans(~_shared.spaces(data), np.array([0]))
+    check = _shared.PrimeSums(data, start, end)
+    run = check.run(np.array([0, 4, 0, 1, 4]), np.array([4, 8, 3, 4, 7]))
+    assert run[0] == run[1] and run[2] == run[4] and len(set(run.tolist())) == 3
+
+
 def test_query_takes_short_lines(spark, tmp_path):
     """op3: every exact repeat of a line that is not blank goes, short ones too; one word apart, only of LEAST_WORDS words or more."""
     long = "one two three four five six seven eight"
