@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def _draw(*parts: str | Column) -> Column:
 
 
 def _bisect(parts: DataFrame, wanted, low: float = 0.0, high: float = 1.0, rising: bool = True) -> float:
-    """The exponent in [low, high] where ``wanted(figures)`` turns false (rising) or true.
+    """The exponent in [low, high] where ``wanted(figures)`` turns false (rising) or true, to 6 places on the side where it is true.
 
     Plain bisection; but as each figure is a sum over all sources, one distributed job sums for all midpoints that the
     next STEPS_A_JOB steps could ask for (31 rows come back), so 35 steps take 7 jobs however many sources there are.
@@ -47,13 +49,12 @@ def _bisect(parts: DataFrame, wanted, low: float = 0.0, high: float = 1.0, risin
             else:
                 hi = at
         low, high = low + (high - low) * lo / n, low + (high - low) * hi / n
-    return round((low + high) / 2, 6)
+    # A thousandth of the last place is the bisection's own error.
+    return math.floor(low * 1e6 + 1e-3) / 1e6 if rising else math.ceil(high * 1e6 - 1e-3) / 1e6
 
 
 def entropy(r) -> float:
     """Entropy of the weights p**a / z from their sums."""
-    import math
-
     return math.log(r["z"]) - r["a"] * r["zl"] / r["z"]
 
 
@@ -64,8 +65,6 @@ def mixing_weights(totals: DataFrame, target_entropy: float | None, max_repetiti
     reaches it is taken. ``max_repetition`` bounds how often a source may be read: the smallest exponent within it is
     taken, and it wins over the entropy. 1 leaves the shares as they are, 0 makes all sources equal.
     """
-    import math
-
     all_ = totals.agg(F.sum("n_tokens").alias("t"), F.count(F.when(F.col("n_tokens") > 0, 1)).alias("n")).first()
     total, n = all_["t"] or 0, all_["n"]
     parts = staged(totals.where("n_tokens > 0").select((F.col("n_tokens") / F.lit(float(max(total, 1)))).alias("p")), "shares")
@@ -87,21 +86,21 @@ def mix_sources(
     df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, budget: float | None = None, target_entropy: float | None = None,
     max_repetition: float | None = None, cover: bool = False, block_docs: int = 256, seed: int = 0,
 ) -> DataFrame:
-    """All columns of ``df`` once for each copy drawn, with _epoch, _block, _tokens, _weight.
+    """All columns of ``df`` once for each copy drawn, with _epoch, _block, _order, _place, _tokens, _weight.
 
     Source s with weight w and T tokens (words) gets floor(w * budget) tokens: so many whole epochs, and of one more epoch as
-    many documents as fit. An epoch of a source is a permutation of its blocks (about ``block_docs`` documents each,
-    dealt by a hash of the id) and of the documents in each block; the last epoch is cut where the budget ends, inside
-    the block that crosses it. ``budget`` defaults to the tokens of the input; with ``cover`` it is the least
+    many documents as fit. Each epoch of a source is a permutation of its blocks (about ``block_docs`` documents each,
+    dealt by a hash of the id) and of the documents in each block, drawn anew: read by _epoch, _order (the block's draw), _block, _place
+    (the document's draw) and id. The last epoch is cut where the budget ends, inside the block that crosses it. ``budget`` defaults to the tokens of the input; with ``cover`` it is the least
     at which each document is drawn at least once. Weights: see mixing_weights().
 
     Null sources form a source of their own. Null and empty texts have no tokens and are drawn as their epoch says;
-    a source without any token is drawn once. Rows with a null id share a hash. Equal ids are drawn alike. An empty
-    table gives an empty result.
+    a source without any token is drawn once. Rows with a null id share a hash. Equal ids are drawn alike. Columns of ``df``
+    with the names of the added ones are replaced. An empty table gives an empty result.
 
-    At scale: sums per source and per block are combined before the shuffle; running sums go over the blocks of a source
-    and over the documents of its one crossing block, so a source with a third of all rows costs no task more than its
-    list of blocks. What each document needs is a handful of figures of its source, joined by size-checked joins.
+    At scale: sums per source and per block are combined before the shuffle; running sums go over 1,024 ranges of a source's draws,
+    over the blocks of the one range that crosses the budget and over the documents of the one block, so a source with a third of
+    all rows costs no task more than a thousandth of its list of blocks. What each document needs is a handful of figures of its source, joined by size-checked joins.
     """
     slim = staged(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), n_words(F.col(text_col)).alias("_tok")), "words")
     totals = slim.groupBy("_src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_tok").alias("n_tokens"))
@@ -115,17 +114,28 @@ def mix_sources(
     )
     plan = staged(plan, "mixing-plan")
 
+    def order(epoch: str) -> Column:
+        return _draw(F.lit(seed), F.lit("order"), F.coalesce(F.col("_src"), F.lit("")), "_block", epoch)
+
+    def place(epoch: str) -> Column:
+        return _draw(F.lit(seed), F.lit("doc"), F.coalesce(F.col("_id").cast("string"), F.lit("")), epoch)
+
     def placed(rows: DataFrame, plan: DataFrame = plan) -> DataFrame:
         """With the document's block, and its block's and its own place in the epoch that is cut."""
         rows = rows.join(plan, F.col("_src").eqNullSafe(F.col("_psrc"))).withColumn("_block", F.pmod(_draw(F.lit(seed), F.lit("block"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.col("_blocks")))
-        return rows.withColumns({
-            "_at": _draw(F.lit(seed), F.lit("order"), F.coalesce(F.col("_src"), F.lit("")), "_block", "_epochs"),
-            "_in": _draw(F.lit(seed), F.lit("doc"), F.coalesce(F.col("_id").cast("string"), F.lit("")), "_epochs"),
-        })
-
-    blocks = placed(slim).where("_rest > 0").groupBy("_src", "_block", "_at").agg(F.sum("_tok").alias("_sum"), F.first("_rest").alias("_rest"))
-    so_far = F.sum("_sum").over(Window.partitionBy("_src").orderBy("_at", "_block"))
-    crossed = blocks.select("_src", "_block", "_at", "_rest", so_far.alias("_upto"), (so_far - F.col("_sum")).alias("_before")).where("_before <= _rest and _upto > _rest")
+        return rows.withColumns({"_at": order("_epochs"), "_in": place("_epochs")})
+
+    range_ = F.shiftright("_at", 50)  # of 60 bits
+    blocks = staged(placed(slim).where("_rest > 0").groupBy("_src", "_block", "_at").agg(F.sum("_tok").alias("_sum"), F.first("_rest").alias("_rest")).withColumn("_range", range_), "blocks")
+
+    def crossing(rows: DataFrame, order: list[str], before: Column) -> DataFrame:
+        """Of each source the row at which the running sum, from ``before`` on, passes the rest; _before is the sum up to it."""
+        upto = before + F.sum("_sum").over(Window.partitionBy("_src").orderBy(*order))
+        return rows.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_sum")).where("_before <= _rest and _upto > _rest")
+
+    ranges = crossing(blocks.groupBy("_src", "_range").agg(F.sum("_sum").alias("_sum"), F.first("_rest").alias("_rest")), ["_range"], F.lit(0))
+    ranges = ranges.select(F.col("_src").alias("_rsrc"), F.col("_range").alias("_rrange"), F.col("_before").alias("_rbefore"))
+    crossed = crossing(blocks.join(ranges, F.col("_src").eqNullSafe(F.col("_rsrc")) & (F.col("_range") == F.col("_rrange"))), ["_at", "_block"], F.col("_rbefore"))
     crossed = staged(crossed.select(F.col("_src").alias("_csrc"), F.col("_block").alias("_cblock"), F.col("_at").alias("_cat"), (F.col("_rest") - F.col("_before")).alias("_room")), "crossed")
     inside = placed(slim).join(crossed, F.col("_src").eqNullSafe(F.col("_csrc")) & (F.col("_block") == F.col("_cblock")))
     # Documents with one id are drawn or left together: the running sum is over ids.
@@ -142,4 +152,5 @@ def mix_sources(
     here = (F.col("_at") == F.col("_cat")) & (F.col("_block") == F.col("_cblock")) & (F.struct("_in", "_id") <= F.col("_last"))
     copies = F.col("_epochs") + F.when(F.col("_rest") > 0, F.coalesce(before | here, F.lit(False)).cast("long")).otherwise(0)
     drawn = drawn.where(copies > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    return drawn.select("_row.*", "_epoch", "_block", F.col("_tok").alias("_tokens"), F.col("weight").alias("_weight"))
+    added = {"_epoch": F.col("_epoch"), "_block": F.col("_block"), "_order": order("_epoch"), "_place": place("_epoch"), "_tokens": F.col("_tok"), "_weight": F.col("weight")}
+    return drawn.select(*[F.col("_row")[c].alias(c) for c in df.columns if c not in added], *[column.alias(name) for name, column in added.items()])

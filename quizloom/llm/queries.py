@@ -29,9 +29,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per copy drawn: doc_id, source, epoch, block, n_words, weight."""
+    """One row per copy drawn: doc_id, source, its place in the permutation (epoch, block_order, block, doc_order), n_words, weight."""
     mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), target_entropy=0.95, max_repetition=4.0)
-    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_words"), F.round("_weight", 6).alias("weight"))
+    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_order").alias("block_order"), F.col("_block").alias("block"), F.col("_place").alias("doc_order"), F.col("_tokens").alias("n_words"), F.round("_weight", 6).alias("weight"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _sql_draw(*parts: str) -> str:
+    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
+
+
+def _sql_bisect(name: str, wanted: str, if_true: str, if_false: str) -> str:
+    """35 halvings of [0, 1]; ``wanted`` speaks of sums over the shares p and of the middle a."""
+    return f"""{name}(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT step + 1, CASE WHEN {wanted} THEN {if_true}, CASE WHEN {wanted} THEN {if_false}
+    FROM (SELECT step, lo, hi, (lo + hi) / 2 AS a FROM {name} WHERE step < 35), shares GROUP BY step, lo, hi, a)"""
+
+
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tok FROM documents),
+t AS (SELECT source, count(*) AS n_docs, sum(tok)::BIGINT AS n_tokens FROM d GROUP BY 1),
+total AS (SELECT sum(n_tokens)::BIGINT AS tokens, count(*) FILTER (WHERE n_tokens > 0) AS n FROM t),
+shares AS (SELECT n_tokens / tokens::DOUBLE AS p, n FROM t, total WHERE n_tokens > 0),
+{_sql_bisect("by_entropy", "ln(sum(pow(p, a))) - a * sum(pow(p, a) * ln(p)) / sum(pow(p, a)) >= 0.95 * ln(max(n))", "a ELSE lo END", "hi ELSE a END")},
+{_sql_bisect("by_repetition", "max(pow(p, a - 1)) / sum(pow(p, a)) <= 4.0", "lo ELSE a END", "a ELSE hi END")},
+x AS (SELECT CASE WHEN (SELECT n FROM total) > 1 THEN greatest((SELECT floor(lo * 1e6 + 1e-3) / 1e6 FROM by_entropy WHERE step = 35), (SELECT ceil(hi * 1e6 - 1e-3) / 1e6 FROM by_repetition WHERE step = 35)) ELSE 1.0 END AS a),
+z AS (SELECT sum(pow(p, a)) AS z FROM shares, x),
+plan AS (SELECT source, n_tokens, ceil(n_docs / 256)::BIGINT AS blocks, CASE WHEN n_tokens > 0 THEN pow(n_tokens / tokens::DOUBLE, a) / z ELSE 0.0 END AS weight, floor(CASE WHEN n_tokens > 0 THEN pow(n_tokens / tokens::DOUBLE, a) / z ELSE 0.0 END * tokens + 1e-6)::BIGINT AS want FROM t, total, x, z),
+cut AS (SELECT d.*, weight, CASE WHEN n_tokens > 0 THEN want // n_tokens ELSE 1 END AS epochs, CASE WHEN n_tokens > 0 THEN want % n_tokens ELSE 0 END AS rest, {_sql_draw("0", "'block'", "doc_id")} % blocks AS block FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+placed AS (SELECT *, sum(tok) OVER (PARTITION BY source ORDER BY {_sql_draw("0", "'order'", "coalesce(source, '')", "block", "epochs")}, block, {_sql_draw("0", "'doc'", "doc_id", "epochs")}, doc_id) AS upto FROM cut),
+copies AS (SELECT *, unnest(range(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM placed)
+SELECT doc_id, source, epoch, {_sql_draw("0", "'order'", "coalesce(source, '')", "block", "epoch")} AS block_order, block, {_sql_draw("0", "'doc'", "doc_id", "epoch")} AS doc_order, tok AS n_words, round(weight, 6) AS weight FROM copies
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -86,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op8_exact_dedup": OP8_SQL}

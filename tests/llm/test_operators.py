@@ -349,6 +349,28 @@ def test_mixing_targets(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_mixing_permutations(spark):
+    """Each epoch reads each document once, blocks whole, in an order of its own; inner column names are no trouble."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 20), "big" if i % 10 else f"s{i % 3}", "x", "y") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _epoch string, weight string")
+    out = mixing.mix_sources(df, target_entropy=0.99, block_docs=16).collect()
+    assert all(r["weight"] == "y" for r in out) and {type(r["_epoch"]) for r in out} == {int}
+    source = {i: s for i, _, s, *_ in rows}
+    orders = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (source[r["doc_id"]], r["_epoch"], r["_order"], r["_block"], r["_place"], r["doc_id"])):
+        orders[source[r["doc_id"]], r["_epoch"]].append((r["_block"], r["doc_id"]))
+    own = collections.Counter(source.values())
+    small = [k for k in orders if k[0] != "big"]
+    assert max(e for _, e in small) >= 2
+    for (s, e), docs_ in orders.items():
+        assert len(set(docs_)) == len(docs_) <= own[s]
+        blocks = [b for b, _ in docs_]
+        assert sum(x != y for x, y in zip(blocks, blocks[1:], strict=False)) == len(set(blocks)) - 1
+        if (s, e + 1) in orders:
+            assert len(docs_) == own[s] and docs_[: len(orders[s, e + 1])] != orders[s, e + 1]
+
+
 # 4 and 5 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -42,8 +42,8 @@ def test_stages(spark, sf_dir):
     for i, t in sorted(kept["toxicity"].items()):
         for p, line in enumerate((t or "").split("\n")):
             w = line_words(line)
-            if len(w) >= 8:
-                if any(near(w, s) for s in seen):
+            if w:
+                if any(w == s or (min(len(w), len(s)) >= 8 and near(w, s)) for s in seen):
                     gone.add((i, p))
                 seen.append(w)
     left = {}
