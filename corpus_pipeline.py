@@ -5,6 +5,8 @@ Part of the training-data operators; nothing imports it but the driver's entry.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +19,43 @@ from quizloom.llm.packing import pack_documents
 from quizloom.llm.toxicity import toxicity_scores
 
 
+#: Columns of documents that stages read or change.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
+def _any_columns(stage):
+    """The stage on tables with columns of any further names: they go through it under names that no operator uses."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = {c: f"further{k}" for k, c in enumerate(docs.columns) if c not in KNOWN}
+        out = stage(spark, docs.withColumnsRenamed(inner) if inner else docs, sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in inner.items() if v in out.columns}) if inner else out
+
+    return run_stage
+
+
+@_any_columns
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of toxicity, the last of the chain, reaches 0.5 go."""
     scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(scored.where(F.element_at("_p", -1) < 0.5), docs)
 
 
+@_any_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; a document of which nothing is left goes too; n_chars follows the text."""
+    """Lines that repeat an earlier line go, exactly or, from 8 words on, but for one word; a document of which nothing is left goes too; n_chars follows the text."""
     out = dedup_lines(docs).where((F.col("_gone") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return _columns(out, docs)
 
 
+@_any_columns
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows without an id stay."""
     found = ngram_jaccard_join(docs, count_links=False).where("component_id = doc_id").select(F.col("doc_id").alias("_keep"))
@@ -42,11 +63,13 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+@_any_columns
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document at least once; small sources up to twice as often as the largest."""
     return _columns(mix_sources(docs, max_repetition=2.0, cover=True), docs)
 
 
+@_any_columns
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
