@@ -35,7 +35,7 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch on its way to a Python worker, where the session names no bound: rows may be very long.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -63,7 +63,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(offsets: np.ndarray, most: int):
+#: Bytes of texts that a Python worker works on at once: its arrays take some 50 times that.
+SLICE_BYTES = 1 << 18
+
+
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
     """Runs of rows whose bytes together stay near ``most``; a longer row is a run of its own."""
     n, at = len(offsets) - 1, 0
     while at < n:
@@ -76,17 +80,17 @@ def slices(offsets: np.ndarray, most: int):
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _powers: dict[int, np.ndarray] = {}
 #: Powers that a worker keeps between batches; those for a single longer text are made anew.
-HELD_POWERS = 1 << 22
+HELD_POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps = np.full(max(n + n // 4, 1 << 16), base, np.uint64)
         steps[0] = 1
         held = np.multiply.accumulate(steps)
-        if n <= HELD_POWERS:
+        if len(held) <= HELD_POWERS:
             _powers[base] = held
     return held[:n]
 

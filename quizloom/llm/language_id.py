@@ -122,7 +122,7 @@ def code_lengths(trees: ContextTrees, data: np.ndarray, offsets: np.ndarray) ->
     """Units of code length of each text by language."""
     out = np.zeros((len(offsets) - 1, len(trees.languages)), np.int64)
     size = int(trees.symbol.max()) + 1
-    for a, z in slices(offsets, 1 << 20):
+    for a, z in slices(offsets):
         own = offsets[a : z + 1] - offsets[a]
         padded, at = _padded(data[offsets[a] : offsets[z]], own)
         s = trees.symbol[padded].astype(np.int32)

@@ -24,7 +24,7 @@ _LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 
 #: A block of rows has about so many bytes; a longer text is cut behind line feeds, so that only a single longer line is held whole.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray, most: int):

@@ -43,7 +43,7 @@ SAMPLE_DOCS = 3000
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: n consecutive words, or all words where there are fewer."""
-    for a, z in slices(offsets, 1 << 19):
+    for a, z in slices(offsets):
         start, _, hashes = words(data[offsets[a] : offsets[z]], offsets[a:z] - offsets[a])
         sums = WordSums(hashes)
         bounds = np.searchsorted(start, offsets[a : z + 1] - offsets[a])
@@ -118,7 +118,7 @@ def _prepare(percent: int, n: int, frequent):
 
         for b in batches:
             data, offsets = utf8(b.column(1))
-            for a, z in slices(offsets, 1 << 21):
+            for a, z in slices(offsets, 1 << 20):
                 size, ids, prefixes, maps = [], [], [], []
                 for s in shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], n):
                     size.append(len(s)), ids.append(digests(s)), prefixes.append(prefix(s)), maps.append(bitmap(s).tobytes())
@@ -479,7 +479,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for b in batches:
             data, offsets = utf8(b.column(1))
             d1 = b.column(2).to_numpy().view(np.uint64)
-            for a, z in slices(offsets, 1 << 21):
+            for a, z in slices(offsets, 1 << 20):
                 found = list(shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], n))
                 right = np.array([digests(s)[0] == d for s, d in zip(found, d1[a:z].tolist(), strict=True)], bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), _lists(found)], names=["doc", "own"]).filter(pa.array(right))

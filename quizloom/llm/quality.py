@@ -24,7 +24,7 @@ LENGTHS, BUCKETS = (2, 4), 1 << 18
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The set of hashed n-grams of each text (of its whole bytes)."""
     last = np.zeros(BUCKETS, np.int64)
-    for a, z in slices(offsets, 1 << 20):
+    for a, z in slices(offsets):
         own = data[offsets[a] : offsets[z]].astype(np.uint64)
         codes = []
         for n in LENGTHS:

@@ -32,7 +32,7 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By blocks of whole texts: (number of the first, text number there, feature) of each distinct feature of each text."""
-    for a, z in slices(offsets, 1 << 20):
+    for a, z in slices(offsets):
         own, begins = data[offsets[a] : offsets[z]], offsets[a:z] - offsets[a]
         start, end = spans(_LETTER[own], begins)
         if not len(start):
