@@ -20,7 +20,7 @@ _ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth el
 ROMAN = "^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 
-def normalize_response(text: Column, full: bool = False) -> Column:
+def normalize_response(text: Column, full: bool = True) -> Column:
     """Lower case without accents or punctuation, and without a leading article unless that is all."""
     plain = collapse_spaces(F.regexp_replace(F.lower(fold_accents(text, full)), r"[^\p{L}\p{N}\s]", " "))
     return F.regexp_replace(plain, r"^(?:the|an|a) (?=.)", "")
@@ -35,28 +35,33 @@ def roman_value(token: Column) -> Column:
     return F.when(token.rlike(ROMAN) & (token != ""), total)
 
 
-def tokenize_answer(text: Column, full: bool = False) -> Column:
+def tokenize_answer(text: Column, full: bool = True) -> Column:
     """Words of an answer with numerals folded: 14th, fourteenth and a trailing or capital XIV are all 14; articles are left out.
 
     Capitals are looked up by the word itself, not by its place, which an article dropped from the front would shift.
     """
-    plain = F.split(normalize_response(text, full), " ")
-    originals = F.split(F.regexp_replace(fold_accents(text, full), r"[^\p{L}\p{N}]+", " "), " ")
-    capitals = F.transform(F.filter(originals, lambda w: (w == F.upper(w)) & w.rlike(r"\p{L}")), F.lower)
     numbers = F.create_map(*[F.lit(x) for names in (_CARDINALS, _ORDINALS) for k, w in enumerate(names, 1) for x in (w, str(k))])
-    n = F.size(plain)
-
-    def fold(token: Column, i: Column) -> Column:
-        numeral = F.array_contains(capitals, token) | ((i == n - 1) & (n > 1))
-        ordinal = F.regexp_extract(token, "^([0-9]+)(?:st|nd|rd|th)$", 1)
-        return (
-            F.when(ordinal != "", ordinal)
-            .when(F.try_element_at(numbers, token).isNotNull(), F.try_element_at(numbers, token))
-            .when(numeral & roman_value(token).isNotNull(), roman_value(token).cast("string"))
-            .otherwise(token)
-        )
-
-    return F.filter(F.transform(plain, fold), lambda t: (t != "") & ~t.isin(ARTICLES))
+
+    def folded(both: Column) -> Column:
+        plain, originals = both["plain"], both["originals"]
+        capitals = F.transform(F.filter(originals, lambda w: (w == F.upper(w)) & w.rlike(r"\p{L}")), F.lower)
+        n = F.size(plain)
+
+        def fold(token: Column, i: Column) -> Column:
+            numeral = F.array_contains(capitals, token) | ((i == n - 1) & (n > 1))
+            ordinal = F.regexp_extract(token, "^([0-9]+)(?:st|nd|rd|th)$", 1)
+            return (
+                F.when(ordinal != "", ordinal)
+                .when(F.try_element_at(numbers, token).isNotNull(), F.try_element_at(numbers, token))
+                .when(numeral & roman_value(token).isNotNull(), roman_value(token).cast("string"))
+                .otherwise(token)
+            )
+
+        return F.filter(F.transform(plain, fold), lambda t: (t != "") & ~t.isin(ARTICLES))
+
+    # Folding may need Python, which no lambda may hold: the one-element array binds its results to names.
+    both = F.struct(F.split(normalize_response(text, full), " ").alias("plain"), F.split(F.regexp_replace(fold_accents(text, full), r"[^\p{L}\p{N}]+", " "), " ").alias("originals"))
+    return F.get(F.transform(F.array(both), folded), F.lit(0))
 
 
 def distinctive(tokens: Column) -> Column:

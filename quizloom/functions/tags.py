@@ -35,7 +35,7 @@ RULES: dict[str, tuple[str, ...]] = {
     "Technology": ("railroad", "steam engine", "telegraph", "printing press", "automobile", "computer", "aircraft", "engine", "factory"),
 }
 # Years that place a text in an era, the first that matches; and the names of all eras.
-ERA_YEARS = [("1[0-4][0-9][0-9]", "Middle Ages"), ("1[5-7][0-9][0-9]", "Early Modern"), ("18[0-9][0-9]", "Modern"), ("19[0-4][0-9]", "Modern"), ("(?:19[5-9][0-9]|20[0-9][0-9])", "Contemporary")]
+ERA_YEARS = [(r"1[0-4]\d\d", "Middle Ages"), (r"1[5-7]\d\d", "Early Modern"), (r"18\d\d", "Modern"), (r"19[0-4]\d", "Modern"), (r"(?:19[5-9]\d|20\d\d)", "Contemporary")]
 ERAS = ["Ancient World", "Middle Ages", "Renaissance", "Early Modern", "Modern", "Contemporary"]
 DEFAULT_TAG, MOST_TAGS = "World History", 5
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html as html_references
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quizloom.functions.text import bound
 
 # Words in a URL or title that tell what a document is, tried in this order.
 RULES_HINTS = ["rule", "scoresheet", "score sheet", "format"]
@@ -95,12 +101,38 @@ def normalize_doc_url(url: Column) -> Column:
     )
 
 
-def unescape(text: Column) -> Column:
+def _unescape(text: str | None) -> str | None:
+    return None if text is None else html_references.unescape(text).replace("\xa0", " ")
+
+
+@F.arrow_udf(T.StringType())
+def _unescaped(text: pa.Array) -> pa.Array:
+    return pa.array([_unescape(t) for t in text.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _all_unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if ts is None else [_unescape(t) for t in ts] for ts in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def _frequent(text: Column) -> Column:
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
+def _others(text: Column) -> Column:
+    """Whether a text holds a character reference, named or numeric, that is none of the frequent ones."""
+    for name in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(""))
+    return text.contains("&") & text.rlike(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*;)")
+
+
+def unescape(text: Column) -> Column:
+    """Character references as characters: the frequent ones by built-in functions; only texts with others go through Python."""
+    return F.when(_others(text), _unescaped(F.when(_others(text), text))).otherwise(_frequent(text))
+
+
 def html_text(html: Column) -> Column:
     """The page's text, a line for each run between tags; scripts, styles, navigation, footers and pictures left out."""
     body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
@@ -132,17 +164,30 @@ def join_url(base: Column, link: Column) -> Column:
         .when(link == "", base)
         .otherwise(F.concat(folder, link))
     )
-    # a/./b and a/x/../b, a few levels deep.
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/\./", "/")
-        joined = F.regexp_replace(joined, r"(://[^/]+(?:/[^?]*)?)/(?!\.\./)[^/?]+/\.\./", "$1/")
-    return joined
+    return bound(joined, without_dots)
+
+
+def without_dots(url: Column) -> Column:
+    """The URL with its path's ``.`` and ``..`` parts resolved, however deep: one fold over the parts."""
+    front = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path, query = url_path(url), F.regexp_extract(url, r"(\?.*)$", 1)
+    none = F.array().cast("array<string>")
+    # The first part is what stands before the first slash: nothing. A part in the last place leaves a slash behind if it is a dot or two.
+    folded = lambda parts: F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), none,
+        lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p))),
+    )
+    kept = bound(F.split(path, "/"), folded)
+    resolved = bound(kept, lambda k: F.concat(F.array_join(k, "/"), F.when(path.rlike(r"/\.{1,2}$") & (F.size(k) > 0), "/").otherwise("")))
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)") & (front != ""), F.concat(front, F.lit("/"), resolved, query)).otherwise(url)
 
 
 def page_links(html: Column) -> Column:
     """The href of each link, in the order of the page."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(1))
-    return F.transform(tags, lambda h: F.trim(unescape(F.regexp_replace(h, r"""^["']|["']$""", ""))))
+    raw = F.transform(tags, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
+    other = F.exists(raw, _others)
+    return F.transform(F.when(other, _all_unescaped(F.when(other, raw))).otherwise(F.transform(raw, _frequent)), F.trim)
 
 
 def display_name(source_id: Column, title: Column, url: Column) -> Column:

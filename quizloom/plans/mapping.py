@@ -13,8 +13,8 @@ SQL = {
     "sessions": "sessions AS (SELECT DISTINCT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, user_id, date_trunc('day', ts)::TIMESTAMP AS started_at FROM events)",
     "questions": """questions AS (SELECT p_partkey AS question_id, CASE WHEN p_partkey % 3 = 0 THEN 'mcq' ELSE 'tossup' END AS type, CASE WHEN p_partkey % 2 = 0 THEN 'official' ELSE 'generated' END AS origin,
         CASE WHEN p_size <= 12 THEN 'elementary' WHEN p_size <= 25 THEN 'middle' WHEN p_size <= 38 THEN 'high' ELSE 'open' END AS difficulty, p_name AS answer, p_name || ' of ' || p_brand AS stem, p_partkey % 4 = 0 AS enriched,
-        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey END AS source_id FROM part WHERE p_partkey <= 99)""",
-    "question_tags": "question_tags AS (SELECT p_partkey AS question_id, p_type AS tag FROM part WHERE p_partkey <= 99 UNION SELECT p_partkey, p_brand FROM part WHERE p_partkey <= 99)",
+        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey END AS source_id FROM part)""",
+    "question_tags": "question_tags AS (SELECT p_partkey AS question_id, p_type AS tag FROM part UNION SELECT p_partkey, p_brand FROM part)",
     "sources": """sources AS (SELECT d.doc_id AS source_id, d.source AS host, coalesce(l.quality, 1) = 1 AS ai_train_ok, CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'error' ELSE 'extracted' END AS status,
         CASE d.doc_id % 4 WHEN 0 THEN 'studyguide' WHEN 1 THEN 'index' WHEN 2 THEN 'packet' ELSE 'exam' END AS kind, 'https://' || d.source || '.example.org/' || d.lang || '/' || d.doc_id || '.pdf' AS url,
         CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE d.lang || ' set ' || d.doc_id END AS title FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
@@ -48,7 +48,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, sf_dir, "part").where(k <= 99).select(
+    return table(spark, sf_dir, "part").select(
         k.alias("question_id"), F.when(k % 3 == 0, "mcq").otherwise("tossup").alias("type"), F.when(k % 2 == 0, "official").otherwise("generated").alias("origin"),
         F.when(size <= 12, "elementary").when(size <= 25, "middle").when(size <= 38, "high").otherwise("open").alias("difficulty"), F.col("p_name").alias("answer"),
         F.concat("p_name", F.lit(" of "), "p_brand").alias("stem"), (k % 4 == 0).alias("enriched"), F.when(k % 7 != 0, k).alias("source_id"),
@@ -56,7 +56,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey <= 99")
+    part = table(spark, sf_dir, "part")
     return part.select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("tag")).union(part.select("p_partkey", "p_brand")).distinct()
 
 

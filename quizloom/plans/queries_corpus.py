@@ -336,7 +336,7 @@ def difficulty_hint(spark, d):
 def packets(spark, d):
     """One packet per document: its text as one paragraph, then an answer line of a part."""
     docs = documents(spark, d).withColumn("p_partkey", F.col("doc_id") % 100)
-    part = table(spark, d, "part").where("p_partkey < 100")
+    part = table(spark, d, "part")
     body = text_functions.collapse_spaces(F.col("text"))
     return docs.join(part, "p_partkey").select(F.col("doc_id").alias("source_id"), F.concat(body, F.lit("\nANSWER: "), "p_name", F.lit(" (accept "), "p_brand", F.lit("; prompt on "), "p_type", F.lit(")")).alias("text"))
 
@@ -351,7 +351,7 @@ def parse_tossups(spark, d):
 def parse_mcqs(spark, d):
     """One exam per document: each of its lines that is not blank is the stem of a question; a blank text has one without a stem."""
     docs = documents(spark, d).withColumn("p_partkey", F.col("doc_id") % 100)
-    part = table(spark, d, "part").where("p_partkey < 100")
+    part = table(spark, d, "part")
     lines = F.filter(F.transform(F.split("text", "\n"), text_functions.collapse_spaces), lambda t: t != "")
     lines = F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
     options = F.concat(F.lit("?\nA. "), "p_name", F.lit("\nB. "), "p_brand", F.lit("\nC. "), "p_type", F.lit("\nCorrect Answer: "), F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, F.col("p_brand")).otherwise("none of these"), F.lit("\n\n"))
@@ -563,7 +563,7 @@ def study_topics(spark, d):
     return planning.study_topics(bullets(spark, d)).select("topic", "source_id")
 
 
-@query(_TOPICS + " SELECT topic, source_id FROM topics WHERE lower(topic) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey <= 99 AND p_partkey % 3 <> 0)")
+@query(_TOPICS + " SELECT topic, source_id FROM topics WHERE lower(topic) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 3 <> 0)")
 def unused_topics(spark, d):
     return planning.unused_topics(planning.study_topics(bullets(spark, d)), questions(spark, d)).select("topic", "source_id")
 
@@ -583,7 +583,7 @@ def pending_count(spark, d):
 
 
 def _pieces(spark, d):
-    part = table(spark, d, "part").where("p_partkey < 100").withColumnRenamed("p_partkey", "question_id")
+    part = table(spark, d, "part").withColumnRenamed("p_partkey", "question_id")
     clues = part.select("question_id", F.posexplode(F.array("p_type", "p_brand")).alias("ordinal", "text")).withColumn("tier", F.when(F.col("ordinal") == 0, "leadin").otherwise("giveaway"))
     options = part.select("question_id", F.inline(F.array(F.struct(F.lit("A").alias("label"), F.col("p_name").alias("text")), F.struct(F.lit("B").alias("label"), F.col("p_type").alias("text")))))
     return clues, options
@@ -601,14 +601,14 @@ def enrichment_requests(spark, d):
 
 
 def responses(spark, d):
-    part = table(spark, d, "part").where("p_partkey < 100")
+    part = table(spark, d, "part")
     good = F.to_json(F.struct(F.array("p_type", "p_brand").alias("categories"), F.when(F.col("p_partkey") % 2 == 0, "hard").otherwise("high").alias("difficulty"), F.col("p_name").alias("explanation"), F.array("p_name").alias("answer_alternates")))
     text = F.when(F.col("p_partkey") % 5 == 0, F.lit("{oops")).otherwise(good)
     kind = F.when(F.col("p_partkey") % 7 == 0, "errored").otherwise("succeeded")
     return part.select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("custom_id"), kind.alias("result_type"), F.lit("end_turn").alias("stop_reason"), text.alias("text"))
 
 
-@query("SELECT 'q' || p_partkey AS custom_id, p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS ok FROM part WHERE p_partkey < 100")
+@query("SELECT 'q' || p_partkey AS custom_id, p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS ok FROM part")
 def parse_responses(spark, d):
     return planning.parse_responses(responses(spark, d)).select("custom_id", F.col("data").isNotNull().alias("ok"))
 

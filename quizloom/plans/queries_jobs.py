@@ -29,14 +29,14 @@ def query(sql: str | None = None):
 
 
 def journal_events(spark, d):
-    """The practice of ``events`` as journal lines: a session line per user and day, an attempt line per event, and a malformed line per user."""
+    """The practice of ``events`` as journal lines: a session line per user and day, an attempt line per event, and a malformed line per user; sign-ups are attempts at questions that the bank has no longer."""
     e = table(spark, d, "events")
     day = F.date_format("ts", "yyyyMMdd").cast("long")
     session = F.col("user_id") * 100_000_000 + day
     opened = e.select(session.alias("sessionId"), F.col("user_id").alias("userId"), F.concat(F.lit("user "), (F.col("user_id") % 120).cast("string")).alias("userName"), F.date_format("ts", "yyyy-MM-dd").alias("startedAt")).distinct()
     opened = opened.select(F.to_json(F.struct(F.lit("session").alias("kind"), "sessionId", "userId", "userName", F.lit("tossup").alias("format"), F.lit("official").alias("origin"), F.struct(F.array(F.lit("t")).alias("tags"), F.lit("mixed").alias("mode")).alias("filters"), "startedAt")).alias("value"))
     verdict = F.when(F.col("event_type").isin("purchase", "click", "signup"), "correct").otherwise("incorrect")
-    done = e.select(F.to_json(F.struct(F.lit("attempt").alias("kind"), F.col("event_id").alias("attemptId"), session.alias("sessionId"), F.col("user_id").alias("userId"), F.get_json_object("props", "$.k").cast("long").alias("questionId"), verdict.alias("verdict"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("createdAt"))).alias("value"))
+    done = e.select(F.to_json(F.struct(F.lit("attempt").alias("kind"), F.col("event_id").alias("attemptId"), session.alias("sessionId"), F.col("user_id").alias("userId"), (F.get_json_object("props", "$.k").cast("long") + F.when(F.col("event_type") == "signup", 1_000_000_000).otherwise(0)).alias("questionId"), verdict.alias("verdict"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("createdAt"))).alias("value"))
     broken = e.select("user_id").distinct().select(F.concat(F.lit('{"kind":"attempt","attemptId":'), F.col("user_id").cast("string")).alias("value"))
     blank = broken.select(F.lit("  ").alias("value"))
     return journal.parse_journal(opened.union(done).union(broken).union(blank))
@@ -57,28 +57,28 @@ def resolve_users(spark, d):
     return journal.resolve_users(journal_events(spark, d), empty_tables(spark)[0])
 
 
-_REPLAY = """WITH a AS (SELECT 'user ' || (user_id % 120) AS u, ts::DATE AS day, CAST(json_extract(props, '$.k') AS BIGINT) AS q, date_trunc('second', ts) AS t FROM events)"""
+_REPLAY = """WITH a AS (SELECT 'user ' || (user_id % 120) AS u, ts::DATE AS day, CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1000000000 ELSE 0 END AS q, date_trunc('second', ts) AS t FROM events)"""
 
 
 @query(
     _REPLAY
-    + """ SELECT (SELECT count(*) FROM (SELECT DISTINCT u, day, q, t FROM a WHERE q < 90)) AS attempts_added, (SELECT count(*) FROM a WHERE q < 90) - (SELECT count(*) FROM (SELECT DISTINCT u, day, q, t FROM a WHERE q < 90)) AS attempts_skipped,
-    (SELECT count(*) FROM a WHERE q >= 90) AS attempts_orphan, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_added, 0 AS sessions_skipped, (SELECT count(DISTINCT u) FROM a) AS users_added, (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended"""
+    + """ SELECT (SELECT count(*) FROM (SELECT DISTINCT u, day, q, t FROM a WHERE q IN (SELECT p_partkey FROM part))) AS attempts_added, (SELECT count(*) FROM a WHERE q IN (SELECT p_partkey FROM part)) - (SELECT count(*) FROM (SELECT DISTINCT u, day, q, t FROM a WHERE q IN (SELECT p_partkey FROM part))) AS attempts_skipped,
+    (SELECT count(*) FROM a WHERE q NOT IN (SELECT p_partkey FROM part)) AS attempts_orphan, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_added, 0 AS sessions_skipped, (SELECT count(DISTINCT u) FROM a) AS users_added, (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended"""
 )
 def restore_report(spark, d):
-    return journal.restore(journal_events(spark, d), *empty_tables(spark), questions(spark, d).where("question_id < 90"))["report"]
+    return journal.restore(journal_events(spark, d), *empty_tables(spark), questions(spark, d))["report"]
 
 
 @query(
     _REPLAY
-    + """ SELECT 0 AS attempts_added, (SELECT count(*) FROM a WHERE q < 90) AS attempts_skipped, (SELECT count(*) FROM a WHERE q >= 90) AS attempts_orphan, 0 AS sessions_added, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_skipped, 0 AS users_added,
+    + """ SELECT 0 AS attempts_added, (SELECT count(*) FROM a WHERE q IN (SELECT p_partkey FROM part)) AS attempts_skipped, (SELECT count(*) FROM a WHERE q NOT IN (SELECT p_partkey FROM part)) AS attempts_orphan, 0 AS sessions_added, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_skipped, 0 AS users_added,
     (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended"""
 )
 def restore_again(spark, d):
     """A second replay into the tables that a first one made: it adds nothing."""
     from quizloom.sources.scratch import staged
 
-    events, q = staged(journal_events(spark, d), "journal"), questions(spark, d).where("question_id < 90")
+    events, q = staged(journal_events(spark, d), "journal"), questions(spark, d)
     first = journal.restore(events, *empty_tables(spark), q)
     held = [staged(first[n], n) for n in ("users", "sessions", "attempts")]
     return journal.restore(events, *held, q)["report"]
@@ -107,13 +107,13 @@ def resolve_sessions(spark, d):
 
 @query(
     _REPLAY
-    + """, k AS (SELECT *, q >= 90 AS lost FROM a), n AS (SELECT u, day, q, t, count(*) AS n FROM k WHERE NOT lost GROUP BY ALL)
+    + """, k AS (SELECT *, q NOT IN (SELECT p_partkey FROM part) AS lost FROM a), n AS (SELECT u, day, q, t, count(*) AS n FROM k WHERE NOT lost GROUP BY ALL)
     SELECT 'added' AS outcome, count(*) AS attempts FROM n UNION ALL SELECT 'skipped', sum(n - 1)::BIGINT FROM n HAVING sum(n - 1) > 0 UNION ALL SELECT 'orphan', count(*) FROM k WHERE lost HAVING count(*) > 0"""
 )
 def restore_attempts(spark, d):
     events, (users, held, done) = journal_events(spark, d), empty_tables(spark)
     mapped = journal.resolve_sessions(events, held, journal.resolve_users(events, users))
-    out = journal.restore_attempts(events, done, mapped, questions(spark, d).where("question_id < 90"))
+    out = journal.restore_attempts(events, done, mapped, questions(spark, d))
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("attempts"))
 
 
@@ -240,7 +240,7 @@ def stream_lockouts(spark, d):
 
 
 @query(
-    """SELECT event_id AS attempt_id, user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS question_id,
+    """SELECT event_id AS attempt_id, user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1000000000 ELSE 0 END AS question_id,
     CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'correct' ELSE 'incorrect' END AS verdict, NULL::INT AS buzz_ordinal, NULL::INT AS clue_count, date_trunc('second', ts) AS created_at FROM events"""
 )
 def stream_journal(spark, d):
@@ -255,7 +255,7 @@ def stream_journal(spark, d):
     return spark.read.schema(found.schema).parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@query("SELECT 'questions' AS name, count(*) AS rows FROM part WHERE p_partkey <= 99 UNION ALL SELECT 'question_tags', count(*) FROM (SELECT p_partkey, p_type FROM part WHERE p_partkey <= 99 UNION SELECT p_partkey, p_brand FROM part WHERE p_partkey <= 99)")
+@query("SELECT 'questions' AS name, count(*) AS rows FROM part UNION ALL SELECT 'question_tags', count(*) FROM (SELECT p_partkey, p_type FROM part UNION SELECT p_partkey, p_brand FROM part)")
 def publish_snapshot(spark, d):
     """A snapshot without accounts: what of the tables is published, and how many rows."""
     folder = _folder(spark, "snapshot")

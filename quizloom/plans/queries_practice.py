@@ -184,14 +184,14 @@ def next_questions(spark, d):
     FROM questions q JOIN part p ON p.p_partkey = q.question_id LEFT JOIN sources s ON s.source_id = q.source_id"""
 )
 def hydrate(spark, d):
-    part = table(spark, d, "part").where("p_partkey <= 99").withColumnRenamed("p_partkey", "question_id")
+    part = table(spark, d, "part").withColumnRenamed("p_partkey", "question_id")
     clues = part.select("question_id", F.posexplode(F.array("p_type", "p_name")).alias("ordinal", "text")).withColumn("tier", F.lit("middle"))
     options = part.select("question_id", F.inline(F.array(F.struct(F.lit("A").alias("label"), F.col("p_brand").alias("text")), F.struct(F.lit("B").alias("label"), F.col("p_type").alias("text")))))
     full = review.hydrate(questions(spark, d), question_tags(spark, d), clues, options, sources(spark, d))
     return full.select("question_id", "answer", F.concat_ws("|", "tags").alias("tags"), F.concat_ws(">", F.transform("clues", lambda c: c["text"])).alias("clues"), F.concat_ws("|", F.transform("options", lambda o: F.concat(o["label"], F.lit("="), o["text"]))).alias("options"), "source_title", "source_url")
 
 
-@query("SELECT p_partkey AS question_id, p_name AS answer, 'AB'[CAST(p_partkey % 2 AS INT) + 1] AS correct_label FROM part WHERE p_partkey <= 99")
+@query("SELECT p_partkey AS question_id, p_name AS answer, 'AB'[CAST(p_partkey % 2 AS INT) + 1] AS correct_label FROM part")
 def reveal(spark, d):
     q = questions(spark, d).withColumns({"answer_alternates": F.array(F.col("answer")), "explanation": F.col("stem")})
     options = q.select("question_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("label")).withColumn("is_correct", F.col("label") == F.when(F.col("question_id") % 2 == 0, "A").otherwise("B"))

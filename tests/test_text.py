@@ -1,8 +1,10 @@
 """Cleaning, splitting and reading of packet text, on small examples."""
 
+from urllib.parse import urljoin
+
 from pyspark.sql import functions as F
 
-from quizloom.functions import text, web
+from quizloom.functions import grading, text, web
 from quizloom.functions.tags import suggest_tags
 from quizloom.operators import parse
 from quizloom.plans import queries_corpus
@@ -128,3 +130,31 @@ def test_urls(spark):
     assert one(spark, kind, u="x", c="", b=bytearray(b"%PDF-1")) == "pdf"
     assert one(spark, kind, u="x.docx?y", c="", b=bytearray(b"PK..")) == "docx"
     assert one(spark, kind, u="x", c="", b=bytearray(b"  <html>")) == "html"
+
+
+def test_many_question_markers(spark):
+    """The last marker that leaves a whole question counts, beyond a thousand of them too."""
+    long = "word " * 40
+    rows = [("(1) " * 1500 + long + "(3) short",), ("no marker at all",), ("(2) " + long + "(7) " + long + "(4) z",), ("Question 12: " + long,), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b string").select(text.trim_to_question_start(F.col("b"))).collect()]
+    assert got == [long + "(3) short", "no marker at all", long + "(4) z", long.strip(), None]
+
+
+def test_dots_of_any_depth(spark):
+    cases = [("http://h/a/b/c/d/e/f.html", "../../../../../x"), ("http://h/a/", "./b/./c/../d?q=/../z"), ("http://h/a/b", "../../../x"), ("http://h", "x/.."), ("http://h/a/b/", ".."), ("http://h/1/2/3/4/5/6/7/8/9", "../../../../../../../q")]
+    got = [r[0] for r in spark.createDataFrame(cases, "base string, link string").select(web.join_url(F.col("base"), F.col("link"))).collect()]
+    assert got == [urljoin(*c) for c in cases]
+
+
+def test_character_references(spark):
+    page = "<title>a&ndash;b</title><p>caf&eacute; &mdash; it&#8217;s &amp; &#x41; &lt;b&gt; AT&T R&D;</p><a href='x?a=1&amp;b=&eacute;'>q</a> <a href='/y'>r</a>"
+    r = spark.createDataFrame([(page,), ("<p>plain &amp; simple</p>",), (None,)], "h string").select(web.html_text(F.col("h")), web.page_title(F.col("h")), web.page_links(F.col("h"))).collect()
+    assert (r[0][0], r[0][1], r[0][2]) == ("a–b\ncafé — it’s & A <b> AT&T R&D;\nq\nr", "a–b", ["x?a=1&b=é", "/y"])
+    assert r[1][0] == "plain & simple" and r[2][0] is None
+
+
+def test_accents_beyond_latin_1(spark):
+    names = ["Ōda Nobunaga", "Tōjō", "Brâncuși", "ﬁne", "The Łódź"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.normalize_answer(F.col("n"))).collect()]
+    assert got == ["oda nobunaga", "tojo", "brancusi", "fine", "łodz"]
+    assert spark.createDataFrame([("The Tōjō",)], "n string").select(grading.tokenize_answer(F.col("n"))).first()[0] == ["tojo"]
