@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         held = spark.sparkContext.getCheckpointDir()
     return held

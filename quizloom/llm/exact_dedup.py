@@ -1,7 +1,8 @@
 """Exact duplicates by a content sort.
 
-Sampled splitters deal the normalised texts out by range, each task sorts its range externally, equal texts stand
-next to each other there and are told apart by comparing them whole. DataFrame functions only.
+Sampled splitters deal the normalised texts out by range (of their first 16 characters, then of a hash of the text), each task
+sorts its range externally, with whole texts as the last key; equal texts stand next to each other there and are told apart by
+comparing them whole. DataFrame functions only.
 """
 
 from __future__ import annotations
