@@ -44,13 +44,15 @@ def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, most_docs: int, train: Column | None = None) -> DataFrame:
-    """At most about ``most_docs`` labelled rows, chosen by a hash of the id: (lang, text)."""
+    """At most about ``most_docs`` labelled rows, as many of each language, chosen by a hash of the id: (lang, text)."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if train is not None:
         rows = rows.where(train)
-    n = rows.select(id_col).count()
-    if n > most_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 20)) < int(most_docs / n * (1 << 20)))
+    n = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
+    part = F.lit(0.0)
+    for lang, count in n.items():
+        part = F.when(F.col(lang_col).cast("string") == lang, F.lit(min(1.0, most_docs / len(n) / count))).otherwise(part)
+    rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) < part * (1 << 30))
     return rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
@@ -162,7 +164,7 @@ def identify(df: DataFrame, trees: ContextTrees | None, id_col: str, text_col: s
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 6000) -> DataFrame:
     """Per row: id, held_out (crc32 of the id as text modulo 3 is 1), lang_pred, score.
 
-    Trained on at most about ``most_docs`` rows with a language that are not held out; predictions see the text alone.
+    Trained on at most about ``most_docs`` rows with a language that are not held out, as many of each language; predictions see the text alone.
     A null text, an empty one and one without a letter are ``und`` with score 0; so is all if nothing can be learned from.
     Ties go to the first language by name. Rows with equal or null ids each give their row; null ids are never held out.
     """
