@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions.text import fingerprint, normalize_answer
+from quizloom.sources.scratch import staged
 
 K1, B = 1.2, 0.75  # BM25's usual constants
 QUERY_WORDS, LEAST_LETTERS, LEAST_TERMS = 12, 4, 4
@@ -55,24 +56,33 @@ def query_terms(body: Column) -> Column:
     return F.array_distinct(F.filter(F.slice(tokens(body), 1, QUERY_WORDS), lambda t: F.length(t) >= LEAST_LETTERS))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = ()) -> DataFrame:
+def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = (), above: float | None = None) -> DataFrame:
     """(query_id, doc_id, score) of queries(query_id, terms) for all documents that share a term, and the ``keys`` if given.
 
-    Document frequencies are counted first; the join on (keys, term) is a plain equi-join, which Spark splits where a word is hot.
+    With ``above`` only the scores beyond it, all of them: a word adds less than its idf times K1 + 1, so the commonest words of a
+    query that together cannot pass ``above`` bring no document in; documents meet a query by the others only, and are then scored
+    on all words. The joins are plain equi-joins, which Spark splits where a word is hot.
     """
     stats = index.select("doc_id", "length").distinct().agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_avg"))
     df = index.groupBy("term").agg(F.countDistinct("doc_id").alias("_df"))
-    asked = queries.select("query_id", *keys, F.explode("terms").alias("term"))
-    hits = asked.join(index, [*keys, "term"]).join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def search_bm25(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
-    """The k best documents of each query, by score and then id."""
+    asked = queries.select("query_id", *keys, F.explode("terms").alias("term")).join(df, "term").crossJoin(F.broadcast(stats)).withColumn("_idf", idf)
+    if above is None:
+        hits = asked.join(index, [*keys, "term"])
+    else:
+        commonest = Window.partitionBy("query_id").orderBy("_idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+        telling = asked.withColumn("_most", F.sum(F.col("_idf") * (K1 + 1)).over(commonest)).where(F.col("_most") > above - 1e-6)
+        met = telling.join(index, [*keys, "term"]).select("query_id", "doc_id").distinct()
+        hits = met.join(asked.drop(*keys), "query_id").join(index.drop(*keys), ["doc_id", "term"])
+    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
+    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return scores if above is None else scores.where(F.col("score") > above)
+
+
+def search_bm25(queries: DataFrame, index: DataFrame, k: int = 5, above: float | None = None) -> DataFrame:
+    """The k best documents of each query, by score and then id; with ``above``, those of them that score more."""
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return bm25_scores(queries, index).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return bm25_scores(queries, index, above=above).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def find_near_duplicates(new: DataFrame, bank: DataFrame, min_score: float = 8.0, k: int = 5) -> DataFrame:
@@ -82,37 +92,45 @@ def find_near_duplicates(new: DataFrame, bank: DataFrame, min_score: float = 8.0
     """
     index = build_text_index(bank.select(F.col("question_id").alias("doc_id"), "body", "answer"))
     queries = new.select(F.col("question_id").alias("query_id"), query_terms(F.col("body")).alias("terms")).where(F.size("terms") >= LEAST_TERMS)
-    hits = search_bm25(queries, index, k).where(F.col("score") > min_score)
+    hits = search_bm25(queries, index, k, min_score)
     own = new.select(F.col("question_id").alias("query_id"), F.col("type").alias("_t"), normalize_answer(F.col("answer")).alias("_a"))
     theirs = bank.select(F.col("question_id").alias("doc_id"), F.col("type").alias("_bt"), normalize_answer(F.col("answer")).alias("_ba"))
     same = hits.join(own, "query_id").join(theirs, "doc_id").where("_t = _bt and _a = _ba")
     return same.groupBy("query_id").agg(F.min_by("doc_id", "rank").alias("duplicate_of")).withColumnRenamed("query_id", "question_id")
 
 
+def greedy_gone(edges: DataFrame) -> DataFrame:
+    """(question_id, duplicate_of) of edges(question_id, near), near standing before question_id: who goes if each is held against the kept ones before it.
+
+    Settled in rounds, each written to the shared folder: who has no earlier neighbour left stays, and the neighbours behind it go
+    with their edges. The first in order always has none, so every round settles some. duplicate_of is the smallest kept neighbour.
+    """
+    edges = left = staged(edges, "near")
+    gone = None
+    while not left.isEmpty():
+        stays = left.select(F.col("near")).distinct().join(left.select(F.col("question_id").alias("near")).distinct(), "near", "left_anti")
+        goes = staged(left.join(stays, "near", "left_semi").select("question_id").distinct(), "gone")
+        gone = goes if gone is None else gone.union(goes)
+        left = staged(left.join(goes, "question_id", "left_anti").join(goes.toDF("near"), "near", "left_anti"), "left")
+    if gone is None:
+        return edges.select("question_id", F.col("near").alias("duplicate_of"))
+    kept = edges.join(gone.toDF("near"), "near", "left_anti")
+    return kept.groupBy("question_id").agg(F.min("near").alias("duplicate_of"))
+
+
 def dedup_near(batch: DataFrame, min_score: float = 8.0) -> DataFrame:
     """batch(question_id, type, answer, body, position) with duplicate_of: in order of position, each is held against the kept ones before it.
 
-    Duplicates share type and answer, so words are joined within such a block only; the greedy choice is then a fold over the few
-    rows of a block that have a near neighbour.
+    Duplicates share type and answer, so words are joined within such a block only. An id that occurs more than once stands at its
+    first place. Near pairs stay rows of an edge table, so that no block need fit into one task.
     """
     keyed = batch.withColumn("_block", F.concat_ws("|", "type", normalize_answer(F.col("answer"))))
     index = build_text_index(keyed.select(F.col("question_id").alias("doc_id"), "body", "answer")).join(keyed.select(F.col("question_id").alias("doc_id"), "_block"), "doc_id")
     queries = keyed.select(F.col("question_id").alias("query_id"), "_block", query_terms(F.col("body")).alias("terms")).where(F.size("terms") >= LEAST_TERMS)
-    place = keyed.select(F.col("question_id").alias("_q"), F.struct("position", "question_id").alias("_p"))
-    near = bm25_scores(queries, index, ["_block"]).where(F.col("score") > min_score).join(place.withColumnRenamed("_p", "_at"), F.col("query_id") == F.col("_q")).drop("_q").join(place, F.col("doc_id") == F.col("_q")).where("_p < _at")
-    near = near.groupBy(F.col("query_id").alias("question_id")).agg(F.collect_set("doc_id").alias("_near"))
-    rows = keyed.join(near, "question_id", "left")
-    touched = rows.where("_near is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("position", F.col("question_id").alias("id"), F.col("_near").alias("near"))))
-    kind = batch.schema["question_id"].dataType
-    start = F.array().cast(f"array<struct<id:{kind.simpleString()},of:{kind.simpleString()}>>")
-
-    def greedy(gone: Column, row: Column) -> Column:
-        kept = F.filter(row["near"], lambda n: ~F.exists(gone, lambda g: g["id"] == n))
-        return F.when(F.size(kept) > 0, F.concat(gone, F.array(F.struct(row["id"].alias("id"), F.array_min(kept).alias("of"))))).otherwise(gone)
-
-    gone = touched.groupBy("_block").agg(F.aggregate(ordered, start, greedy).alias("_gone")).select(F.inline("_gone")).select(F.col("id").alias("question_id"), F.col("of").alias("duplicate_of"))
-    return batch.join(gone, "question_id", "left")
+    place = keyed.groupBy("question_id").agg(F.min(F.struct("position", "question_id")).alias("_p"))
+    scores = bm25_scores(queries, index, ["_block"], min_score)
+    ordered = scores.join(place.toDF("query_id", "_at"), "query_id").join(place.toDF("doc_id", "_p"), "doc_id").where("_p < _at")
+    return batch.join(greedy_gone(ordered.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("near"))), "question_id", "left")
 
 
 def coverage(kept: DataFrame, near: DataFrame, exact: DataFrame) -> DataFrame:

@@ -173,3 +173,30 @@ def test_large_vocabularies_keep_all_tags(spark):
     assert {(r["tag"], r["source_id"]) for r in practice.tag_resources(tags, sources, source_tags).collect()} == want
     texts = sources.select("source_id", F.lit("some text").alias("text"))
     assert {(r["tag"], r["source_id"]) for r in planning.grounding_excerpts(tags, sources, texts, source_tags).collect()} == want
+
+
+def test_greedy_choice_over_chains_and_a_hot_row(spark):
+    chain = [(k, k - 1) for k in range(1, 60)]
+    star = [(k, 100) for k in range(101, 400)] + [(300, 250), (301, 99)]
+    edges = sorted(set(chain + star))
+    gone = {}
+    for q in sorted({q for q, _ in edges}):
+        kept = [d for e, d in edges if e == q and d not in gone]
+        if kept:
+            gone[q] = min(kept)
+    got = dedup.greedy_gone(spark.createDataFrame(edges, "question_id long, near long"))
+    assert {r["question_id"]: r["duplicate_of"] for r in got.collect()} == gone
+    none = dedup.greedy_gone(spark.createDataFrame([], "question_id long, near long"))
+    assert none.columns == ["question_id", "duplicate_of"] and none.isEmpty()
+
+
+def test_scores_beyond_a_bound_are_all_found(spark):
+    docs = [(i, " ".join(["common"] * (1 + i % 3) + [f"word{i % 7}", f"rare{i % 40}", "other" * (1 + i % 2)])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, body string")
+    index = dedup.build_text_index(df)
+    queries = df.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), dedup.query_terms(F.col("body")).alias("terms"))
+    every = {(r["query_id"], r["doc_id"]): r["score"] for r in dedup.bm25_scores(queries, index).collect()}
+    for above in (0.0, 2.0, 4.0, 8.0):
+        got = {(r["query_id"], r["doc_id"]): r["score"] for r in dedup.bm25_scores(queries, index, above=above).collect()}
+        want = {k: v for k, v in every.items() if v > above}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
