@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions.text import fingerprint, normalize_answer
+from quizloom.operators.index import K1, B, blocks, top_k
 from quizloom.sources.scratch import staged
 
-K1, B = 1.2, 0.75  # BM25's usual constants
 QUERY_WORDS, LEAST_LETTERS, LEAST_TERMS = 12, 4, 4
 
 
@@ -80,25 +80,42 @@ def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = (), abov
 
 
 def search_bm25(queries: DataFrame, index: DataFrame, k: int = 5, above: float | None = None) -> DataFrame:
-    """The k best documents of each query, by score and then id; with ``above``, those of them that score more."""
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return bm25_scores(queries, index, above=above).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    """(query_id, doc_id, score, rank): the k best documents of each query, by score and then id; with ``above``, those of them that score more.
 
+    Exact, but not by scoring all pairs that share a word: see index.top_k().
+    """
+    n, mean = index.select("doc_id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
+    mean = float(mean or 1.0)
+    return top_k(queries, staged(blocks(index, n, mean), "blocks"), n, mean, mean, k, above)
 
-def find_near_duplicates(new: DataFrame, bank: DataFrame, min_score: float = 8.0, k: int = 5) -> DataFrame:
-    """(question_id, duplicate_of): the best of a new question's k best matches in the bank with equal answer and type, if it scores enough.
 
-    Both: (question_id, type, answer, body). Questions with fewer than LEAST_TERMS query terms have no near duplicate.
-    """
-    index = build_text_index(bank.select(F.col("question_id").alias("doc_id"), "body", "answer"))
-    queries = new.select(F.col("question_id").alias("query_id"), query_terms(F.col("body")).alias("terms")).where(F.size("terms") >= LEAST_TERMS)
-    hits = search_bm25(queries, index, k, min_score)
+def near_queries(questions: DataFrame) -> DataFrame:
+    """(query_id, terms) of questions with enough query terms."""
+    return questions.select(F.col("question_id").alias("query_id"), query_terms(F.col("body")).alias("terms")).where(F.size("terms") >= LEAST_TERMS)
+
+
+def same_question(hits: DataFrame, new: DataFrame, bank: DataFrame) -> DataFrame:
+    """(question_id, duplicate_of): the best of a question's hits (query_id, doc_id, rank) with equal answer and type."""
     own = new.select(F.col("question_id").alias("query_id"), F.col("type").alias("_t"), normalize_answer(F.col("answer")).alias("_a"))
     theirs = bank.select(F.col("question_id").alias("doc_id"), F.col("type").alias("_bt"), normalize_answer(F.col("answer")).alias("_ba"))
     same = hits.join(own, "query_id").join(theirs, "doc_id").where("_t = _bt and _a = _ba")
     return same.groupBy("query_id").agg(F.min_by("doc_id", "rank").alias("duplicate_of")).withColumnRenamed("query_id", "question_id")
 
 
+def find_near_duplicates(new: DataFrame, bank: DataFrame, min_score: float = 8.0, k: int = 5) -> DataFrame:
+    """(question_id, duplicate_of): the best of a new question's k best matches in the bank with equal answer and type, if it scores enough.
+
+    Both: (question_id, type, answer, body). Questions with fewer than LEAST_TERMS query terms have no near duplicate. The bank is
+    indexed here; a bank that stays is better kept in a TextIndex, as parse_pipeline() has it.
+    """
+    index = question_postings(bank)
+    return same_question(search_bm25(near_queries(new), index, k, min_score), new, bank)
+
+
+def question_postings(questions: DataFrame) -> DataFrame:
+    return build_text_index(questions.select(F.col("question_id").alias("doc_id"), "body", "answer"))
+
+
 def greedy_gone(edges: DataFrame) -> DataFrame:
     """(question_id, duplicate_of) of edges(question_id, near), near standing before question_id: who goes if each is held against the kept ones before it.
 

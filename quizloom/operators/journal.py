@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quizloom.operators.ranks import ranked
 from quizloom.sources.scratch import staged
 
 EVENT = (
@@ -44,18 +45,9 @@ def journal_stats(events: DataFrame) -> DataFrame:
     return events.groupBy(F.coalesce("kind", F.lit("malformed")).alias("kind")).agg(F.count(F.lit(1)).alias("events"))
 
 
-def numbered(rows: DataFrame, bucket: Column, order: list[str], most: DataFrame) -> DataFrame:
-    """``rows`` with _new: the numbers after ``most`` (one row, _most) in the given order, of which ``bucket`` is the beginning.
-
-    No task orders all rows: ranks are within a bucket, after the rows of the buckets before it, which are few.
-    """
-    rows = rows.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("_bucket").alias("_b"), before.alias("_before"))
-    ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    ranked = ranked.join(counts, F.col("_bucket").eqNullSafe(F.col("_b"))).crossJoin(F.broadcast(most))
-    return ranked.withColumn("_new", (F.col("_most") + F.col("_before") + F.col("_in")).cast("long")).drop("_bucket", "_b", "_before", "_in", "_most")
+def numbered(rows: DataFrame, order: list[str], most: DataFrame) -> DataFrame:
+    """``rows`` with _new: the numbers after ``most`` (one row, _most) in the given order, dense whatever the keys look like."""
+    return ranked(rows, order, "_rank").crossJoin(F.broadcast(most)).withColumn("_new", (F.col("_most") + F.col("_rank")).cast("long")).drop("_rank", "_most")
 
 
 def resolve_users(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -68,7 +60,7 @@ def resolve_users(events: DataFrame, users: DataFrame) -> DataFrame:
     held = users.groupBy(F.lower("name").alias("_low")).agg(F.min("user_id").alias("_id"))
     most = users.agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("_most"))
     new = seen.where("name is not null").select("_low").distinct().join(held, "_low", "left_anti")
-    new = numbered(new, F.substring("_low", 1, 3), ["_low"], most)
+    new = numbered(new, ["_low"], most)
     out = seen.join(held, "_low", "left").join(new, "_low", "left")
     user = F.when(F.col("name").isNull(), F.lit(FIRST_USER).cast("long")).otherwise(F.coalesce("_id", "_new"))
     return out.select("journal_user", user.alias("user_id"), "name", F.col("_new").isNotNull().alias("created"))
@@ -92,7 +84,7 @@ def resolve_sessions(events: DataFrame, sessions: DataFrame, user_map: DataFrame
     held = sessions.groupBy(*keys).agg(F.min("session_id").alias("_held"))
     new = own.select(*keys).distinct().alias("a").join(held.alias("b"), on, "left_anti")
     most = sessions.agg(F.coalesce(F.max("session_id"), F.lit(0)).alias("_most"))
-    new = numbered(new, F.substring("started_at", 1, 10), keys, most)
+    new = numbered(new, keys, most)
     both = own.alias("a").join(held.alias("b"), on, "left").select("a.*", "_held")
     both = both.alias("a").join(new.alias("b"), on, "left").select("a.*", "_new")
     return both.select("journal_session", *keys, F.coalesce("_held", "_new").alias("session_id"), F.col("_held").isNull().alias("added"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions.text import collapse_spaces, normalize_answer
 from quizloom.operators.dedup import find_near_duplicates
+from quizloom.operators.ranks import ranked
 
 DIFFICULTIES = ("elementary", "middle", "high", "open")
 SLICE = 5
@@ -23,7 +24,7 @@ CONNECTORS = "of|the|and|de|von|van"
 def enrichment_requests(questions: DataFrame, clues: DataFrame, options: DataFrame, limit: int | None = None, batch: int = 500) -> DataFrame:
     """(question_id, custom_id, batch_no, payload) for questions not yet enriched, the lowest ids first.
 
-    Batches: ids are ranked within ranges of ids, not in one task; the last batch of a range may be short.
+    Batches hold exactly ``batch`` questions whatever the gaps in ids, but for the last; they are numbered from 0 by ranks over all ids.
     """
     todo = questions.where(~F.col("enriched"))
     if limit is not None:
@@ -35,9 +36,7 @@ def enrichment_requests(questions: DataFrame, clues: DataFrame, options: DataFra
     tossup = F.concat(F.lit("Question type: pyramidal tossup\n\n"), F.coalesce(joined("_c"), F.lit("")), F.lit("\n\nANSWER: "), "answer")
     choice = F.concat(F.lit("Question type: multiple choice\n\n"), F.coalesce("stem", F.lit("")), F.lit("\n"), F.coalesce(joined("_o"), F.lit("")), F.lit("\n\nCorrect answer: "), "answer")
     rows = rows.select("question_id", F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("custom_id"), F.when(F.col("type") == "tossup", tossup).otherwise(choice).alias("payload"))
-    span = F.floor(F.col("question_id") / (batch * 1000)).alias("_span")
-    ranked = rows.withColumn("_span", span).withColumn("_n", F.row_number().over(Window.partitionBy("_span").orderBy("question_id")) - 1)
-    return ranked.select("question_id", "custom_id", (F.col("_span") * 1000 + F.floor(F.col("_n") / batch)).cast("long").alias("batch_no"), "payload")
+    return ranked(rows, ["question_id"]).select("question_id", "custom_id", F.floor((F.col("rank") - 1) / batch).cast("long").alias("batch_no"), "payload")
 
 
 RESPONSE = "categories array<string>, difficulty string, explanation string, answer_alternates array<string>"

@@ -9,7 +9,9 @@ from quizloom.functions import text as text_functions
 from quizloom.functions import web
 from quizloom.functions.grading import similarity
 from quizloom.operators import crawl, dedup, grading, parse, planning, tagging
+from quizloom.operators.index import TextIndex
 from quizloom.plans.mapping import question_sources, question_tags, questions, sources, table, with_
+from quizloom.sources.scratch import scratch_folder
 
 QUERIES, ORACLE = {}, {}
 
@@ -360,10 +362,68 @@ def parse_mcqs(spark, d):
     return out.select("source_id", "position", "reason", "stem", "answer", F.size("options").alias("n_options"))
 
 
-@query()
+def _told_body(text="text"):
+    """A document's words of two letters or more, as one sentence, and a second sentence about a part: (body, first clue)."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " "), lambda w: F.length(w) > 1)
+    first = F.concat_ws(" ", F.array_join(words, " "), F.lit("indeed."))
+    return F.concat_ws(" ", F.nullif(F.array_join(words, " "), F.lit("")), F.lit("indeed. It was sold as"), F.lower("p_type"), F.lit("under label"), F.substring("p_brand", 7, 9), F.lit("by traders in the old town and all along the river, as its makers tell us.")), first
+
+
+def told(spark, d):
+    """Documents with a part each: (source_id, lang, body, first, exam) for packets of one tossup and one multiple-choice question."""
+    part = table(spark, d, "part")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n")))).withColumn("p_partkey", F.col("doc_id") % F.col("n")).join(part, "p_partkey")
+    body, first = _told_body()
+    exam = F.concat(F.lit("1. Which good has the brand "), F.substring("p_brand", 7, 9), F.lit(" in the list?\nA. "), "p_name", F.lit("\nB. "), F.lower("p_type"), F.lit("\nC. none of them\nAnswer: B"))
+    return docs.select(F.col("doc_id").alias("source_id"), F.concat(F.lit("market of "), "lang").alias("answer"), body.alias("body"), F.ltrim(first).alias("first"), exam.alias("exam"))
+
+
+def _near_bm25_sql(asked: str, index: str, least: float, pairs: str) -> str:
+    """(query_id, doc_id, score) of the words of ``asked`` (query_id, term) over ``index`` (doc_id, term, tf, length), for the pairs that fit."""
+    return f"""SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score
+      FROM {asked} JOIN {index} USING (term) JOIN (SELECT term, count(*) AS df FROM {index} GROUP BY 1) USING (term), (SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT doc_id, length FROM {index})) {pairs} GROUP BY 1, 2 HAVING score > {least}"""
+
+
+_TOLD_SQL = f"""w AS (SELECT doc_id, lang, array_to_string(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) > 1), ' ') AS t, doc_id % (SELECT count(*) FROM part) AS k FROM documents),
+told AS (SELECT doc_id, 'market of ' || lang AS answer, ltrim(concat(t, ' indeed. It was sold as ', lower(p_type), ' under label ', p_brand[7:], ' by traders in the old town and all along the river, as its makers tell us.')) AS body, ltrim(concat(t, ' indeed.')) AS first,
+  concat('Which good has the brand ', p_brand[7:], ' in the list?') AS stem, lower(p_type) AS choice FROM w JOIN part ON p_partkey = k),
+bank AS (SELECT doc_id AS question_id, answer, body, first FROM told WHERE doc_id % 4 < 2),
+ready AS (SELECT source_id, kind FROM sources WHERE status = 'extracted'),
+parsed AS (SELECT doc_id AS source_id, 'tossup' AS type, answer, body, first, length(body) <= 4000 AS good FROM told WHERE doc_id IN (SELECT source_id FROM ready WHERE kind IN ('packet', 'exam'))
+  UNION ALL SELECT doc_id, 'mcq', choice, stem, stem, true FROM told WHERE doc_id IN (SELECT source_id FROM ready WHERE kind IN ('packet', 'exam'))),
+cand AS (SELECT *, row_number() OVER (ORDER BY source_id, type DESC) AS c, {norm_sql("answer")} AS a, concat({norm_sql("answer")}, '|', left({norm_sql("first")}, 200)) AS print, string_split({norm_sql("body")}, ' ') AS toks FROM parsed WHERE good),
+prints AS (SELECT DISTINCT concat({norm_sql("answer")}, '|', left({norm_sql("first")}, 200)) AS print FROM bank),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY print ORDER BY c) AS nth FROM cand) WHERE nth = 1 AND print NOT IN (SELECT print FROM prints)),
+asks AS (SELECT c AS query_id, unnest(terms) AS term FROM (SELECT c, list_distinct(list_filter(toks[1:12], lambda x: length(x) >= 4)) AS terms FROM fresh) WHERE len(terms) >= 4),
+held AS (SELECT doc_id, term, count(*) AS tf, length FROM (SELECT question_id AS doc_id, unnest(l) AS term, len(l) AS length FROM (SELECT question_id, list_filter(string_split({norm_sql("concat(body, ' ', answer)")}, ' '), lambda x: x <> '') AS l FROM bank)) GROUP BY ALL),
+hits AS ({_near_bm25_sql("asks", "held", 0, "")}),
+near AS (SELECT DISTINCT query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits) JOIN fresh ON c = query_id JOIN bank ON question_id = doc_id
+  WHERE rank <= 5 AND score > 8 AND type = 'tossup' AND a = {norm_sql("bank.answer")}),
+rest AS (SELECT * FROM fresh WHERE c NOT IN (SELECT query_id FROM near)),
+own AS (SELECT doc_id, term, count(*) AS tf, length FROM (SELECT c AS doc_id, unnest(l) AS term, len(l) AS length FROM (SELECT c, list_filter(string_split({norm_sql("concat(body, ' ', answer)")}, ' '), lambda x: x <> '') AS l FROM rest)) GROUP BY ALL),
+ask2 AS (SELECT * FROM asks WHERE query_id NOT IN (SELECT query_id FROM near)),
+edges AS (SELECT query_id, list(doc_id) AS nears FROM ({_near_bm25_sql("ask2", "own", 8, "WHERE doc_id < query_id AND EXISTS (SELECT 1 FROM rest x, rest y WHERE x.c = query_id AND y.c = doc_id AND x.a = y.a AND x.type = y.type)")}) GROUP BY 1),
+line AS (SELECT c, row_number() OVER (ORDER BY c) AS i, coalesce(nears, []) AS nears FROM rest LEFT JOIN edges ON query_id = c),
+walk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT line.i, CASE WHEN len(list_filter(nears, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, c) ELSE gone END FROM walk JOIN line ON line.i = walk.i + 1),
+lost AS (SELECT unnest(gone) AS c FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)),
+kept AS (SELECT source_id, count(*) FILTER (WHERE type = 'tossup') AS tossups, count(*) FILTER (WHERE type = 'mcq') AS mcqs FROM rest WHERE c NOT IN (SELECT c FROM lost) GROUP BY 1),
+counts AS (SELECT source_id, coalesce(any_value(tossups), 0) AS tossups, coalesce(any_value(mcqs), 0) AS mcqs, count(*) FILTER (WHERE good) - coalesce(any_value(tossups), 0) - coalesce(any_value(mcqs), 0) AS duplicates, 1 + count(*) FILTER (WHERE NOT good) AS quarantined
+  FROM parsed LEFT JOIN kept USING (source_id) GROUP BY 1)"""
+
+
+@query(
+    with_("sources").replace("WITH", "WITH RECURSIVE") + ", " + _TOLD_SQL
+    + """ SELECT s.source_id, CASE WHEN s.status = 'extracted' THEN 'parsed' ELSE s.status END AS status, CASE WHEN s.status <> 'extracted' THEN NULL WHEN kind IN ('packet', 'exam') THEN concat(tossups, ' tossups, ', mcqs, ' mcqs, ', duplicates, ' dupes, ', quarantined, ' quarantined')
+    ELSE concat('kind=', kind, ', kept as reference') END AS status_detail, coalesce(tossups, 0) AS tossups, coalesce(mcqs, 0) AS mcqs, coalesce(duplicates, 0) AS duplicates, coalesce(quarantined, 0) AS quarantined FROM sources s LEFT JOIN counts USING (source_id)"""
+)
 def parse_pipeline(spark, d):
-    texts = packets(spark, d)
-    return parse.parse_pipeline(sources(spark, d), texts)["sources"].select("source_id", "status", "status_detail", "tossups", "mcqs", "quarantined")
+    """Packets of all sources that are packets or exams, against a standing bank: the questions of the other sources, held in a word index."""
+    rows = told(spark, d)
+    texts = rows.select("source_id", F.concat("body", F.lit("\nANSWER: "), "answer", F.lit("\n\n"), "exam").alias("text"))
+    bank = rows.where("source_id % 4 < 2").select(F.col("source_id").alias("question_id"), F.lit("tossup").alias("type"), "answer", "body", text_functions.fingerprint(F.col("answer"), F.col("first")).alias("fingerprint"))
+    index = TextIndex(spark, scratch_folder(spark, "bank-index"))
+    index.append(dedup.question_postings(bank), "bank")
+    return parse.parse_pipeline(sources(spark, d), texts, bank, index)["sources"].select("source_id", "status", "status_detail", "tossups", "mcqs", "duplicates", "quarantined")
 
 
 @query(
@@ -540,11 +600,13 @@ def generation_plan(spark, d):
 @query(
     with_("questions", "question_tags")
     + """, made AS (SELECT question_id FROM questions WHERE origin = 'generated' AND type = 'tossup'), have AS (SELECT v.tag, count(m.question_id) AS generated FROM (SELECT DISTINCT tag FROM question_tags) v LEFT JOIN question_tags t USING (tag) LEFT JOIN made m USING (question_id) GROUP BY 1)
-    SELECT tag, generated, CAST(row_number() OVER (ORDER BY generated, tag) AS INT) AS place, CAST(greatest(2, least(60, ceil(floor((500 - (SELECT count(*) FROM made)) * 1.45) / (SELECT count(*) FROM have)))) AS INT) AS per_tag FROM have"""
+    SELECT tag, generated, CAST(row_number() OVER (ORDER BY generated, tag) AS INT) AS place, CAST(greatest(2, least(60, ceil(floor((2 * (SELECT count(*) FROM made) - (SELECT count(*) FROM made)) * 1.45) / (SELECT count(*) FROM have)))) AS INT) AS per_tag FROM have
+    WHERE (SELECT count(*) FROM made) < 2 * (SELECT count(*) FROM made)"""
 )
 def coverage_gap_plan(spark, d):
-    qt = question_tags(spark, d)
-    return planning.coverage_gap_plan(qt.select("tag").distinct(), questions(spark, d), qt, target=500)
+    """The target is twice what the bank has generated, so a round is due at any scale."""
+    qt, q = question_tags(spark, d), questions(spark, d)
+    return planning.coverage_gap_plan(qt.select("tag").distinct(), q, qt, target=2 * q.where("origin = 'generated' and type = 'tossup'").count())
 
 
 def bullets(spark, d):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quizloom.operators import grading, journal, parse
 from quizloom.plans.mapping import attempts, question_tags, questions, sessions, sources, table, with_
 from quizloom.plans.queries_practice import _FOLD, _RECURSIVE
 from quizloom.sources import bank
+from quizloom.sources.scratch import scratch_folder
 from quizloom.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
@@ -197,16 +196,6 @@ def extract_uploads(spark, d):
 # Streams ----------------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark, what: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark, d):
     """The event files as a stream; their zoneless times are UTC."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -220,7 +209,7 @@ def stream_review_queue(spark, d):
     e = event_stream(spark, d)
     verdict = F.when(F.col("event_type").isin("purchase", "click", "signup"), "correct").when(F.col("event_type") == "error", "incorrect").otherwise("timeout")
     stream = e.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("question_id"), F.col("event_id").alias("attempt_id"), verdict.alias("verdict"), F.col("ts").alias("created_at"))
-    folder = _folder(spark, "review")
+    folder = scratch_folder(spark, "review")
     jobs.stream_review_queue(stream, folder, f"{folder}-checkpoint").awaitTermination()
     return jobs.read_review_queue(spark, folder).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
 
@@ -233,7 +222,7 @@ def stream_review_queue(spark, d):
 def stream_lockouts(spark, d):
     """Sliding windows with two failures or more that the watermark has closed."""
     found = jobs.stream_lockouts(event_stream(spark, d).withColumn("failed", F.col("event_type") == "error"), threshold=2)
-    folder = _folder(spark, "lockouts")
+    folder = scratch_folder(spark, "lockouts")
     found.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     closed = spark.read.schema(found.schema).parquet(folder)
     return closed.withColumns({"from": F.col("from").cast("timestamp_ntz"), "to": F.col("to").cast("timestamp_ntz")})
@@ -245,7 +234,7 @@ def stream_lockouts(spark, d):
 )
 def stream_journal(spark, d):
     """The journal of ``events``, written as text and read back as a stream: each attempt once."""
-    folder = _folder(spark, "journal")
+    folder = scratch_folder(spark, "journal")
     lines = journal.journal_lines(journal_events(spark, d).where("kind is not null"))
     lines.write.mode("append").text(folder)
     lines.limit(500).write.mode("append").text(folder)  # some of it again, as a replay would
@@ -258,6 +247,6 @@ def stream_journal(spark, d):
 @query("SELECT 'questions' AS name, count(*) AS rows FROM part UNION ALL SELECT 'question_tags', count(*) FROM (SELECT p_partkey, p_type FROM part UNION SELECT p_partkey, p_brand FROM part)")
 def publish_snapshot(spark, d):
     """A snapshot without accounts: what of the tables is published, and how many rows."""
-    folder = _folder(spark, "snapshot")
+    folder = scratch_folder(spark, "snapshot")
     counts = bank.publish_snapshot({"questions": questions(spark, d), "question_tags": question_tags(spark, d), "attempts": attempts(spark, d)}, folder, accounts=False)
     return spark.createDataFrame(list(counts.items()), "name string, rows long")

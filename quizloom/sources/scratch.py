@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back; only where no such folder is named is a local one made."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``; only where no such folder is named, and under a local master, is a local one made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back."""
+    path = scratch_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
