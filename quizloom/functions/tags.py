@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The terms that speak for each category, as substrings of the lower-cased text.
 RULES: dict[str, tuple[str, ...]] = {
@@ -40,25 +42,54 @@ ERAS = ["Ancient World", "Middle Ages", "Renaissance", "Early Modern", "Modern",
 DEFAULT_TAG, MOST_TAGS = "World History", 5
 
 
+_held: list = []
+
+
+def _automaton():
+    """One automaton of the terms of all rules, made once a worker; each term has the places of its rules."""
+    if not _held:
+        import ahocorasick
+
+        rules: dict[str, list[int]] = {}
+        for n, terms in enumerate(RULES.values()):
+            for t in set(terms):
+                rules.setdefault(t, []).append(n)
+        made = ahocorasick.Automaton()
+        for k, (t, places) in enumerate(rules.items()):
+            made.add_word(t, (k, places))
+        made.make_automaton()
+        _held.append(made)
+    return _held[0]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def matched_tags(texts: pa.Array) -> pa.Array:
+    """The tags of lower-cased texts, up to MOST_TAGS: by how many of their terms occur, then by name. One pass over each text, whatever the number of terms."""
+    found, names = _automaton(), list(RULES)
+    out = []
+    for text in texts.to_pylist():
+        hits: dict[int, int] = {}
+        for _, places in dict(value for _, value in found.iter(text)).items() if text else ():
+            for n in places:
+                hits[n] = hits.get(n, 0) + 1
+        out.append([name for _, name in sorted((-h, names[n]) for n, h in hits.items())[:MOST_TAGS]])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def suggest_tags(text: Column, answer: Column | None = None) -> Column:
     """Up to five categories: by how many of their terms occur, then by name; then an era by years; else the default.
 
-    One expression over the lower-cased text, no Python on the executors.
+    Terms are found in Arrow batches by one automaton; the years and the choice are built-in functions.
     """
     hay = F.lower(F.concat_ws(" ", F.coalesce(text, F.lit("")), F.coalesce(answer, F.lit("")) if answer is not None else F.lit("")))
-
-    def scored(h: Column) -> Column:
-        hits = [F.struct((-sum((h.contains(t).cast("int") for t in terms), F.lit(0))).alias("less"), F.lit(tag).alias("tag")) for tag, terms in RULES.items()]
-        found = F.slice(F.transform(F.array_sort(F.filter(F.array(*hits), lambda s: s["less"] < 0)), lambda s: s["tag"]), 1, MOST_TAGS)
-        era = F.lit(None).cast("string")
-        for years, name in reversed(ERA_YEARS):
-            era = F.when(h.rlike(rf"\b{years}\b"), name).otherwise(era)
-        return F.struct(found.alias("found"), era.alias("era"))
+    era = F.lit(None).cast("string")
+    for years, name in reversed(ERA_YEARS):
+        era = F.when(hay.rlike(rf"\b{years}\b"), name).otherwise(era)
 
     def finished(both: Column) -> Column:
         found, era = both["found"], both["era"]
         with_era = F.when(~F.arrays_overlap(found, F.array(*map(F.lit, ERAS))) & era.isNotNull(), F.concat(found, F.array(era))).otherwise(found)
         return F.slice(F.when(F.size(with_era) == 0, F.array(F.lit(DEFAULT_TAG))).otherwise(with_era), 1, MOST_TAGS)
 
-    # One-element arrays bind the lower-cased text, and then what was found in it, to names, so that each is computed once.
-    return F.get(F.transform(F.transform(F.array(hay), scored), finished), F.lit(0))
+    # A one-element array binds what was found to a name, so that it is computed once.
+    return F.get(F.transform(F.array(F.struct(matched_tags(hay).alias("found"), era.alias("era"))), finished), F.lit(0))

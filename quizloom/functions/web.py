@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as html_references
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,29 +121,48 @@ def _frequent(text: Column) -> Column:
     return text
 
 
-def _others(text: Column) -> Column:
+def rare_references(text: Column) -> Column:
     """Whether a text holds a character reference, named or numeric, that is none of the frequent ones."""
+    rest = text
     for name in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(""))
-    return text.contains("&") & text.rlike(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*;)")
+        rest = F.replace(rest, F.lit(name), F.lit(""))
+    return F.when(text.contains("&"), rest.rlike(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*;)")).otherwise(F.lit(False))
 
 
-def unescape(text: Column) -> Column:
-    """Character references as characters: the frequent ones by built-in functions; only texts with others go through Python."""
-    return F.when(_others(text), _unescaped(F.when(_others(text), text))).otherwise(_frequent(text))
+def unescape(text: Column, rare: Column | None = None) -> Column:
+    """Character references as characters: the frequent ones by built-in functions; only texts with others go through Python.
 
+    ``text`` is named several times, and so is ``rare``, which is rare_references(text): where they are more than columns, project them first.
+    """
+    rare = rare_references(text) if rare is None else rare
+    return F.when(rare, _unescaped(F.when(rare, text))).when(text.contains("&"), _frequent(text)).otherwise(text)
 
-def html_text(html: Column) -> Column:
-    """The page's text, a line for each run between tags; scripts, styles, navigation, footers and pictures left out."""
+
+def stripped_html(html: Column) -> Column:
+    """The page with a line feed for each tag; scripts, styles, navigation, footers, pictures and the head left out. References stay as they are."""
     body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in DROPPED_ELEMENTS:
+    for name in [*DROPPED_ELEMENTS, "head"]:
         body = F.regexp_replace(body, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", "")
-    body = F.regexp_replace(body, r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>", "")
-    body = unescape(F.regexp_replace(body, r"(?s)<[^>]*>", "\n"))
-    lines = F.transform(F.split(body, r"[\n\r]"), lambda line: F.regexp_replace(line, r"^[\s ]+|[\s ]+$", ""))
+    return F.regexp_replace(body, r"(?s)<[^>]*>", "\n")
+
+
+def text_lines(body: Column) -> Column:
+    """A page's lines, trimmed, without blank ones."""
+    lines = F.transform(F.split(body, r"[\n\r]"), lambda line: F.regexp_replace(line, r"^[\s ]+|[\s ]+$", ""))
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
+def html_text(html: Column) -> Column:
+    """The page's text as one expression; over a table, with_html_text() computes each step once."""
+    return text_lines(unescape(stripped_html(html)))
+
+
+def with_html_text(rows: DataFrame, html_col: str, name: str = "text") -> DataFrame:
+    """``rows`` with the text of the pages in a column: a line for each run between tags. Each step is a projection of its own, so none is computed twice."""
+    body = rows.withColumn("_body", stripped_html(F.col(html_col)))
+    return body.withColumn("_rare", rare_references(F.col("_body"))).withColumn(name, text_lines(unescape(F.col("_body"), F.col("_rare")))).drop("_body", "_rare")
+
+
 def page_title(html: Column) -> Column:
     title = F.trim(unescape(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)))
     return F.when(title != "", F.substring(title, 1, 300))
@@ -186,7 +205,7 @@ def page_links(html: Column) -> Column:
     """The href of each link, in the order of the page."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(1))
     raw = F.transform(tags, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
-    other = F.exists(raw, _others)
+    other = F.exists(raw, rare_references)
     return F.transform(F.when(other, _all_unescaped(F.when(other, raw))).otherwise(F.transform(raw, _frequent)), F.trim)
 
 

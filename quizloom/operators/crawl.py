@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions.text import recover_spaces
-from quizloom.functions.web import html_text, is_boilerplate, is_document, join_url, normalize_doc_url, page_links, page_title, url_host
+from quizloom.functions.web import is_boilerplate, is_document, join_url, normalize_doc_url, page_links, page_title, url_host, with_html_text
 from quizloom.sources.scratch import staged
 
 DEFAULT_DELAY, LEAST_DELAY = 10.0, 1.0
@@ -16,7 +16,7 @@ DOCUMENT_HOSTS = ["docs.google.com", "drive.google.com"]
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, text) of pages(page_id, url, html). One pass, built-in functions."""
-    return pages.select("page_id", "url", page_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"))
+    return with_html_text(pages.select("page_id", "url", "html", page_title(F.col("html")).alias("title")), "html").drop("html")
 
 
 def extract_links(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions.text import collapse_spaces, normalize_answer
+from quizloom.operators.containment import contained
 from quizloom.operators.dedup import find_near_duplicates
 from quizloom.operators.ranks import ranked
 
@@ -84,7 +85,7 @@ def grounding_excerpts(tags: DataFrame, sources: DataFrame, source_texts: DataFr
     free = sources.where(F.col("ai_train_ok") & F.col("kind").isin("studyguide", "index")).select("source_id", "kind", "title", "url")
     vocabulary = tags.select("tag").distinct()
     hits = free.join(source_tags, "source_id").join(vocabulary, "tag", "left_semi").select("tag", "source_id", "title", "url")
-    hits = hits.union(free.join(vocabulary, F.contains(F.lower("title"), F.lower("tag"))).select("tag", "source_id", "title", "url")).distinct()
+    hits = hits.union(contained(free, vocabulary, "title", "tag").select("tag", "source_id", "title", "url")).distinct()
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("tag").orderBy("source_id"))).where(F.col("rank") <= most)
     guides = free.where("kind = 'studyguide'").orderBy("source_id").limit(fallback)
     bare = tags.select("tag").distinct().join(hits.select("tag").distinct(), "tag", "left_anti").crossJoin(F.broadcast(guides.select("source_id", "title", "url")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizloom.operators.containment import contained
+
 
 def is_correct() -> Column:
     return F.col("verdict") == "correct"
@@ -61,14 +63,24 @@ def weak_areas(attempts: DataFrame, question_tags: DataFrame, min_attempts: int
 def tag_resources(tags: DataFrame, sources: DataFrame, source_tags: DataFrame, per_tag: int = 3, kinds: tuple = ("studyguide", "index", "rules"), states: tuple = ("fetched", "extracted", "parsed")) -> DataFrame:
     """Up to ``per_tag`` reading resources of each tag: sources with the tag, or with its name in their title.
 
-    ``tags`` is the vocabulary, of any size; Spark chooses how to match titles to it, which holds each title against each tag.
+    ``tags`` is the vocabulary, of any size: titles and tags meet by rare runs of characters, see contained().
     """
     usable = sources.where(F.col("kind").isin(*kinds) & F.col("status").isin(*states)).select("source_id", "title", "url")
-    tagged = source_tags.join(usable, "source_id").join(tags.select("tag"), "tag", "left_semi").select("tag", "source_id", "title", "url")
-    titled = usable.join(tags.select("tag").distinct(), F.lower("title").contains(F.lower("tag"))).select("tag", "source_id", "title", "url")
+    vocabulary = tags.select("tag").distinct()
+    tagged = source_tags.join(usable, "source_id").join(vocabulary, "tag", "left_semi").select("tag", "source_id", "title", "url")
+    titled = contained(usable, vocabulary, "title", "tag").select("tag", "source_id", "title", "url")
     return top_per(tagged.union(titled).distinct(), ["tag"], [F.asc("url"), F.asc("source_id")], per_tag)
 
 
+def weak_areas_with_resources(attempts: DataFrame, question_tags: DataFrame, sources: DataFrame, source_tags: DataFrame, min_attempts: int = 4, limit: int = 6, per_tag: int = 3) -> DataFrame:
+    """weak_areas() with ``resources``, an array of up to ``per_tag`` (title, url) in order of url; a source without a title has its URL instead. Areas without any have an empty array."""
+    weak = weak_areas(attempts, question_tags, min_attempts, limit)
+    named = tag_resources(question_tags, sources, source_tags, per_tag).select("tag", F.struct("rank", F.coalesce("title", "url").alias("title"), "url").alias("_r"))
+    listed = named.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list("_r")), lambda r: F.struct(r["title"].alias("title"), r["url"].alias("url"))).alias("resources"))
+    none = F.filter(F.array(F.struct(F.lit("").alias("title"), F.lit("").alias("url"))), lambda r: F.lit(False))
+    return weak.join(listed, "tag", "left").withColumn("resources", F.coalesce("resources", none))
+
+
 def most_missed(attempts: DataFrame, limit: int = 10) -> DataFrame:
     """Per user the questions most often not answered correctly."""
     per = attempts.groupBy("user_id", "question_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(~is_correct()).alias("misses")).where("misses > 0")

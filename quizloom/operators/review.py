@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizloom.operators.ranks import ranked
+
 MISSES = ("incorrect", "timeout")
 FIRST_EASE, LEAST_EASE, MOST_EASE, LONGEST = 2.5, 1.3, 3.0, 180.0
 
@@ -90,6 +92,12 @@ def due_questions(queue: DataFrame, filtered: DataFrame, as_of: Column, excluded
     return due.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("due_at", "question_id"))).select("user_id", "question_id", "due_at", "rank")
 
 
+def draw(seed: int, *columns: str) -> Column:
+    """60 bits of MD5 of the seed and these columns: a draw that any engine repeats."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def fresh_questions(users: DataFrame, filtered: DataFrame, attempts: DataFrame, k: int, seed: int = 0, excluded: DataFrame | None = None) -> DataFrame:
     """Per user k questions: those never attempted first, then the least and the longest ago attempted, ties by a seeded hash.
 
@@ -97,21 +105,17 @@ def fresh_questions(users: DataFrame, filtered: DataFrame, attempts: DataFrame,
     attempted (and excluded ones less): so each user gets the first k + a + e questions in the user's own cyclic order of a hash-sorted list, where
     a and e count attempted and excluded ones. The order among unattempted questions is that cyclic order.
     """
-    shuffled = filtered.select("question_id", F.xxhash64(F.lit(seed), "question_id").alias("_h"))
-    # Positions without one task for all: a count per hash bucket, then ranks within a bucket.
-    buckets = shuffled.withColumn("_b", F.pmod("_h", F.lit(1024)))
-    offsets = buckets.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_b", F.coalesce("_off", F.lit(0)).alias("_off"))
-    listed = buckets.withColumn("_in", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "question_id")) - 1).join(F.broadcast(offsets), "_b").select("question_id", (F.col("_off") + F.col("_in")).alias("_place"))
+    listed = ranked(filtered.select("question_id", draw(seed, "question_id").alias("_h")), ["_h", "question_id"], "_place").select("question_id", (F.col("_place") - 1).alias("_place"))
     total = filtered.count()
     known = attempts.join(filtered.select("question_id"), "question_id", "left_semi").groupBy("user_id", "question_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_at"))
     out = excluded if excluded is not None else known.select("user_id", "question_id").limit(0)
     spare = known.groupBy("user_id").agg(F.count(F.lit(1)).alias("_a")).join(out.groupBy("user_id").agg(F.count(F.lit(1)).alias("_e")), "user_id", "full")
     want = F.least(F.lit(total), k + F.coalesce("_a", F.lit(0)) + F.coalesce("_e", F.lit(0)))
-    starts = users.select("user_id").distinct().join(spare, "user_id", "left").select("user_id", F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(max(total, 1))).alias("_start"), want.alias("_want")).where("_want > 0")
+    starts = users.select("user_id").distinct().join(spare, "user_id", "left").select("user_id", (draw(seed, "user_id") % F.lit(max(total, 1))).alias("_start"), want.alias("_want")).where("_want > 0")
     offered = starts.select("user_id", "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_want").cast("long") - 1)).alias("_k"))
     offered = offered.select("user_id", "_k", F.pmod(F.col("_start") + F.col("_k"), F.lit(max(total, 1))).alias("_place")).join(listed, "_place").select("user_id", "question_id", "_k")
     fresh = offered.join(known.select("user_id", "question_id"), ["user_id", "question_id"], "left_anti").select("user_id", "question_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast(attempts.schema["created_at"].dataType).alias("last_at"), "_k")
-    both = fresh.unionByName(known.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "user_id", "question_id"), F.lit(1 << 40)))).join(out, ["user_id", "question_id"], "left_anti")
+    both = fresh.unionByName(known.withColumn("_k", draw(seed, "user_id", "question_id") % F.lit(1 << 40))).join(out, ["user_id", "question_id"], "left_anti")
     order = Window.partitionBy("user_id").orderBy("n", F.asc_nulls_first("last_at"), "_k", "question_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("user_id", "question_id", F.col("n").alias("attempts"), "rank")
 

@@ -315,7 +315,9 @@ def set_tags(spark, d):
     return tagging.set_tags(docs, vocabulary, new)[0]
 
 
-@query()
+@query(
+    "WITH g AS (" + _tag_sql(_TAG_TEXT) + """) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_concat([lang], list_filter(string_split(tags, '|'), lambda t: t <> lang))[1:3], '|') ELSE lang || '|' || source END AS tags FROM g JOIN documents USING (doc_id)"""
+)
 def top_up_tags(spark, d):
     rows = table(spark, d, "documents").withColumn("given", F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array(F.col("lang"), F.col("source"))))
     return rows.select("doc_id", F.array_join(tagging.top_up_tags(F.col("given"), tag_text(), F.col("lang")), "|").alias("tags"))
@@ -375,7 +377,7 @@ def told(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "text").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n")))).withColumn("p_partkey", F.col("doc_id") % F.col("n")).join(part, "p_partkey")
     body, first = _told_body()
     exam = F.concat(F.lit("1. Which good has the brand "), F.substring("p_brand", 7, 9), F.lit(" in the list?\nA. "), "p_name", F.lit("\nB. "), F.lower("p_type"), F.lit("\nC. none of them\nAnswer: B"))
-    return docs.select(F.col("doc_id").alias("source_id"), F.concat(F.lit("market of "), "lang").alias("answer"), body.alias("body"), F.ltrim(first).alias("first"), exam.alias("exam"))
+    return docs.select(F.col("doc_id").alias("source_id"), F.concat(F.lit("market of "), "lang").alias("answer"), body.alias("body"), F.ltrim(first).alias("first"), exam.alias("exam"), F.lower("p_type").alias("choice"), "p_name")
 
 
 def _near_bm25_sql(asked: str, index: str, least: float, pairs: str) -> str:
@@ -411,6 +413,32 @@ counts AS (SELECT source_id, coalesce(any_value(tossups), 0) AS tossups, coalesc
   FROM parsed LEFT JOIN kept USING (source_id) GROUP BY 1)"""
 
 
+@query(
+    f"""WITH {_TOLD_SQL.split("bank AS (")[0].rstrip().rstrip(",")}, rows AS (SELECT doc_id AS source_id, 0 AS position, CASE WHEN length(body) > 4000 THEN '{text_functions.TOO_LONG}' END AS reason, answer, 'old ' || choice || '|river goods' AS alternates, 2 AS n_clues FROM told
+    UNION ALL SELECT doc_id, 1, '{text_functions.TOO_SHORT}', NULL, NULL, NULL FROM told)
+    SELECT source_id, position, reason, CASE WHEN reason IS NULL THEN answer END AS answer, CASE WHEN reason IS NULL THEN alternates END AS alternates, CASE WHEN reason IS NULL THEN n_clues ELSE -1 END AS n_clues FROM rows"""
+)
+def parse_tossups_plain(spark, d):
+    """Packets of one tossup, whose answer line has alternates and wraps into the next line, and one multiple-choice question."""
+    line = F.concat(F.lit("\nANSWER: "), "answer", F.lit(" (accept old "), "choice", F.lit(" or\nriver goods; prompt on goods)\n\n"))
+    out = parse.parse_tossups(told(spark, d).select("source_id", F.concat("body", line, "exam").alias("text")))
+    return out.select("source_id", "position", "reason", "answer", F.array_join("alternates", "|").alias("alternates"), F.coalesce(F.size("clues"), F.lit(-1)).alias("n_clues"))
+
+
+@query(
+    f"""WITH {_TOLD_SQL.split("bank AS (")[0].rstrip().rstrip(",")}, p AS (SELECT doc_id AS source_id, stem, choice, p_name, doc_id % 4 AS kind FROM told JOIN w USING (doc_id) JOIN part ON p_partkey = k)
+    SELECT source_id, 1 AS position, CASE kind WHEN 2 THEN 'MCQ answer does not match any option' WHEN 3 THEN 'MCQ stem missing or too short' END AS reason, CASE WHEN kind = 3 THEN 'Which good?' ELSE stem END AS stem,
+    CASE kind WHEN 0 THEN choice WHEN 1 THEN p_name END AS answer, CASE WHEN kind < 2 THEN 3 ELSE -1 END AS n_options FROM p"""
+)
+def parse_mcqs_plain(spark, d):
+    """The same packets; answers by label, by the text of an option in other letters, of no option, and a stem too short."""
+    kind = F.col("source_id") % 4
+    exam = F.when(kind == 3, F.regexp_replace("exam", r"(?m)^1\. .*$", "1. Which good?")).otherwise(F.col("exam"))
+    exam = F.concat(F.regexp_replace(exam, "Answer: B$", "Answer: "), F.when(kind == 1, F.upper("p_name")).when(kind == 2, "something else").otherwise("(B)"))
+    out = parse.parse_mcqs(told(spark, d).select("source_id", F.concat("body", F.lit("\nANSWER: "), "answer", F.lit("\n\n"), exam).alias("text")))
+    return out.select("source_id", "position", "reason", "stem", "answer", F.coalesce(F.size("options"), F.lit(-1)).alias("n_options"))
+
+
 @query(
     with_("sources").replace("WITH", "WITH RECURSIVE") + ", " + _TOLD_SQL
     + """ SELECT s.source_id, CASE WHEN s.status = 'extracted' THEN 'parsed' ELSE s.status END AS status, CASE WHEN s.status <> 'extracted' THEN NULL WHEN kind IN ('packet', 'exam') THEN concat(tossups, ' tossups, ', mcqs, ' mcqs, ', duplicates, ' dupes, ', quarantined, ' quarantined')
@@ -510,7 +538,16 @@ def find_near_duplicates(spark, d):
     return dedup.find_near_duplicates(new, bank, 4.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE cand AS (SELECT doc_id AS c, {norm_sql("source")} AS a, list_filter(string_split({norm_sql("text")}, ' '), lambda x: x <> '') AS toks, list_filter(string_split({norm_sql("text || ' ' || source")}, ' '), lambda x: x <> '') AS l FROM documents),
+    asks AS (SELECT c AS query_id, unnest(terms) AS term FROM (SELECT c, list_distinct(list_filter(toks[1:12], lambda x: length(x) >= 4)) AS terms FROM cand) WHERE len(terms) >= 4),
+    own AS (SELECT doc_id, term, count(*) AS tf, length FROM (SELECT c AS doc_id, unnest(l) AS term, len(l) AS length FROM cand) GROUP BY ALL),
+    edges AS (SELECT query_id, list(doc_id) AS nears FROM ({_near_bm25_sql("asks", "own", 8, "WHERE doc_id < query_id AND EXISTS (SELECT 1 FROM cand x, cand y WHERE x.c = query_id AND y.c = doc_id AND x.a = y.a)")}) GROUP BY 1),
+    line AS (SELECT c, row_number() OVER (ORDER BY c) AS i, coalesce(nears, []) AS nears FROM cand LEFT JOIN edges ON query_id = c),
+    walk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT line.i, CASE WHEN len(list_filter(nears, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, c) ELSE gone END FROM walk JOIN line ON line.i = walk.i + 1),
+    lost AS (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)
+    SELECT c AS question_id, CASE WHEN list_contains(gone, c) THEN list_min(list_filter(nears, lambda x: NOT list_contains(gone, x))) END AS duplicate_of FROM line, lost"""
+)
 def dedup_near(spark, d):
     batch = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.lit("tossup").alias("type"), F.col("source").alias("answer"), F.col("text").alias("body"), F.col("doc_id").alias("position"))
     return dedup.dedup_near(batch).select("question_id", "duplicate_of")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quizloom.functions.web import url_host
 from quizloom.operators import grading, journal, parse
 from quizloom.plans.mapping import attempts, question_tags, questions, sessions, sources, table, with_
+from quizloom.plans.queries_corpus import _html_sql
 from quizloom.plans.queries_practice import _FOLD, _RECURSIVE
 from quizloom.sources import bank
 from quizloom.sources.scratch import scratch_folder
-from quizloom.streaming import jobs
+from quizloom.streaming import inbox, jobs
+from quizloom.streaming.state import lockouts, state_on_disk
 
 QUERIES, ORACLE = {}, {}
 
@@ -193,6 +196,28 @@ def extract_uploads(spark, d):
     return bank.extract_uploads(files, 0).select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("page_id"), "kind", "status")
 
 
+_HOSTS = "regexp_extract({}, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(
+    f"""WITH t AS ({_html_sql()}), items AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN 'file' ELSE 'url' END AS kind, CASE WHEN page_id % 10 = 0 THEN page_id || '.exe' WHEN page_id % 2 = 0 THEN page_id || '.html' ELSE url END AS path_or_url FROM pages),
+    bodies AS (SELECT CASE WHEN page_id % 10 = 0 THEN page_id || '.exe' ELSE page_id || '.html' END AS path_or_url, text FROM t WHERE page_id % 2 = 0 UNION ALL SELECT url, text FROM (SELECT url, arg_max(page_id, html) AS page_id FROM pages GROUP BY 1) JOIN t USING (page_id)),
+    r AS (SELECT kind, path_or_url, CASE WHEN path_or_url LIKE '%.exe' AND kind = 'file' THEN 'unsupported file type exe' WHEN kind = 'url' AND length({_HOSTS.format("path_or_url")}) % 2 = 1 THEN 'host not allowed: ' || {_HOSTS.format("path_or_url")} WHEN length(trim(text)) < 100 THEN 'extracted text too short' END AS detail
+      FROM items JOIN bodies USING (path_or_url))
+    SELECT kind, path_or_url, CASE WHEN detail IS NULL THEN 'done' ELSE 'error' END AS status, detail FROM r"""
+)
+def drain_inbox(spark, d):
+    """Pages in the intake queue: those with even ids as files, the others as links, of which hosts with names of even length are allowed."""
+    pages = table(spark, d, "pages")
+    even, name = F.col("page_id") % 2 == 0, F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 10 == 0, F.concat(name, F.lit(".exe"))).when(even, F.concat(name, F.lit(".html"))).otherwise(F.col("url"))
+    log = scratch_folder(spark, "inbox")
+    inbox.enqueue(pages.select(F.when(even, "file").otherwise("url").alias("kind"), path.alias("path_or_url"), F.lit(None).cast("string").alias("title"), F.octet_length("html").cast("long").alias("bytes")), log, "0")
+    hosts = pages.select(url_host(F.col("url")).alias("host")).distinct().where(F.length("host") % 2 == 0)
+    inbox.drain_inbox(spark, log, "1", pages.where(even).select(path.alias("path"), F.col("html").cast("binary").alias("content")), pages.select("url", "html"), hosts, lambda texts: None)
+    return inbox.states(spark, log).select("kind", "path_or_url", "status", "detail")
+
+
 # Streams ----------------------------------------------------------------------------------------------------------------
 
 
@@ -228,6 +253,20 @@ def stream_lockouts(spark, d):
     return closed.withColumns({"from": F.col("from").cast("timestamp_ntz"), "to": F.col("to").cast("timestamp_ntz")})
 
 
+@query(
+    """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
+    SELECT a.event_id, a.user_id, a.ts, count(*) AS failures FROM e a JOIN e b ON a.user_id = b.user_id AND a.r = b.r AND b.failed AND b.s BETWEEN a.s - 899 AND a.s WHERE a.failed AND a.s + 1 <= epoch((SELECT max(ts) FROM events) - INTERVAL 1 HOUR) GROUP BY ALL HAVING count(*) >= 2"""
+)
+def stream_cleared_lockouts(spark, d):
+    """The lock-outs of failed_attempt_lockouts, successes clearing them, as a stream gives them once the watermark has passed."""
+    found = lockouts(event_stream(spark, d).withColumn("failed", F.col("event_type") == "error"), threshold=2)
+    folder = scratch_folder(spark, "cleared")
+    with state_on_disk(spark):
+        running = found.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(folder).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "failures")
+
+
 @query(
     """SELECT event_id AS attempt_id, user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1000000000 ELSE 0 END AS question_id,
     CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'correct' ELSE 'incorrect' END AS verdict, NULL::INT AS buzz_ordinal, NULL::INT AS clue_count, date_trunc('second', ts) AS created_at FROM events"""

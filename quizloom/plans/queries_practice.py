@@ -98,6 +98,25 @@ def tag_resources(spark, d):
     return practice.tag_resources(langs.select("tag").distinct(), sources(spark, d), langs)
 
 
+@query(
+    f"""WITH areas AS ({ORACLE["weak_areas"]}),
+    named AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('Guide to ', p_type[1], lower(p_type[2:]), ' and ', p_brand) END AS title, 'https://' || source || '.example.org/' || doc_id AS url FROM documents JOIN part ON p_partkey = doc_id % (SELECT count(*) FROM part) WHERE doc_id % 4 < 2),
+    v AS (SELECT DISTINCT p_type AS tag FROM part UNION SELECT DISTINCT p_brand FROM part),
+    found AS (SELECT v.tag, n.url, row_number() OVER (PARTITION BY v.tag ORDER BY n.url, n.source_id) AS rank FROM named n JOIN v ON contains(lower(n.title), lower(v.tag))),
+    listed AS (SELECT tag, string_agg(url, '|' ORDER BY rank) AS resources FROM found WHERE rank <= 3 GROUP BY 1)
+    SELECT areas.*, coalesce(resources, '') AS resources FROM areas LEFT JOIN listed USING (tag)"""
+)
+def weak_area_resources(spark, d):
+    """Weak areas with what to read: sources whose title names the type or brand of a part."""
+    part = table(spark, d, "part")
+    docs = table(spark, d, "documents").select("doc_id", "source").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n")))).where("doc_id % 4 < 2").withColumn("p_partkey", F.col("doc_id") % F.col("n")).join(part, "p_partkey")
+    title = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Guide to "), F.substring("p_type", 1, 1), F.lower(F.substring(F.col("p_type"), F.lit(2), F.length("p_type"))), F.lit(" and "), "p_brand"))
+    named = docs.select(F.col("doc_id").alias("source_id"), title.alias("title"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit("studyguide").alias("kind"), F.lit("parsed").alias("status"))
+    tags = question_tags(spark, d)
+    out = practice.weak_areas_with_resources(attempts(spark, d), tags, named, tags.select(F.col("question_id").alias("source_id"), "tag").limit(0))
+    return out.withColumn("resources", F.array_join(F.transform("resources", lambda r: r["url"]), "|"))
+
+
 _FOLD = """, h AS (SELECT user_id, question_id, verdict, created_at, row_number() OVER (PARTITION BY user_id, question_id ORDER BY created_at, attempt_id) AS n FROM attempts),
 f AS (SELECT user_id, question_id, n, verdict <> 'correct' AS active, CASE WHEN verdict <> 'correct' THEN 1.0 ELSE 0.0 END::DOUBLE AS i, 2.5::DOUBLE AS e, CASE WHEN verdict <> 'correct' THEN 1 ELSE 0 END AS l,
   CASE WHEN verdict <> 'correct' THEN created_at + INTERVAL 1 DAY END AS due FROM h WHERE n = 1
@@ -167,12 +186,29 @@ def count_by_tag(spark, d):
     return review.count_by_tag(review.filter_questions(questions(spark, d), origin="official"), question_tags(spark, d), ["ECONOMY"])
 
 
-@query()
+def _draw_sql(*columns: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '0', {', '.join(columns)})), 1, 15))::BIGINT"
+
+
+_FRESH = f"""total AS (SELECT count(*) AS size FROM questions), listed AS (SELECT question_id, row_number() OVER (ORDER BY {_draw_sql("question_id")}, question_id) - 1 AS place FROM questions),
+known AS (SELECT user_id, question_id, count(*) AS n, max(created_at) AS last_at FROM attempts WHERE question_id IN (SELECT question_id FROM questions) GROUP BY ALL),
+want AS (SELECT user_id, {_draw_sql("user_id")} % size AS start, least(size, 10 + (SELECT count(*) FROM known k WHERE k.user_id = u.user_id)) AS want FROM (SELECT DISTINCT user_id FROM events) u, total),
+offered AS (SELECT user_id, question_id, (place - start + size) % size AS k FROM want, listed, total WHERE (place - start + size) % size < want),
+pool AS (SELECT user_id, question_id, 0 AS n, NULL::TIMESTAMP AS last_at, k FROM offered ANTI JOIN known USING (user_id, question_id) UNION ALL SELECT user_id, question_id, n, last_at, {_draw_sql("user_id", "question_id")} % 1099511627776 FROM known),
+fresh AS (SELECT * FROM (SELECT user_id, question_id, n AS attempts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n, last_at NULLS FIRST, k, question_id) AS INT) AS rank FROM pool) WHERE rank <= 10)"""
+
+
+@query(with_("attempts", "questions") + ", " + _FRESH + " SELECT * FROM fresh")
 def fresh_questions(spark, d):
     return review.fresh_questions(users(spark, d), questions(spark, d), attempts(spark, d), 10)
 
 
-@query()
+@query(
+    _RECURSIVE + _FOLD + ", " + _FRESH
+    + f""", due AS (SELECT user_id, question_id, row_number() OVER (PARTITION BY user_id ORDER BY due_at, question_id) AS rank FROM queue WHERE due_at <= TIMESTAMP '{AS_OF}' AND question_id IN (SELECT question_id FROM questions)),
+    once AS (SELECT user_id, question_id, min((part, rank)) AS o FROM (SELECT user_id, question_id, 0 AS part, rank FROM due UNION ALL SELECT user_id, question_id, 1, rank FROM fresh) GROUP BY ALL)
+    SELECT * FROM (SELECT user_id, question_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY o, question_id) AS INT) AS rank FROM once) WHERE rank <= 10"""
+)
 def next_questions(spark, d):
     q, a = questions(spark, d), attempts(spark, d)
     return review.next_questions("mixed", review.due_questions(review.sm2_schedule(a), q, as_of()), review.fresh_questions(users(spark, d), q, a, 10), 10)

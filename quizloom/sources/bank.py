@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quizloom.functions.web import detect_kind, html_text, page_title
+from quizloom.functions.web import detect_kind, page_title, with_html_text
 
 MOST_BYTES = 64 * 1024 * 1024
 #: The tables of a bank, and their schemas where they are fixed.
@@ -68,8 +68,9 @@ def extract_uploads(files: DataFrame, min_chars: int = 100) -> DataFrame:
     kind = detect_kind(F.col("path"), F.lit(None).cast("string"), F.col("content"))
     body = F.decode("content", "UTF-8")
     rows = files.withColumns({"kind": kind, "_body": F.when(kind.isin("html", "text"), body)})
-    text = F.when(F.col("kind") == "html", html_text(F.col("_body"))).when(F.col("kind") == "text", F.col("_body"))
-    rows = rows.withColumns({"title": F.when(F.col("kind") == "html", page_title(F.col("_body"))), "text": text})
+    rows = rows.withColumns({"title": F.when(F.col("kind") == "html", page_title(F.col("_body"))), "_page": F.when(F.col("kind") == "html", F.col("_body"))})
+    rows = with_html_text(rows.withColumnRenamed("_body", "_plain"), "_page", "_read")
+    rows = rows.withColumn("text", F.when(F.col("kind") == "html", F.col("_read")).when(F.col("kind") == "text", F.col("_plain")))
     detail = (
         F.when(F.col("bytes") > MOST_BYTES, "file too large")
         .when(F.col("text").isNull(), F.concat(F.lit("unsupported kind "), "kind"))

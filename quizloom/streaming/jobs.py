@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quizloom.operators.journal import parse_journal
-from quizloom.operators.review import sm2_schedule
 from quizloom.sources.bank import MOST_BYTES, extract_uploads
+from quizloom.streaming.state import review_schedules, state_on_disk
 
 
 def stream_journal(spark: SparkSession, folder: str, watermark: str = "1 day") -> DataFrame:
@@ -21,23 +21,18 @@ def stream_journal(spark: SparkSession, folder: str, watermark: str = "1 day") -
 
 
 def stream_review_queue(attempts: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep schedules under ``folder``: each micro-batch appends its attempts and folds anew the histories that it touched.
+    """Keep schedules under ``folder``: each pair's attempts are the stream's state, so a micro-batch reads no more than its rows and the pairs that it touches.
 
-    Late attempts are thereby sorted into place, so the schedules equal sm2_schedule() over all attempts, in whatever order they came. The
-    current schedule is the latest version of each pair: read_review_queue().
+    Late and repeated attempts find their place in that state, so the schedules equal sm2_schedule() over all attempts, in whatever order they came.
+    The current schedule is the latest version of each pair: read_review_queue().
     """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.select("user_id", "question_id", "attempt_id", "verdict", "created_at")
-        batch.write.mode("overwrite").parquet(f"{folder}/attempts/epoch={epoch}")  # a repeated epoch replaces itself
-        touched = batch.select("user_id", "question_id").distinct()
-        all_ = spark.read.parquet(f"{folder}/attempts").where(F.col("epoch") <= epoch).drop("epoch").dropDuplicates(["user_id", "question_id", "attempt_id"])
-        now = sm2_schedule(all_.join(touched, ["user_id", "question_id"], "left_semi"))
-        touched.join(now, ["user_id", "question_id"], "left").write.mode("overwrite").parquet(f"{folder}/queue/epoch={epoch}")
-
-    writer = attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/queue/epoch={epoch}")  # a repeated epoch replaces itself
+
+    writer = review_schedules(attempts).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    with state_on_disk(attempts.sparkSession):
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_review_queue(spark: SparkSession, folder: str) -> DataFrame:
