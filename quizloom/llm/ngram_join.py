@@ -447,7 +447,7 @@ LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 26
 
 
 def only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs(doc, _text) whose id is in wanted(doc, d1), with d1.
+    """docs(doc, _text) whose id is in wanted(doc, d1, rep), with d1 and rep; an id with several wanted sets meets each of them.
 
     A bitmap of two hashes of the wanted ids (8 MB at most) lets few others through, so that not all texts are shuffled for the
     exact join behind it. Where ids are too many for it, it lets more through, and the join does more.
@@ -473,7 +473,7 @@ def only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, own): the whole sets of the documents of wanted(doc, d1); of an id's texts the one with this digest."""
+    """(doc, own): under the number rep the whole sets of the documents of wanted(doc, d1, rep); of an id's texts the one with this digest."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -484,7 +484,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 right = np.array([digests(s)[0] == d for s, d in zip(found, d1[a:z].tolist(), strict=True)], bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), _lists(found)], names=["doc", "own"]).filter(pa.array(right))
 
-    return only_wanted(docs, wanted).select("doc", "_text", "d1").mapInArrow(whole, "doc long, own array<long>")
+    return only_wanted(docs, wanted).select("rep", "_text", "d1").mapInArrow(whole, "doc long, own array<long>")
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 75, count_links: bool = True) -> DataFrame:
@@ -493,19 +493,20 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct shingles. class_id
     is the smallest id with the very same set; n_links is the number of all other classes that this class links with; component_id is the smallest id reachable by links. A null or
     blank text has an empty set and is alone. Rows with a null id have n_shingles and null ids. Rows that
-    repeat an id and its text are judged alike. If several different sets have the same smallest id (an id with more than one
-    text), one of them, by digest, takes part in the join and the others are alone. Other columns play no part. An empty
-    table gives an empty result. Shingles and sets are compared by 64-bit and 128-bit hashes.
+    repeat an id and its text are judged alike; an id with more than one text is in the class of each. Other columns play no
+    part. An empty table gives an empty result. Shingles and sets are compared by 64-bit and 128-bit hashes. Ids must be integers
+    (or strings of them): any other type is refused at the call.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "string"):
+        raise TypeError(f"{id_col} must hold integers, not {kind}")
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
     frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, "doc", "_text", shingle_words))
     sets = staged(docs.mapInArrow(_prepare(percent, shingle_words, frequent), f"doc {kind}, size long, d1 long, d2 long, bits binary, prefix array<long>"), "shingles")
-    classes = sets.where("size > 0 and doc is not null").groupBy("d1", "d2", "size").agg(F.min(F.col("doc").cast("long")).alias("rep"))
-    chosen = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2", "size")).alias("c")).select("rep", "c.*")
-    classes = staged(chosen, "classes")
-    one = classes.select(F.col("rep").alias("doc"), "d1", "d2", "size")
-    heads = sets.withColumn("doc", F.col("doc").cast("long")).join(one, ["doc", "d1", "d2", "size"], "left_semi")
+    # A class is told by its set, not by an id: its number is drawn once, with the table, and goes through the join in place of an id.
+    classes = sets.where("size > 0 and doc is not null").groupBy("d1", "d2", "size").agg(F.min(F.col("doc").cast("long")).alias("id"))
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    heads = sets.withColumn("id", F.col("doc").cast("long")).drop("doc").join(classes, ["id", "d1", "d2", "size"]).withColumnRenamed("rep", "doc")
     rows = heads.select(F.explode("prefix").alias("shingle"), "doc", "size").repartition("shingle").sortWithinPartitions("shingle", "doc")
     met = staged(rows.mapInArrow(_meet(percent), "a long, b long, shingle long, size long"), "met")
     maps = heads.select("doc", "bits")
@@ -526,7 +527,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = staged(pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(_possible(percent), "a long, b long").distinct(), "pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(near.select("doc")).distinct()
-    ends = staged(ends.join(classes.select(F.col("rep").alias("doc"), "d1"), "doc"), "ends")
+    ends = staged(ends.join(classes.select(F.col("rep").alias("doc"), "id", "d1"), "doc").select(F.col("id").alias("doc"), "d1", F.col("doc").alias("rep")), "ends")
     own = staged(whole_sets(docs, ends, shingle_words), "sets")
 
     both = pairs.join(own.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(own.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a")
@@ -538,13 +539,15 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = staged(blocks, "block-links")
     joined = components(links.union(blocks.select("low", "rep")))
 
-    classes = classes.join(joined.withColumnRenamed("v", "rep"), "rep", "left")
+    joined = joined.withColumnRenamed("v", "rep")
+    least = joined.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("_least"))
+    classes = classes.join(joined.join(least, "component").select("rep", F.col("_least").alias("component")), "rep", "left")
     if count_links:
         counted = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n")).union(blocks.select("rep", "n"))
         classes = classes.join(counted.groupBy("rep").agg(F.sum("n").alias("n_links")), "rep", "left")
     out = sets.select("doc", "size", "d1", "d2").join(classes, ["d1", "d2", "size"], "left")
     doc = F.col("doc").cast("long")
     return out.select(
-        F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(doc.isNotNull(), F.coalesce("rep", doc)).alias("class_id"),
-        F.when(doc.isNotNull(), F.coalesce("component", "rep", doc)).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
+        F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(doc.isNotNull(), F.coalesce("id", doc)).alias("class_id"),
+        F.when(doc.isNotNull(), F.coalesce("component", "id", doc)).alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
     )

@@ -237,6 +237,31 @@ def test_long_runs_use_trees(spark):
     assert {i: got[i]["component_id"] for i in sets} == brute_components(pairs, list(sets))
 
 
+def test_ids_with_several_texts(spark):
+    """A class is told by its set: identical documents stay linked whatever other texts share their smallest id."""
+    rng = random.Random(11)
+    bases = [prose(rng, 30, [f"v{i}" for i in range(300)]) for _ in range(12)]
+    rows = [(5, bases[0]), (9, bases[0]), (5, bases[1]), (12, bases[1]), (13, bases[1])]
+    for _ in range(200):
+        w = rng.choice(bases).split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((rng.randint(20, 60), " ".join(w)))
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    distinct = sorted(set(sets), key=sorted)
+    number = {s: k for k, s in enumerate(distinct)}
+    linked = brute_components([(a, b) for a in range(len(distinct)) for b in range(a) if 100 * len(distinct[a] & distinct[b]) >= 75 * len(distinct[a] | distinct[b])], range(len(distinct)))
+    least, class_least = {}, {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        least[linked[number[s]]] = min(i, least.get(linked[number[s]], i))
+        class_least[s] = min(i, class_least.get(s, i))
+    want = collections.Counter((i, len(s), class_least[s], least[linked[number[s]]]) for (i, _), s in zip(rows, sets, strict=True))
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"]) for r in out) == want
+    with pytest.raises(TypeError):
+        ngram_join.ngram_jaccard_join(spark.createDataFrame([(1.5, "a")], "doc_id double, text string"))
+
+
 @pytest.mark.parametrize("block_rows", [512, 16])
 def test_all_links_of_long_runs(spark, tmp_path, monkeypatch, block_rows):
     """op9: n_links counts every link, also between texts of one component that meet in long runs only."""

@@ -55,7 +55,7 @@ def token_groups(libraries, text):
 def test_alignment(spark, libraries):
     rng = random.Random(2)
     parts = ["the ", "Über", " naïve", "\n", "\n\n", "  ", "\t", "\r\n", "don't", "<|endoftext|>", "</s>", "<s>", "▁", "中文", "😀", "3.14", "antidisestablishmentarianism", "\x0b", "\0", "ªº²½", "xababab", "　", "İ", "é"]
-    texts = [None, "", " ", "\n", "▁", "a", "ab " * 3000, "xabab" * 400, "é" * 500, *["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(300)], "word " * 100_000]
+    texts = [None, "", " ", "\n", "▁", "a", "ab " * 3000, "xabab" * 400, "é" * 500, *["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(150)], "word " * 20_000]
     texts += ["the same text again"] * 40
     df = spark.createDataFrame([(i if i % 50 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, pairs int").repartition(5)
     groups = [token_groups(libraries, t) for t in texts]
