@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,27 +57,34 @@ def query_terms(body: Column) -> Column:
     return F.array_distinct(F.filter(F.slice(tokens(body), 1, QUERY_WORDS), lambda t: F.length(t) >= LEAST_LETTERS))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = (), above: float | None = None) -> DataFrame:
+def _asked(queries: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, float]:
+    """The words of queries(query_id, terms) with their idf over the whole index, and its mean length."""
+    n, mean = index.select("doc_id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
+    df = index.groupBy("term").agg(F.countDistinct("doc_id").alias("_df"))
+    idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    return queries.select("query_id", *keys, F.explode("terms").alias("term")).join(df, "term").withColumn("_idf", idf).drop("_df"), float(mean or 1.0)
+
+
+def _summed(hits: DataFrame, mean: float) -> DataFrame:
+    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = (), above: float | None = None, among: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of queries(query_id, terms) for all documents that share a term, and the ``keys`` if given.
 
     With ``above`` only the scores beyond it, all of them: a word adds less than its idf times K1 + 1, so the commonest words of a
     query that together cannot pass ``above`` bring no document in; documents meet a query by the others only, and are then scored
-    on all words. The joins are plain equi-joins, which Spark splits where a word is hot.
+    on all words. ``among`` (doc_id) says which documents are met; words and lengths count over all. The joins are plain equi-joins, which Spark splits where a word is hot.
     """
-    stats = index.select("doc_id", "length").distinct().agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_avg"))
-    df = index.groupBy("term").agg(F.countDistinct("doc_id").alias("_df"))
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    asked = queries.select("query_id", *keys, F.explode("terms").alias("term")).join(df, "term").crossJoin(F.broadcast(stats)).withColumn("_idf", idf)
+    asked, mean = _asked(queries, index, list(keys))
+    met_index = index if among is None else index.join(among, "doc_id", "left_semi")
     if above is None:
-        hits = asked.join(index, [*keys, "term"])
-    else:
-        commonest = Window.partitionBy("query_id").orderBy("_idf", "term").rowsBetween(Window.unboundedPreceding, 0)
-        telling = asked.withColumn("_most", F.sum(F.col("_idf") * (K1 + 1)).over(commonest)).where(F.col("_most") > above - 1e-6)
-        met = telling.join(index, [*keys, "term"]).select("query_id", "doc_id").distinct()
-        hits = met.join(asked.drop(*keys), "query_id").join(index.drop(*keys), ["doc_id", "term"])
-    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return scores if above is None else scores.where(F.col("score") > above)
+        return _summed(asked.join(met_index, [*keys, "term"]), mean)
+    commonest = Window.partitionBy("query_id").orderBy("_idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+    telling = asked.withColumn("_most", F.sum(F.col("_idf") * (K1 + 1)).over(commonest)).where(F.col("_most") > above - 1e-6)
+    met = telling.join(met_index, [*keys, "term"]).select("query_id", "doc_id").distinct()
+    return _summed(met.join(asked.drop(*keys), "query_id").join(met_index.drop(*keys), ["doc_id", "term"]), mean).where(F.col("score") > above)
 
 
 def search_bm25(queries: DataFrame, index: DataFrame, k: int = 5, above: float | None = None) -> DataFrame:
@@ -116,38 +124,73 @@ def question_postings(questions: DataFrame) -> DataFrame:
     return build_text_index(questions.select(F.col("question_id").alias("doc_id"), "body", "answer"))
 
 
-def greedy_gone(edges: DataFrame) -> DataFrame:
-    """(question_id, duplicate_of) of edges(question_id, near), near standing before question_id: who goes if each is held against the kept ones before it.
+#: Edges that one task settles; more are first thinned in rounds.
+SETTLED_AT_ONCE = 200_000
+
+
+def _settle(edges: pd.DataFrame) -> pd.DataFrame:
+    """Who goes, by the plain loop in order; edges(question_id, near, _at): near stands before question_id, whose place is _at."""
+    before: dict = {}
+    for q, n, at in zip(edges["question_id"], edges["near"], edges["_at"], strict=True):
+        before.setdefault((at, q), []).append(n)
+    gone: set = set()
+    for (_, q), nears in sorted(before.items()):
+        if any(n not in gone for n in nears):
+            gone.add(q)
+    return pd.DataFrame({"question_id": pd.Series(list(gone), dtype=edges["question_id"].dtype)})
 
-    Settled in rounds, each written to the shared folder: who has no earlier neighbour left stays, and the neighbours behind it go
-    with their edges. The first in order always has none, so every round settles some. duplicate_of is the smallest kept neighbour.
+
+def greedy_gone(edges: DataFrame, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
+    """(question_id, duplicate_of) of edges(question_id, near[, _at]), near standing before question_id, whose place in the order is _at (or its id): who goes if each is held against the kept ones before it.
+
+    Many edges are thinned in rounds, each written to the shared folder: who has no earlier neighbour left stays, and the neighbours behind
+    it go with their edges; in an order that has nothing to do with the edges few rounds do. Once ``at_once`` edges are left at most,
+    one task settles them in order, however long their chains. duplicate_of is the smallest kept neighbour.
     """
-    edges = left = staged(edges, "near")
-    gone = None
-    while not left.isEmpty():
+    edges = left = staged(edges if "_at" in edges.columns else edges.withColumn("_at", F.col("question_id")), "near")
+    kind = edges.schema["question_id"].dataType.simpleString()
+    gone = []
+    while (n := left.count()) > at_once:
         stays = left.select(F.col("near")).distinct().join(left.select(F.col("question_id").alias("near")).distinct(), "near", "left_anti")
         goes = staged(left.join(stays, "near", "left_semi").select("question_id").distinct(), "gone")
-        gone = goes if gone is None else gone.union(goes)
+        gone.append(goes)
         left = staged(left.join(goes, "question_id", "left_anti").join(goes.toDF("near"), "near", "left_anti"), "left")
-    if gone is None:
-        return edges.select("question_id", F.col("near").alias("duplicate_of"))
-    kept = edges.join(gone.toDF("near"), "near", "left_anti")
-    return kept.groupBy("question_id").agg(F.min("near").alias("duplicate_of"))
+    if n:
+        gone.append(staged(left.groupBy().applyInPandas(_settle, f"question_id {kind}"), "gone"))
+    for goes in gone:
+        edges = edges.join(goes.toDF("near"), "near", "left_anti")
+    return edges.groupBy("question_id").agg(F.min("near").alias("duplicate_of"))
 
 
 def dedup_near(batch: DataFrame, min_score: float = 8.0) -> DataFrame:
     """batch(question_id, type, answer, body, position) with duplicate_of: in order of position, each is held against the kept ones before it.
 
     Duplicates share type and answer, so words are joined within such a block only. An id that occurs more than once stands at its
-    first place. Near pairs stay rows of an edge table, so that no block need fit into one task.
+    first place. Copies (equal block, body and answer) whose score against themselves is enough go with the first of them, which alone is
+    held against others: a later copy has the neighbours of the first, and the first besides, so it never stays. Near pairs stay
+    rows of an edge table, so that no block need fit into one task.
     """
     keyed = batch.withColumn("_block", F.concat_ws("|", "type", normalize_answer(F.col("answer"))))
     index = build_text_index(keyed.select(F.col("question_id").alias("doc_id"), "body", "answer")).join(keyed.select(F.col("question_id").alias("doc_id"), "_block"), "doc_id")
+    index = staged(index, "near-index")
     queries = keyed.select(F.col("question_id").alias("query_id"), "_block", query_terms(F.col("body")).alias("terms")).where(F.size("terms") >= LEAST_TERMS)
     place = keyed.groupBy("question_id").agg(F.min(F.struct("position", "question_id")).alias("_p"))
-    scores = bm25_scores(queries, index, ["_block"], min_score)
+
+    text = F.sha2(F.concat_ws("\u0000", "_block", "answer", "body"), 256)
+    classes = staged(keyed.select("question_id", text.alias("_class")).join(place, "question_id"), "near-classes")
+    first = classes.groupBy("_class").agg(F.min("_p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    heads = first.select(F.col("_first.question_id").alias("query_id"), "_class")
+    asked, mean = _asked(queries.join(heads, "query_id", "left_semi"), index, [])
+    own = _summed(asked.join(index.drop("_block").withColumn("query_id", F.col("doc_id")), ["query_id", "term"]), mean).where(F.col("score") > min_score)
+    followers = classes.join(heads.join(own.select("query_id"), "query_id", "left_semi"), "_class").where("question_id != query_id").select("question_id", F.col("query_id").alias("_head")).distinct()
+    followers = staged(followers, "near-copies")
+
+    alone = keyed.select("question_id").distinct().join(followers, "question_id", "left_anti")
+    scores = bm25_scores(queries.join(alone.toDF("query_id"), "query_id", "left_semi"), index, ["_block"], min_score, alone.toDF("doc_id"))
     ordered = scores.join(place.toDF("query_id", "_at"), "query_id").join(place.toDF("doc_id", "_p"), "doc_id").where("_p < _at")
-    return batch.join(greedy_gone(ordered.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("near"))), "question_id", "left")
+    gone = staged(greedy_gone(ordered.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("near"), F.col("_at.position").alias("_at"))), "near-gone")
+    copies = followers.join(gone.select(F.col("question_id").alias("_head"), "duplicate_of"), "_head", "left").select("question_id", F.coalesce("duplicate_of", "_head").alias("duplicate_of"))
+    return batch.join(gone.unionByName(copies), "question_id", "left")
 
 
 def coverage(kept: DataFrame, near: DataFrame, exact: DataFrame) -> DataFrame:

@@ -283,6 +283,23 @@ def stream_journal(spark, d):
     return spark.read.schema(found.schema).parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
+@query("SELECT user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(ts::DATE AS TIMESTAMP) AS started_at, CASE WHEN user_id % 3 <> 0 THEN max(date_trunc('second', ts)) END AS ended_at FROM events GROUP BY user_id, ts::DATE")
+def stream_sessions(spark, d):
+    """Sessions of the journal joined with their ends as two streams; users whose id three divides never end theirs. A beat of a later time lets the watermark pass them all."""
+    day = F.date_format("ts", "yyyyMMdd").cast("long")
+    last = table(spark, d, "events").groupBy((F.col("user_id") * 100_000_000 + day).alias("sessionId"), "user_id").agg(F.max("ts").alias("ts")).where("user_id % 3 != 0")
+    ends = last.select(F.to_json(F.struct(F.lit("session_end").alias("kind"), "sessionId", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("endedAt"))).alias("value"))
+    begun = journal.journal_lines(journal_events(spark, d).where("kind = 'session'"))
+    beat = spark.createDataFrame([('{"kind":"session","sessionId":-1,"userId":0,"startedAt":"2200-01-01"}',), ('{"kind":"session_end","sessionId":-1,"endedAt":"2200-01-01 00:00:00"}',)], "value string")
+    folder = scratch_folder(spark, "sessions")
+    for lines in (ends, begun, begun.limit(100), beat):  # ends come first, and some sessions twice
+        lines.write.mode("append").text(folder)
+    for running in jobs.stream_history(spark, folder, f"{folder}-out", f"{folder}-checkpoint", "60 days"):
+        running.awaitTermination()
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")]
+    return spark.read.schema("session_id long, user_id long, user_name string, format string, filters_json string, started_at timestamp, ended_at timestamp").parquet(f"{folder}-out/sessions").where("session_id > 0").select("session_id", "user_id", *times)
+
+
 @query("SELECT 'questions' AS name, count(*) AS rows FROM part UNION ALL SELECT 'question_tags', count(*) FROM (SELECT p_partkey, p_type FROM part UNION SELECT p_partkey, p_brand FROM part)")
 def publish_snapshot(spark, d):
     """A snapshot without accounts: what of the tables is published, and how many rows."""

@@ -20,6 +20,28 @@ def stream_journal(spark: SparkSession, folder: str, watermark: str = "1 day") -
     return once.select(F.col("attemptId").alias("attempt_id"), F.col("sessionId").alias("session_id"), F.col("userId").alias("user_id"), F.col("questionId").alias("question_id"), "verdict", F.col("buzzClueOrdinal").alias("buzz_ordinal"), F.col("clueCount").alias("clue_count"), "created_at")
 
 
+def stream_sessions(spark: SparkSession, folder: str, watermark: str = "1 day", longest: str = "1 day") -> DataFrame:
+    """Sessions of journal files, each once within the watermark whatever is replayed, with the end that came for them: session_id, user_id, user_name, format, filters_json, started_at, ended_at.
+
+    A join of two streams, sessions and ends, each with its watermark: an end counts if it is at most ``longest`` after the start,
+    and comes before or after it in any order within the watermark. A session without an end is given once the watermark has passed
+    the last that it could have. What has been given stays as it is, so any sink that keeps to epochs holds each session once.
+    """
+    events = parse_journal(spark.readStream.text(folder))
+    begun = events.where("kind = 'session'").withColumn("started_at", F.to_timestamp("startedAt")).withWatermark("started_at", watermark).dropDuplicatesWithinWatermark(["sessionId", "startedAt"])
+    begun = begun.select(F.col("sessionId").alias("session_id"), F.col("userId").alias("user_id"), F.col("userName").alias("user_name"), "format", F.to_json("filters").alias("filters_json"), "started_at")
+    ended = events.where("kind = 'session_end'").withColumn("ended_at", F.to_timestamp("endedAt")).withWatermark("ended_at", watermark).dropDuplicatesWithinWatermark(["sessionId"])
+    ended = ended.select(F.col("sessionId").alias("_of"), "ended_at")
+    within = (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
+    return begun.join(ended, (F.col("session_id") == F.col("_of")) & within, "left_outer").drop("_of")
+
+
+def stream_history(spark: SparkSession, folder: str, out: str, checkpoint: str, watermark: str = "1 day", longest: str = "1 day") -> list[StreamingQuery]:
+    """Keep two tables under ``out`` from the journal, attempts and sessions; the file sink's log counts each epoch once. Runs what is there, then stops."""
+    tables = {"attempts": stream_journal(spark, folder, watermark), "sessions": stream_sessions(spark, folder, watermark, longest)}
+    return [t.writeStream.format("parquet").option("path", f"{out}/{n}").option("checkpointLocation", f"{checkpoint}/{n}").trigger(availableNow=True).start() for n, t in tables.items()]
+
+
 def stream_review_queue(attempts: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Keep schedules under ``folder``: each pair's attempts are the stream's state, so a micro-batch reads no more than its rows and the pairs that it touches.
 

@@ -182,3 +182,29 @@ def test_repeat_of_a_near_duplicate(spark):
     new = dedup.with_fingerprint(spark.createDataFrame(rows, "question_id long, type string, answer string, body string"))
     got = {r["question_id"]: r["duplicate_of"] for r in parse.duplicates_of(new, new.limit(0), TextIndex(spark, scratch_folder(spark, "none"))).collect()}
     assert got == {2: 1, 3: 1}
+
+
+def test_greedy_over_long_chains(spark):
+    """A chain of 10,000 is settled at once; rounds before it give the same choice."""
+    chain = spark.range(1, 10_000).select(F.col("id").alias("question_id"), (F.col("id") - 1).alias("near"))
+    got = dedup.greedy_gone(chain)
+    assert got.agg(F.count("question_id"), F.sum(F.col("question_id") % 2), F.sum(F.col("question_id") - F.col("duplicate_of"))).first() == (5000, 5000, 5000)
+    rng = random.Random(2)
+    edges = sorted({(q, rng.randrange(q)) for q in range(1, 400) for _ in range(2)})
+    gone = {}
+    for q in range(400):
+        kept = [d for e, d in edges if e == q and d not in gone]
+        if kept:
+            gone[q] = min(kept)
+    frame = spark.createDataFrame(edges, "question_id long, near long")
+    assert {r["question_id"]: r["duplicate_of"] for r in dedup.greedy_gone(frame, 300).collect()} == gone
+
+
+def test_copies_are_not_paired(spark):
+    """3,000 copies in one block go with the first of them; what is near to them is held against that one."""
+    body = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
+    rows = [(i, "tossup", "X", body, i) for i in range(3000)] + [(5000, "tossup", "the x", body + " more", 5000), (5001, "tossup", "Y", body, 5001)]
+    rows += [(9000 + i, "tossup", f"z{i}", f"unrelated{i} text{i} about{i} things{i}", 9000 + i) for i in range(4000)]
+    batch = spark.createDataFrame(rows, "question_id long, type string, answer string, body string, position long")
+    gone = {r["question_id"]: r["duplicate_of"] for r in dedup.dedup_near(batch, 1.0).where("duplicate_of is not null").collect()}
+    assert gone == {i: 0 for i in [*range(1, 3000), 5000]}

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quizloom.operators import practice, review
+from quizloom.operators import journal, practice, review
 from quizloom.operators.containment import contained
+from quizloom.sources import bank
 from quizloom.streaming import inbox, jobs
 from quizloom.streaming.state import lockouts, state_on_disk
 
@@ -115,3 +116,34 @@ def test_weak_areas_with_resources(spark):
     given = spark.createDataFrame([(2, "Wars"), (2, "Wars")], "source_id long, tag string")
     got = {r["tag"]: [tuple(x) for x in r["resources"]] for r in practice.weak_areas_with_resources(attempts, tags, sources, given).collect()}
     assert got == {"Wars": [("u0", "u0"), ("All wars", "u1"), ("wars and rules", "u3")], "Art": []}
+
+
+def test_history_in_any_order(spark, tmp_path):
+    """Sessions, ends and attempts of a shuffled and repeated journal equal the batch replay."""
+    rng = random.Random(4)
+    lines = []
+    for s in range(40):
+        day = f"2026-03-{s % 20 + 1:02}"
+        lines.append(f'{{"kind":"session","sessionId":{s},"userId":{s % 5},"userName":"u{s % 5}","format":"tossup","startedAt":"{day} 10:00:{s:02}"}}')
+        lines += [f'{{"kind":"attempt","attemptId":{s * 10 + k},"sessionId":{s},"userId":{s % 5},"questionId":{k},"verdict":"correct","createdAt":"{day} 10:{k:02}:00"}}' for k in range(5)]
+        if s % 4:
+            lines.append(f'{{"kind":"session_end","sessionId":{s},"endedAt":"{day} 11:00:00"}}')
+    journal_rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    again = lines + rng.sample(lines, 80) + ["{broken", " "]
+    rng.shuffle(again)
+    folder = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame([(x,) for x in again[k::3]], "value string").coalesce(1).write.mode("append").text(folder)
+    beat = ['{"kind":"session","sessionId":-1,"userId":0,"startedAt":"2200-01-01"}', '{"kind":"session_end","sessionId":-1,"endedAt":"2200-01-01 00:00:00"}']
+    spark.createDataFrame([(x,) for x in beat], "value string").coalesce(1).write.mode("append").text(folder)
+    for _ in range(2):  # the second start finds nothing new
+        for running in jobs.stream_history(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp"), "60 days"):
+            running.awaitTermination()
+    empty = [spark.createDataFrame([], bank.SCHEMAS[n]) for n in ("users", "sessions", "attempts")]
+    replay = journal.restore(journal.parse_journal(journal_rows), *empty, spark.range(5).withColumnRenamed("id", "question_id"))
+    want = {(r["started_at"], r["ended_at"]) for r in replay["sessions"].collect()}
+    got = {(r["session_id"], str(r["started_at"]), str(r["ended_at"]) if r["ended_at"] else None) for r in spark.read.parquet(str(tmp_path / "out/sessions")).where("session_id >= 0").collect()}
+    assert {x[1:] for x in got} == want and len(got) == len(want) == 40
+    assert spark.read.parquet(str(tmp_path / "out/sessions")).where("session_id >= 0").count() == 40
+    taken = spark.read.parquet(str(tmp_path / "out/attempts"))
+    assert taken.count() == 200 and taken.select("attempt_id").distinct().count() == 200
