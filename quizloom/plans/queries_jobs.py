@@ -283,7 +283,7 @@ def stream_journal(spark, d):
     return spark.read.schema(found.schema).parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@query("SELECT user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(ts::DATE AS TIMESTAMP) AS started_at, CASE WHEN user_id % 3 <> 0 THEN max(date_trunc('second', ts)) END AS ended_at FROM events GROUP BY user_id, ts::DATE")
+@query("SELECT user_id * 100000000 + CAST(strftime(day, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(day AS TIMESTAMP) AS started_at, CASE WHEN user_id % 3 <> 0 THEN max(date_trunc('second', ts)) END AS ended_at FROM (SELECT user_id, ts, ts::DATE AS day FROM events) GROUP BY user_id, day")
 def stream_sessions(spark, d):
     """Sessions of the journal joined with their ends as two streams; users whose id three divides never end theirs. A beat of a later time lets the watermark pass them all."""
     day = F.date_format("ts", "yyyyMMdd").cast("long")
