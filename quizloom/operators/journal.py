@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizloom.operators.ranks import ranked
+from quizloom.operators.review import rebuild_review_queue
 from quizloom.sources.scratch import staged
 
 EVENT = (
@@ -112,8 +113,12 @@ def apply_session_ends(sessions: DataFrame, events: DataFrame, session_map: Data
     return sessions.join(ends, "session_id", "left").withColumn("ended_at", F.coalesce("ended_at", "_end")).drop("_end")
 
 
-def restore(events: DataFrame, users: DataFrame, sessions: DataFrame, attempts: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
-    """The replayed tables, and a report of one row; none of the bank's tables is written, so it is a dry run until the caller writes them."""
+def restore(events: DataFrame, users: DataFrame, sessions: DataFrame, attempts: DataFrame, questions: DataFrame, review_queue: DataFrame | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
+    """The replayed tables, and a report of one row; none of the bank's tables is written here.
+
+    review_queue: the old one (if given) and an entry for each pair whose latest attempt is a miss; ``queued`` in the report counts the
+    new entries. A dry run has no attempts to look at, so it computes no queue and ``queued`` is null.
+    """
     events = staged(events.drop("line"), "events")  # each of these is read several times
     people = staged(resolve_users(events, users), "people")
     mapped = staged(resolve_sessions(events, sessions, people), "mapped")
@@ -122,13 +127,20 @@ def restore(events: DataFrame, users: DataFrame, sessions: DataFrame, attempts:
     new_sessions = mapped.where("added").select("session_id", "started_at", "format", "filters_json", "user_id", F.lit(None).cast("string").alias("ended_at")).distinct()
     all_sessions = apply_session_ends(sessions.unionByName(new_sessions, allowMissingColumns=True), events, mapped)
     all_attempts = attempts.unionByName(outcomes.where("outcome = 'added'").drop("outcome", "journal_attempt"), allowMissingColumns=True)
+    out = {"users": users.unionByName(new_users, allowMissingColumns=True), "sessions": all_sessions, "attempts": all_attempts}
+    queued = None
+    if not dry_run:
+        timed = all_attempts.drop("user_id").join(all_sessions.select("session_id", "user_id"), "session_id").withColumn("created_at", F.to_timestamp("created_at"))
+        new = staged(rebuild_review_queue(timed, review_queue), "queue")
+        out["review_queue"] = new if review_queue is None else review_queue.unionByName(new, allowMissingColumns=True)
+        queued = new.agg(F.count(F.lit(1)).alias("queued"))
     report = (
         outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(f"attempts_{o}") for o in ("added", "skipped", "orphan")])
         .crossJoin(mapped.agg(F.countDistinct(F.when(F.col("added"), F.col("session_id"))).alias("sessions_added"), F.countDistinct(F.when(~F.col("added"), F.col("session_id"))).alias("sessions_skipped")))
         .crossJoin(new_users.agg(F.count(F.lit(1)).alias("users_added")))
         .crossJoin(events.agg(F.count_if(F.col("kind").isNull()).alias("malformed"), F.count_if(F.col("kind") == "session_end").alias("ended")))
     )
-    return {"users": users.unionByName(new_users, allowMissingColumns=True), "sessions": all_sessions, "attempts": all_attempts, "report": report}
+    return {**out, "report": report.withColumn("queued", F.lit(None).cast("long")) if queued is None else report.crossJoin(queued)}
 
 
 def history_diff(events: DataFrame, sessions: DataFrame, attempts: DataFrame) -> DataFrame:

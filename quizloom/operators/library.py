@@ -69,8 +69,10 @@ def valid_transition(old, new):
 
 
 def crawl_counts(sources: DataFrame) -> DataFrame:
-    s = F.col("status")
-    return sources.agg(F.count_if(s.isin("fetched", "extracted", "parsed")).alias("fetched"), F.count_if(s == "robots_denied").alias("denied"), F.count_if(s == "error").alias("errors"), F.count_if(s == "pending").alias("queued"))
+    """How many sources are fetched, of these from the cache (from_cache, where there is such a column), denied, in error and still queued."""
+    s, got = F.col("status"), F.col("status").isin("fetched", "extracted", "parsed")
+    cached = F.count_if(got & F.coalesce("from_cache", F.lit(False))) if "from_cache" in sources.columns else F.lit(0).cast("long")
+    return sources.agg(F.count_if(got).alias("fetched"), cached.alias("cached"), F.count_if(s == "robots_denied").alias("denied"), F.count_if(s == "error").alias("errors"), F.count_if(s == "pending").alias("queued"))
 
 
 def bank_counts(questions: DataFrame) -> DataFrame:

@@ -65,7 +65,9 @@ _REPLAY = """WITH a AS (SELECT 'user ' || (user_id % 120) AS u, ts::DATE AS day,
 @query(
     _REPLAY
     + """ SELECT (SELECT count(*) FROM (SELECT DISTINCT u, day, q, t FROM a WHERE q IN (SELECT p_partkey FROM part))) AS attempts_added, (SELECT count(*) FROM a WHERE q IN (SELECT p_partkey FROM part)) - (SELECT count(*) FROM (SELECT DISTINCT u, day, q, t FROM a WHERE q IN (SELECT p_partkey FROM part))) AS attempts_skipped,
-    (SELECT count(*) FROM a WHERE q NOT IN (SELECT p_partkey FROM part)) AS attempts_orphan, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_added, 0 AS sessions_skipped, (SELECT count(DISTINCT u) FROM a) AS users_added, (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended"""
+    (SELECT count(*) FROM a WHERE q NOT IN (SELECT p_partkey FROM part)) AS attempts_orphan, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_added, 0 AS sessions_skipped, (SELECT count(DISTINCT u) FROM a) AS users_added, (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended,
+    (SELECT count(*) FROM (SELECT arg_max(v, t) AS last FROM (SELECT u, q, t, arg_min(event_type IN ('purchase', 'click', 'signup'), event_id) AS v FROM (SELECT *, 'user ' || (user_id % 120) AS u, CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1000000000 ELSE 0 END AS q, date_trunc('second', ts) AS t FROM events)
+      WHERE q IN (SELECT p_partkey FROM part) GROUP BY u, q, t) GROUP BY u, q) WHERE NOT last) AS queued"""
 )
 def restore_report(spark, d):
     return journal.restore(journal_events(spark, d), *empty_tables(spark), questions(spark, d))["report"]
@@ -74,7 +76,7 @@ def restore_report(spark, d):
 @query(
     _REPLAY
     + """ SELECT 0 AS attempts_added, (SELECT count(*) FROM a WHERE q IN (SELECT p_partkey FROM part)) AS attempts_skipped, (SELECT count(*) FROM a WHERE q NOT IN (SELECT p_partkey FROM part)) AS attempts_orphan, 0 AS sessions_added, (SELECT count(DISTINCT (u, day)) FROM a) AS sessions_skipped, 0 AS users_added,
-    (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended"""
+    (SELECT count(DISTINCT user_id) FROM events) AS malformed, 0 AS ended, 0 AS queued"""
 )
 def restore_again(spark, d):
     """A second replay into the tables that a first one made: it adds nothing."""
@@ -83,7 +85,7 @@ def restore_again(spark, d):
     events, q = staged(journal_events(spark, d), "journal"), questions(spark, d)
     first = journal.restore(events, *empty_tables(spark), q)
     held = [staged(first[n], n) for n in ("users", "sessions", "attempts")]
-    return journal.restore(events, *held, q)["report"]
+    return journal.restore(events, *held, q, staged(first["review_queue"], "review_queue"))["report"]
 
 
 @query("SELECT 'sessions' AS name, count(DISTINCT (user_id, ts::DATE)) AS journal, count(DISTINCT (user_id, ts::DATE)) AS tables FROM events UNION ALL SELECT 'attempts', count(*), count(*) FROM events")
