@@ -9,14 +9,21 @@ from quizloom.functions.text import collapse_spaces, fold_accents
 
 ARTICLES = ["the", "a", "an"]
 # Words that say what kind of thing an answer is, not which one.
-GENERIC = (
-    "empire kingdom dynasty republic confederacy federation war battle siege treaty act amendment doctrine plan city town river mountain mount sea ocean lake island "
-    "president king queen emperor empress tsar czar sultan pharaoh general admiral prime minister chancellor pope saint st sir lord dr mr mrs states state province "
-    "movement revolution period era age dispute crisis of and or de la le el von van"
-).split()
+GENERIC = [
+    "empire", "kingdom", "dynasty", "republic", "confederacy", "federation", "war", "battle", "siege", "treaty", "act", "amendment", "doctrine", "plan",
+    "city", "town", "river", "mountain", "mount", "sea", "ocean", "lake", "island", "president", "king", "queen", "emperor", "empress", "tsar", "czar",
+    "sultan", "pharaoh", "general", "admiral", "prime", "minister", "chancellor", "pope", "saint", "st", "sir", "lord", "dr", "mr", "mrs", "states",
+    "state", "province", "movement", "revolution", "period", "era", "age", "dispute", "crisis", "of", "and", "or", "de", "la", "le", "el", "von", "van",
+]
 # Number words, cardinal and ordinal, from 1 to 20.
-_CARDINALS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-_ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
+_CARDINALS = [
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty",
+]
+_ORDINALS = [
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth",
+    "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
+]
 ROMAN = "^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 

@@ -13,10 +13,12 @@ from quizloom.operators.ranks import ranked
 DIFFICULTIES = ("elementary", "middle", "high", "open")
 SLICE = 5
 # Words that no study topic begins with, words of competitions, and words of page furniture.
-STOP_WORDS = (
-    "the this that these those there then they their however additionally during after before while although welcome dear other many most some both each also for from with "
-    "when where which who what his her its one two first second third part topics history middle high school please see note and but not"
-).split()
+STOP_WORDS = [
+    "the", "this", "that", "these", "those", "there", "then", "they", "their", "however", "additionally", "during", "after", "before", "while",
+    "although", "welcome", "dear", "other", "many", "most", "some", "both", "each", "also", "for", "from", "with", "when", "where", "which", "who",
+    "what", "his", "her", "its", "one", "two", "first", "second", "third", "part", "topics", "history", "middle", "high", "school", "please", "see",
+    "note", "and", "but", "not",
+]
 ORGANISATION = r"(?i)\b(bee|bowl|olympiad|iac|ihbb|academic|competitions?|tournament|regional|nationals?|championships?|qualifier|round|packet|guide|set|junior|varsity|worldwide|events?|online|website|email|register)\b"
 FURNITURE = r"(?i)\b(chapter|part \d|study guide|see also|page|www\.|http|tournament|competitors?|students?|coaches|division|the following|etc)\b|[?!:;]"
 CONNECTORS = "of|the|and|de|von|van"
