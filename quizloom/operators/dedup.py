@@ -40,11 +40,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normalize_answer(text), " "), lambda t: t != "")
 
 
-def build_text_index(documents: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, length) of documents(doc_id, body[, answer])."""
+def build_text_index(documents: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, term, tf, length) of documents(doc_id, body[, answer]), and the columns to ``keep``.
+
+    Words are counted where the document is: sorted, equal ones stand together, and the places where they begin tell how often each
+    is there. So nothing is shuffled. Ids are expected once; a repeated one gives its rows each time.
+    """
     text = F.concat_ws(" ", "body", "answer") if "answer" in documents.columns else F.col("body")
-    words = documents.select("doc_id", tokens(text).alias("_t")).select("doc_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    return words.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "length")
+    words = documents.select("doc_id", *keep, F.array_sort(tokens(text)).alias("_t")).withColumn("length", F.size("_t")).where("length > 0")
+    places = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", F.greatest(i - 1, F.lit(0)))))
+    words = words.withColumn("_at", places)
+    found = F.transform("_at", lambda i, k: F.struct(F.get("_t", i).alias("term"), (F.coalesce(F.get("_at", k + 1), F.col("length")) - i).cast("long").alias("tf")))
+    return words.select("doc_id", *keep, "length", F.inline(found)).select("doc_id", "term", "tf", "length", *keep)
 
 
 def index_parity(documents: DataFrame, index: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def query_terms(body: Column) -> Column:
 def _asked(queries: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, float]:
     """The words of queries(query_id, terms) with their idf over the whole index, and its mean length."""
     n, mean = index.select("doc_id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
-    df = index.groupBy("term").agg(F.countDistinct("doc_id").alias("_df"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # a document has one row a word
     idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     return queries.select("query_id", *keys, F.explode("terms").alias("term")).join(df, "term").withColumn("_idf", idf).drop("_df"), float(mean or 1.0)
 
@@ -70,21 +77,23 @@ def _summed(hits: DataFrame, mean: float) -> DataFrame:
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = (), above: float | None = None, among: DataFrame | None = None) -> DataFrame:
+def bm25_scores(queries: DataFrame, index: DataFrame, keys: list[str] = (), above: float | None = None, without: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of queries(query_id, terms) for all documents that share a term, and the ``keys`` if given.
 
     With ``above`` only the scores beyond it, all of them: a word adds less than its idf times K1 + 1, so the commonest words of a
     query that together cannot pass ``above`` bring no document in; documents meet a query by the others only, and are then scored
-    on all words. ``among`` (doc_id) says which documents are met; words and lengths count over all. The joins are plain equi-joins, which Spark splits where a word is hot.
+    on all words. Documents of ``without`` (doc_id) are not met; words and lengths count over all. The joins are plain equi-joins, which Spark splits where a word is hot.
     """
     asked, mean = _asked(queries, index, list(keys))
-    met_index = index if among is None else index.join(among, "doc_id", "left_semi")
+    met_index = index if without is None else index.join(without, "doc_id", "left_anti")
     if above is None:
         return _summed(asked.join(met_index, [*keys, "term"]), mean)
     commonest = Window.partitionBy("query_id").orderBy("_idf", "term").rowsBetween(Window.unboundedPreceding, 0)
     telling = asked.withColumn("_most", F.sum(F.col("_idf") * (K1 + 1)).over(commonest)).where(F.col("_most") > above - 1e-6)
-    met = telling.join(met_index, [*keys, "term"]).select("query_id", "doc_id").distinct()
-    return _summed(met.join(asked.drop(*keys), "query_id").join(met_index.drop(*keys), ["doc_id", "term"]), mean).where(F.col("score") > above)
+    met = staged(telling.join(met_index, [*keys, "term"]).select("query_id", "doc_id").distinct(), "met")
+    # Of the index only documents that are met go on; their list is a table of known size, so Spark sees whether to send it or to shuffle.
+    words = met_index.drop(*keys).join(staged(met.select("doc_id").distinct(), "met-documents"), "doc_id", "left_semi")
+    return _summed(met.join(asked.drop(*keys), "query_id").join(words, ["doc_id", "term"]), mean).where(F.col("score") > above)
 
 
 def search_bm25(queries: DataFrame, index: DataFrame, k: int = 5, above: float | None = None) -> DataFrame:
@@ -171,22 +180,22 @@ def dedup_near(batch: DataFrame, min_score: float = 8.0) -> DataFrame:
     rows of an edge table, so that no block need fit into one task.
     """
     keyed = batch.withColumn("_block", F.concat_ws("|", "type", normalize_answer(F.col("answer"))))
-    index = build_text_index(keyed.select(F.col("question_id").alias("doc_id"), "body", "answer")).join(keyed.select(F.col("question_id").alias("doc_id"), "_block"), "doc_id")
-    index = staged(index, "near-index")
+    index = staged(build_text_index(keyed.select(F.col("question_id").alias("doc_id"), "body", "answer", "_block"), ["_block"]), "near-index")
     queries = keyed.select(F.col("question_id").alias("query_id"), "_block", query_terms(F.col("body")).alias("terms")).where(F.size("terms") >= LEAST_TERMS)
     place = keyed.groupBy("question_id").agg(F.min(F.struct("position", "question_id")).alias("_p"))
 
     text = F.sha2(F.concat_ws("\u0000", "_block", "answer", "body"), 256)
     classes = staged(keyed.select("question_id", text.alias("_class")).join(place, "question_id"), "near-classes")
     first = classes.groupBy("_class").agg(F.min("_p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    heads = first.select(F.col("_first.question_id").alias("query_id"), "_class")
+    heads = staged(first.select(F.col("_first.question_id").alias("query_id"), "_class"), "near-heads")
     asked, mean = _asked(queries.join(heads, "query_id", "left_semi"), index, [])
-    own = _summed(asked.join(index.drop("_block").withColumn("query_id", F.col("doc_id")), ["query_id", "term"]), mean).where(F.col("score") > min_score)
+    theirs = index.drop("_block").join(heads.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumn("query_id", F.col("doc_id"))
+    own = _summed(asked.join(theirs, ["query_id", "term"]), mean).where(F.col("score") > min_score)
     followers = classes.join(heads.join(own.select("query_id"), "query_id", "left_semi"), "_class").where("question_id != query_id").select("question_id", F.col("query_id").alias("_head")).distinct()
     followers = staged(followers, "near-copies")
 
-    alone = keyed.select("question_id").distinct().join(followers, "question_id", "left_anti")
-    scores = bm25_scores(queries.join(alone.toDF("query_id"), "query_id", "left_semi"), index, ["_block"], min_score, alone.toDF("doc_id"))
+    copies = followers.select("question_id")
+    scores = bm25_scores(queries.join(copies.toDF("query_id"), "query_id", "left_anti"), index, ["_block"], min_score, copies.toDF("doc_id"))
     ordered = scores.join(place.toDF("query_id", "_at"), "query_id").join(place.toDF("doc_id", "_p"), "doc_id").where("_p < _at")
     gone = staged(greedy_gone(ordered.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("near"), F.col("_at.position").alias("_at"))), "near-gone")
     copies = followers.join(gone.select(F.col("question_id").alias("_head"), "duplicate_of"), "_head", "left").select("question_id", F.coalesce("duplicate_of", "_head").alias("duplicate_of"))
