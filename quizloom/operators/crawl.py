@@ -65,9 +65,11 @@ def crawl_frontier(links: DataFrame, sources: DataFrame, seeds: DataFrame, *, ma
 def fetch_schedule(frontier: DataFrame, policy: DataFrame) -> DataFrame:
     """The frontier with the earliest second at which each URL may be fetched: hosts side by side, each at its own pace.
 
-    policy(host, delay_s) is a table of hosts, joined as its size allows.
+    Rows that tie in all of these (a URL that is there twice) go by the frontier's further columns. policy(host, delay_s) is a table
+    of hosts, joined as its size allows.
     """
-    turn = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("is_document"), "depth", "url"))
+    further = [F.col(f"`{c}`") for c in frontier.columns if c not in ("host", "is_document", "depth", "url")]
+    turn = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("is_document"), "depth", "url", *further))
     rows = frontier.withColumn("_turn", turn).join(policy.select("host", "delay_s"), "host", "left")
     return rows.withColumn("earliest_s", (F.col("_turn") - 1) * F.coalesce("delay_s", F.lit(DEFAULT_DELAY))).drop("_turn", "delay_s")
 
