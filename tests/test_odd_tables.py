@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from quizloom.functions import text
 from quizloom.plans import queries_corpus, queries_jobs
 
 duckdb = pytest.importorskip("duckdb")
@@ -30,3 +31,14 @@ def test_fetch_schedule_of_repeated_urls(spark, tmp_path):
     found = agree(spark, tmp_path, queries_corpus, "fetch_schedule", {"pages": df})
     at = {r[1]: float(r[-1]) for r in found}  # host, page_id, .., earliest_s
     assert at["21"] < at["42"] < at["63"] < at["84"] and at["3"] < at["9"]
+
+
+def test_tossups_of_odd_texts(spark, tmp_path):
+    """Texts too short for a question, bonus rounds, texts of no Latin letter, blank ones, and a document without an answer."""
+    texts = ["De a.", "", None, "Вода 12", "bonus", "Bonus round of the town", "bonuses are no bonus " * 3, "ANSWER the town", "word " * 796, "word " * 797, "word " * 900, "a b c d e", "x"]
+    docs = [(n, t, "en") for n, t in enumerate(texts)] + [(50, "A text without an answer " * 4, None)]
+    # Brands and types so short that a body of few words falls under the least length.
+    parts = [(n, "hot bolt", f"Brand#{n % 12}", "LARGE" if n % 2 else "ECONOMY") for n in range(60)]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string, lang string"), "part": spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string")}
+    reasons = [r[2] for r in agree(spark, tmp_path, queries_corpus, "parse_tossups_plain", tables) if r[1] == "0"]
+    assert {"None", text.TOO_SHORT, text.TOO_LONG, text.BONUS} == set(reasons)
