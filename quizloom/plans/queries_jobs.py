@@ -271,10 +271,11 @@ def stream_cleared_lockouts(spark, d):
 
 @query(
     """SELECT event_id AS attempt_id, user_id * 100000000 + CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1000000000 ELSE 0 END AS question_id,
-    CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'correct' ELSE 'incorrect' END AS verdict, NULL::INT AS buzz_ordinal, NULL::INT AS clue_count, date_trunc('second', ts) AS created_at FROM events"""
+    CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'correct' ELSE 'incorrect' END AS verdict, NULL::INT AS buzz_ordinal, NULL::INT AS clue_count, date_trunc('second', ts) AS created_at FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('second', ts), CAST(json_extract(props, '$.k') AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1000000000 ELSE 0 END ORDER BY event_id) = 1"""
 )
 def stream_journal(spark, d):
-    """The journal of ``events``, written as text and read back as a stream: each attempt once."""
+    """The journal of ``events``, written as text and read back as a stream: each attempt once, a session's attempts at one question in one second being one, that with the smallest id."""
     folder = scratch_folder(spark, "journal")
     lines = journal.journal_lines(journal_events(spark, d).where("kind is not null"))
     lines.write.mode("append").text(folder)
@@ -282,7 +283,7 @@ def stream_journal(spark, d):
     found = jobs.stream_journal(spark, folder, "60 days")
     out = f"{folder}-out"
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return jobs.settled_attempts(spark.read.schema(found.schema).parquet(out)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id * 100000000 + CAST(strftime(day, '%Y%m%d') AS BIGINT) AS session_id, user_id, CAST(day AS TIMESTAMP) AS started_at, CASE WHEN user_id % 3 <> 0 THEN max(date_trunc('second', ts)) END AS ended_at FROM (SELECT user_id, ts, ts::DATE AS day FROM events) GROUP BY user_id, day")

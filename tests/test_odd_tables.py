@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from quizloom.functions import text
 from quizloom.plans import queries_corpus, queries_jobs
@@ -42,3 +43,13 @@ def test_tossups_of_odd_texts(spark, tmp_path):
     tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string, lang string"), "part": spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string")}
     reasons = [r[2] for r in agree(spark, tmp_path, queries_corpus, "parse_tossups_plain", tables) if r[1] == "0"]
     assert {"None", text.TOO_SHORT, text.TOO_LONG, text.BONUS} == set(reasons)
+
+
+def test_journal_of_attempts_in_one_second(spark, tmp_path):
+    """Attempts of one user at one question in one second are one attempt, that with the smallest id, whatever is read first."""
+    at = datetime.datetime(2024, 1, 1, 10, 0, 0)
+    kinds = ["error", "purchase", "view", "signup"]
+    rows = [(n, at + datetime.timedelta(seconds=n % 3, milliseconds=n), n % 2, kinds[n % 4], 1.0, '{"k": %d}' % (n % 5)) for n in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = agree(spark, tmp_path, queries_jobs, "stream_journal", {"events": df.orderBy(F.desc("event_id")).coalesce(1)})
+    assert 30 <= len(found) < 200
