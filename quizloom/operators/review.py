@@ -11,8 +11,9 @@ MISSES = ("incorrect", "timeout")
 FIRST_EASE, LEAST_EASE, MOST_EASE, LONGEST = 2.5, 1.3, 3.0, 180.0
 
 
-def review_step(state: Column, attempt: Column) -> Column:
-    """The schedule entry after one more attempt: struct(active, interval, ease, lapses, due)."""
+def review_step(state: Column, attempt: Column, day: Column | None = None) -> Column:
+    """The schedule entry after one more attempt: struct(active, interval, ease, lapses, due); ``day`` is one in the unit of the attempt's time, if that is a number."""
+    day = F.expr("INTERVAL '1' DAY") if day is None else day
     missed = attempt["verdict"].isin(*MISSES)
     grown = F.least(F.lit(LONGEST), F.greatest(F.lit(1.0), F.floor(state["interval"] * state["ease"] + 0.5).cast("double")))
     done = state["active"] & ~missed & (grown >= LONGEST)
@@ -21,7 +22,7 @@ def review_step(state: Column, attempt: Column) -> Column:
     lapses = F.when(missed & ~state["active"], 1).when(missed, state["lapses"] + 1).otherwise(state["lapses"])
     active = (missed | state["active"]) & ~done
     touched = missed | state["active"]
-    due = F.when(touched, attempt["at"] + interval.cast("int") * F.expr("INTERVAL '1' DAY")).otherwise(state["due"])
+    due = F.when(touched, attempt["at"] + interval.cast("int") * day).otherwise(state["due"])
     return F.struct(active.alias("active"), interval.alias("interval"), ease.alias("ease"), lapses.cast("int").alias("lapses"), due.alias("due"))
 
 
@@ -32,7 +33,7 @@ def sm2_schedule(attempts: DataFrame) -> DataFrame:
     """
     history = F.array_sort(F.collect_list(F.struct(F.col("created_at").alias("at"), F.col("attempt_id").alias("id"), F.col("verdict"))))
     start = F.struct(F.lit(False).alias("active"), F.lit(0.0).alias("interval"), F.lit(FIRST_EASE).alias("ease"), F.lit(0).alias("lapses"), F.lit(None).cast(attempts.schema["created_at"].dataType).alias("due"))
-    folded = attempts.groupBy("user_id", "question_id").agg(history.alias("_h")).withColumn("_s", F.aggregate("_h", start, review_step))
+    folded = attempts.groupBy("user_id", "question_id").agg(history.alias("_h")).withColumn("_s", F.aggregate("_h", start, lambda s, a: review_step(s, a)))
     return folded.where("_s.active").select("user_id", "question_id", F.col("_s.interval").alias("interval_days"), F.round("_s.ease", 6).alias("ease"), F.col("_s.lapses").alias("lapses"), F.col("_s.due").alias("due_at"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import text
 from quizloom.plans import queries_corpus, queries_jobs
+from quizloom.streaming.state import review_schedules
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -53,3 +54,11 @@ def test_journal_of_attempts_in_one_second(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     found = agree(spark, tmp_path, queries_jobs, "stream_journal", {"events": df.orderBy(F.desc("event_id")).coalesce(1)})
     assert 30 <= len(found) < 200
+
+
+def test_schedules_need_no_python(spark, tmp_path):
+    """Each of many pairs with few attempts cost calls to a Python worker before; now none is started for them."""
+    df = spark.createDataFrame([(1, 2, 3, "error", datetime.datetime(2024, 1, 1))], "user_id long, question_id long, attempt_id long, verdict string, created_at timestamp")
+    df.write.parquet(f"{tmp_path}/in")
+    plan = review_schedules(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "TransformWithState" not in plan
