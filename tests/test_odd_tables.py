@@ -1,6 +1,7 @@
 """Queries against their SQL twins on small tables with ties, blanks and repeats, which the given tables lack."""
 
 import datetime
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,15 @@ def test_schedules_need_no_python(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     plan = review_schedules(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
     assert "Python" not in plan and "TransformWithState" not in plan
+
+
+def test_accents_of_every_character(spark):
+    """Each character of Unicode, alone and in texts of many, as Python decomposes it; no Python worker takes texts any more."""
+    chars = [chr(n) for n in (*range(1, 0xD800), *range(0xE000, 0x110000))]
+    few = [chars[k : k + 97] for k in range(0, len(chars), 97) if k < 0x3400 or 0xA000 <= k < 0x20000 or k % 40 == 0]
+    rows = ["é ö̧", *("x".join(f) for f in few), *(c for f in few for c in f[:1])]
+    df = spark.createDataFrame([(n, r) for n, r in enumerate(rows)], "n int, t string")
+    found = df.select("t", text.fold_accents(F.col("t")).alias("bare"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert [(r["t"], r["bare"]) for r in found.collect() if r["bare"] != strip(r["t"])] == []
