@@ -208,3 +208,38 @@ def test_copies_are_not_paired(spark):
     batch = spark.createDataFrame(rows, "question_id long, type string, answer string, body string, position long")
     gone = {r["question_id"]: r["duplicate_of"] for r in dedup.dedup_near(batch, 1.0).where("duplicate_of is not null").collect()}
     assert gone == {i: 0 for i in [*range(1, 3000), 5000]}
+
+
+def test_near_choice_in_chunks(spark):
+    """Chunks of any size give the choice of the plain loop, also where places run against ids; the whole vocabulary counts, asked or not."""
+    rng = random.Random(7)
+    vocabulary = [f"word{i:03}" for i in range(120)]
+    rows = []
+    for i in range(260):
+        said = rows[rng.randrange(len(rows))][3].split()[:14] if rows and rng.random() < 0.3 else rng.sample(vocabulary, 14)
+        rows.append((i, "tossup", f"answer {i % 3}", " ".join([*rng.sample(said, 14), *rng.sample(vocabulary, rng.randrange(30))]), (i * 101) % 260))
+    batch = spark.createDataFrame(rows, "question_id long, type string, answer string, body string, position long").cache()
+    postings = dedup.build_text_index(batch.select(F.col("question_id").alias("doc_id"), "body", "answer"))
+    near = {}
+    for r in dedup.bm25_scores(dedup.near_queries(batch), postings).where("score > 14").collect():
+        near.setdefault(r["query_id"], set()).add(r["doc_id"])
+    at, kind, gone = {r[0]: r[4] for r in rows}, {r[0]: r[2] for r in rows}, {}
+    for q in sorted(at, key=at.get):
+        kept = [d for d in near.get(q, ()) if at[d] < at[q] and kind[d] == kind[q] and d not in gone]
+        if kept:
+            gone[q] = min(kept)
+    assert 20 < len(gone) < 240
+    for chunk in (50, 4096):
+        assert {r["question_id"]: r["duplicate_of"] for r in dedup.dedup_near(batch, 14.0, chunk).where("duplicate_of is not null").collect()} == gone
+
+
+def test_near_pairs_with_kept_questions_only(spark, monkeypatch):
+    """900 near copies in one block: the first of them meets the rest, which then meet each other no more."""
+    rows = [(i, "tossup", "X", f"alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima end{i}", i) for i in range(900)]
+    rows += [(9000 + i, "tossup", f"z{i}", f"unrelated{i} text{i} about{i} things{i}", 9000 + i) for i in range(900)]
+    batch = spark.createDataFrame(rows, "question_id long, type string, answer string, body string, position long")
+    made, plain = [], dedup._near_pairs
+    monkeypatch.setattr(dedup, "_near_pairs", lambda *args: made.append(plain(*args)) or made[-1])
+    gone = {r["question_id"]: r["duplicate_of"] for r in dedup.dedup_near(batch, 1.0, 200).where("duplicate_of is not null").collect()}
+    assert gone == {i: 0 for i in range(1, 900)}
+    assert sum(p.count() for p in made) <= 200 * 199 / 2 + 900
