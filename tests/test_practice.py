@@ -200,3 +200,10 @@ def test_scores_beyond_a_bound_are_all_found(spark):
         got = {(r["query_id"], r["doc_id"]): r["score"] for r in dedup.bm25_scores(queries, index, above=above).collect()}
         want = {k: v for k, v in every.items() if v > above}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_ladder_runs_behind_the_shuffle(spark):
+    """Pairs that come in one task are dealt by their key before the costly ladder, and not once more."""
+    pairs = spark.createDataFrame([(1, "a", "b", ["c"])], "attempt_id long, response string, answer string, alternates array<string>").coalesce(1)
+    plan = grading.judge_offline(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("levenshtein") < plan.index("Exchange")
