@@ -23,9 +23,10 @@ FIRST_USER = 1
 
 def parse_journal(lines: DataFrame) -> DataFrame:
     """lines(value) as events; blank lines are left out, malformed ones (no object, no known kind) have a null kind and keep their text."""
-    parsed = lines.where(F.trim("value") != "").select(F.col("value").alias("line"), F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
-    known = F.coalesce(F.col("e.kind").isin(*KINDS), F.lit(False))
-    fields = [F.when(known, F.col(f"e.{f.name}")).alias(f.name) for f in parsed.schema["e"].dataType.fields]
+    # What inline() gives is not written out again in a filter on it, so each line is parsed once.
+    parsed = lines.where(F.trim("value") != "").select(F.col("value").alias("line"), F.inline(F.array(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}))))
+    known = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
+    fields = [F.when(known, F.col(c)).alias(c) for c in parsed.columns if c != "line"]
     return parsed.select("line", *fields)
 
 
@@ -57,7 +58,8 @@ def resolve_users(events: DataFrame, users: DataFrame) -> DataFrame:
     users(user_id, name). Names new to the table get the next ids in the order of their names.
     """
     seen = events.where("kind = 'session'").groupBy("userId").agg(F.min_by("userName", F.struct("startedAt", "sessionId")).alias("name"))
-    seen = seen.select(F.col("userId").alias("journal_user"), F.nullif(F.trim("name"), F.lit("")).alias("name"), F.lower(F.trim("name")).alias("_low"))
+    # Read twice below; the journal behind it is not.
+    seen = staged(seen.select(F.col("userId").alias("journal_user"), F.nullif(F.trim("name"), F.lit("")).alias("name"), F.lower(F.trim("name")).alias("_low")), "seen")
     held = users.groupBy(F.lower("name").alias("_low")).agg(F.min("user_id").alias("_id"))
     most = users.agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("_most"))
     new = seen.where("name is not null").select("_low").distinct().join(held, "_low", "left_anti")
@@ -79,6 +81,7 @@ def resolve_sessions(events: DataFrame, sessions: DataFrame, user_map: DataFrame
     """
     own = events.where("kind = 'session'").join(user_map.select("journal_user", "user_id"), F.col("userId").eqNullSafe(F.col("journal_user")), "left")
     own = own.select(F.col("sessionId").alias("journal_session"), *session_key(), F.coalesce("user_id", F.lit(FIRST_USER)).alias("user_id")).distinct()
+    own = staged(own, "own")
     keys = ["started_at", "format", "filters_json", "user_id"]
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     on = same[0] & same[1] & same[2] & same[3]

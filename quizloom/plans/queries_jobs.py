@@ -10,7 +10,7 @@ from quizloom.plans.mapping import attempts, question_tags, questions, sessions,
 from quizloom.plans.queries_corpus import _html_sql
 from quizloom.plans.queries_practice import _FOLD, _RECURSIVE
 from quizloom.sources import bank
-from quizloom.sources.scratch import scratch_folder
+from quizloom.sources.scratch import scratch_folder, staged
 from quizloom.streaming import inbox, jobs
 from quizloom.streaming.state import lockouts, state_on_disk
 
@@ -36,9 +36,12 @@ def journal_events(spark, d):
     day = F.date_format("ts", "yyyyMMdd").cast("long")
     session = F.col("user_id") * 100_000_000 + day
     opened = e.select(session.alias("sessionId"), F.col("user_id").alias("userId"), F.concat(F.lit("user "), (F.col("user_id") % 120).cast("string")).alias("userName"), F.date_format("ts", "yyyy-MM-dd").alias("startedAt")).distinct()
-    opened = opened.select(F.to_json(F.struct(F.lit("session").alias("kind"), "sessionId", "userId", "userName", F.lit("tossup").alias("format"), F.lit("official").alias("origin"), F.struct(F.array(F.lit("t")).alias("tags"), F.lit("mixed").alias("mode")).alias("filters"), "startedAt")).alias("value"))
+    # What explode() gives is not written out again in filters on it, below a shuffle too: each line is written once.
+    line = lambda event: F.explode(F.array(F.to_json(event))).alias("value")
+    opened = opened.select(line(F.struct(F.lit("session").alias("kind"), "sessionId", "userId", "userName", F.lit("tossup").alias("format"), F.lit("official").alias("origin"), F.struct(F.array(F.lit("t")).alias("tags"), F.lit("mixed").alias("mode")).alias("filters"), "startedAt")))
     verdict = F.when(F.col("event_type").isin("purchase", "click", "signup"), "correct").otherwise("incorrect")
-    done = e.select(F.to_json(F.struct(F.lit("attempt").alias("kind"), F.col("event_id").alias("attemptId"), session.alias("sessionId"), F.col("user_id").alias("userId"), (F.get_json_object("props", "$.k").cast("long") + F.when(F.col("event_type") == "signup", 1_000_000_000).otherwise(0)).alias("questionId"), verdict.alias("verdict"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("createdAt"))).alias("value"))
+    # One task may read the whole file; lines are written and parsed by all of them.
+    done = e.select("event_id", "user_id", "ts", "event_type", "props").repartition("event_id").select(line(F.struct(F.lit("attempt").alias("kind"), F.col("event_id").alias("attemptId"), session.alias("sessionId"), F.col("user_id").alias("userId"), (F.get_json_object("props", "$.k").cast("long") + F.when(F.col("event_type") == "signup", 1_000_000_000).otherwise(0)).alias("questionId"), verdict.alias("verdict"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("createdAt"))))
     broken = e.select("user_id").distinct().select(F.concat(F.lit('{"kind":"attempt","attemptId":'), F.col("user_id").cast("string")).alias("value"))
     blank = broken.select(F.lit("  ").alias("value"))
     return journal.parse_journal(opened.union(done).union(broken).union(blank))
@@ -80,8 +83,6 @@ def restore_report(spark, d):
 )
 def restore_again(spark, d):
     """A second replay into the tables that a first one made: it adds nothing."""
-    from quizloom.sources.scratch import staged
-
     events, q = staged(journal_events(spark, d), "journal"), questions(spark, d)
     first = journal.restore(events, *empty_tables(spark), q)
     held = [staged(first[n], n) for n in ("users", "sessions", "attempts")]
@@ -115,8 +116,9 @@ def resolve_sessions(spark, d):
     SELECT 'added' AS outcome, count(*) AS attempts FROM n UNION ALL SELECT 'skipped', sum(n - 1)::BIGINT FROM n HAVING sum(n - 1) > 0 UNION ALL SELECT 'orphan', count(*) FROM k WHERE lost HAVING count(*) > 0"""
 )
 def restore_attempts(spark, d):
-    events, (users, held, done) = journal_events(spark, d), empty_tables(spark)
-    mapped = journal.resolve_sessions(events, held, journal.resolve_users(events, users))
+    events, (users, held, done) = staged(journal_events(spark, d).drop("line"), "journal"), empty_tables(spark)
+    people = staged(journal.resolve_users(events, users), "people")
+    mapped = staged(journal.resolve_sessions(events, held, people), "mapped")
     out = journal.restore_attempts(events, done, mapped, questions(spark, d))
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("attempts"))
 

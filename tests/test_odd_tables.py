@@ -75,3 +75,24 @@ def test_accents_of_every_character(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
     strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     assert [(r["t"], r["bare"]) for r in found.collect() if r["bare"] != strip(r["t"])] == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _journal_tables(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 10, 0, 0)
+    rows = [(n, at + datetime.timedelta(hours=n % 50, seconds=n % 7), n % 9, ["error", "purchase", "view", "signup"][n % 4], 1.0, '{"k": %d}' % (n % 5)) for n in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    parts = spark.createDataFrame([(n, "hot bolt", "Brand#1", "LARGE", 1, 1.0) for n in range(4)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    return {"events": events, "part": parts}
+
+
+def test_restored_attempts_read_the_journal_once(spark, tmp_path):
+    """Filters on a line's fields wrote the parse out again, and each step went back to the whole journal."""
+    found = agree(spark, tmp_path, queries_jobs, "restore_attempts", _journal_tables(spark, tmp_path))
+    assert {"added", "orphan"} <= {r[0] for r in found}
+    plan = _plan(queries_jobs.journal_events(spark, str(tmp_path)).where("kind = 'attempt'").select("questionId"))
+    assert plan.count("from_json") <= 4  # there are four kinds of lines
+    assert "from_json" not in _plan(queries_jobs.restore_attempts(spark, str(tmp_path)))
