@@ -103,8 +103,8 @@ def history_by_profile(spark, d):
 @query("SELECT 'user ' || (user_id % 120) AS profile, strftime(ts, '%Y-%m-%d') AS started_at, count(DISTINCT user_id) AS journal_sessions FROM events GROUP BY 1, 2")
 def resolve_sessions(spark, d):
     """How many of the journal's sessions come to be one: same profile, day, format and filters."""
-    events, (users, held, _) = journal_events(spark, d), empty_tables(spark)
-    people = journal.resolve_users(events, users)
+    events, (users, held, _) = staged(journal_events(spark, d).where("kind = 'session'").drop("line"), "sessions"), empty_tables(spark)
+    people = staged(journal.resolve_users(events, users), "people")
     mapped = journal.resolve_sessions(events, held, people)
     names = people.select("user_id", F.col("name").alias("profile")).distinct()
     return mapped.join(names, "user_id").groupBy("profile", "started_at", "session_id").agg(F.count(F.lit(1)).alias("journal_sessions")).drop("session_id")

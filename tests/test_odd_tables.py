@@ -96,3 +96,9 @@ def test_restored_attempts_read_the_journal_once(spark, tmp_path):
     plan = _plan(queries_jobs.journal_events(spark, str(tmp_path)).where("kind = 'attempt'").select("questionId"))
     assert plan.count("from_json") <= 4  # there are four kinds of lines
     assert "from_json" not in _plan(queries_jobs.restore_attempts(spark, str(tmp_path)))
+
+
+def test_resolved_sessions_read_the_journal_once(spark, tmp_path):
+    """Sessions are a small part of the journal, which each of four joins read and parsed."""
+    assert len(agree(spark, tmp_path, queries_jobs, "resolve_sessions", _journal_tables(spark, tmp_path))) > 9
+    assert "from_json" not in _plan(queries_jobs.resolve_sessions(spark, str(tmp_path)))
