@@ -83,7 +83,7 @@ def restore_report(spark, d):
 )
 def restore_again(spark, d):
     """A second replay into the tables that a first one made: it adds nothing."""
-    events, q = staged(journal_events(spark, d), "journal"), questions(spark, d)
+    events, q = staged(journal_events(spark, d).drop("line"), "journal"), questions(spark, d)
     first = journal.restore(events, *empty_tables(spark), q)
     held = [staged(first[n], n) for n in ("users", "sessions", "attempts")]
     return journal.restore(events, *held, q, staged(first["review_queue"], "review_queue"))["report"]

@@ -1,6 +1,7 @@
 """Queries against their SQL twins on small tables with ties, blanks and repeats, which the given tables lack."""
 
 import datetime
+import glob
 import unicodedata
 
 import pytest
@@ -102,3 +103,11 @@ def test_resolved_sessions_read_the_journal_once(spark, tmp_path):
     """Sessions are a small part of the journal, which each of four joins read and parsed."""
     assert len(agree(spark, tmp_path, queries_jobs, "resolve_sessions", _journal_tables(spark, tmp_path))) > 9
     assert "from_json" not in _plan(queries_jobs.resolve_sessions(spark, str(tmp_path)))
+
+
+def test_replayed_journal_is_kept_without_its_text(spark, tmp_path):
+    """The replays read fields only; the lines' text was written and read with them."""
+    before = set(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/journal-*"))
+    agree(spark, tmp_path, queries_jobs, "restore_again", _journal_tables(spark, tmp_path))
+    (made,) = set(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/journal-*")) - before
+    assert "line" not in spark.read.parquet(made).columns
