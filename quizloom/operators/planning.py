@@ -184,14 +184,15 @@ def study_topics(texts: DataFrame, limit: int = 4000, include_prose: bool = Fals
     ``include_prose`` adds runs of two capitalised words or more outside bullets.
     """
     tidy = lambda t: F.regexp_replace(collapse_spaces(t), r"^[ \-–•.,]+|[ \-–•.,]+$", "")
-    lines = texts.select("source_id", F.posexplode(F.split("text", r"\n")).alias("line", "_l")).withColumn("_l", F.trim("_l"))
-    bullets = lines.where(F.col("_l").rlike("^[-•–]")).select("source_id", "line", F.posexplode(F.split("_l", r"(?:^|\s)[-•–]\s+")).alias("pos", "_t"))
+    # What is exploded is trimmed and tidied before: a filter on it then names a value, where it would compute it each time that it names it.
+    lines = texts.select("source_id", F.posexplode(F.transform(F.split("text", r"\n"), lambda t: F.trim(t))).alias("line", "_l"))
+    bullets = lines.where(F.col("_l").rlike("^[-•–]")).select("source_id", "line", F.posexplode(F.transform(F.split("_l", r"(?:^|\s)[-•–]\s+"), tidy)).alias("pos", "topic"))
     found = bullets
     if include_prose:
         run = rf"\b[A-Z][a-zA-Z'\-]{{2,}}(?:\s+(?:{CONNECTORS})\s+[A-Z][a-zA-Z'\-]{{2,}}|\s+[A-Z][a-zA-Z'\-]{{2,}}){{1,3}}\b"
-        prose = lines.where(~F.col("_l").rlike("^[-•–]")).select("source_id", "line", F.posexplode(F.regexp_extract_all("_l", F.lit(run), F.lit(0))).alias("pos", "_t"))
+        prose = lines.where(~F.col("_l").rlike("^[-•–]")).select("source_id", "line", F.posexplode(F.transform(F.regexp_extract_all("_l", F.lit(run), F.lit(0)), tidy)).alias("pos", "topic"))
         found = found.unionByName(prose)
-    topics = found.select(tidy(F.col("_t")).alias("topic"), "source_id", "line", "pos").where(topic_ok(F.col("topic")))
+    topics = found.select("topic", "source_id", "line", "pos").where(topic_ok(F.col("topic")))
     first = topics.groupBy("topic").agg(F.min(F.struct("source_id", "line", "pos")).alias("_f")).select("topic", "_f.*")
     return first.orderBy("source_id", "line", "pos", "topic").limit(limit)
 

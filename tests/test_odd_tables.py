@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizloom.functions import text
+from quizloom.operators import planning
 from quizloom.plans import queries_corpus, queries_jobs
 from quizloom.streaming.state import review_schedules
 
@@ -111,3 +112,15 @@ def test_replayed_journal_is_kept_without_its_text(spark, tmp_path):
     agree(spark, tmp_path, queries_jobs, "restore_again", _journal_tables(spark, tmp_path))
     (made,) = set(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/journal-*")) - before
     assert "line" not in spark.read.parquet(made).columns
+
+
+def test_study_topics_tidy_each_phrase_once(spark, tmp_path):
+    """Each test of a phrase tidied it anew, and guides were searched by the tasks that read the file; two parts of one name are one topic."""
+    parts = [(n, ["hot bolt", "blue ring", "the end", "x"][n % 4], f"Brand#{n}", ["LARGE", "ECONOMY"][n % 2]) for n in range(40)]
+    df = spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string")
+    texts = spark.createDataFrame([(1, "-  Hot   Bolt, - Blue Ring -\n\n• The End\n– Roman Empire – of the 2nd Kind\nplain - Line"), (2, None), (3, "- Roman Empire\n-")], "source_id long, text string")
+    found = planning.study_topics(texts)
+    assert [tuple(r) for r in found.collect()] == [("Hot Bolt", 1, 0, 1), ("Blue Ring", 1, 0, 2), ("Roman Empire", 1, 3, 1)]
+    assert _plan(found).count("regexp_replace") <= 8
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    assert "RepartitionByExpression" in _plan(queries_corpus.study_topics(spark, str(tmp_path)))
