@@ -46,6 +46,25 @@ def test_lockouts_with_clearing(spark, tmp_path):
     assert got == want and len(want) > 20
 
 
+def test_lockouts_of_many_users_in_one_bucket(spark, tmp_path):
+    """Users whose ids are texts, one without, share two buckets over many micro-batches; some rows come twice. State is read and written by bucket, not by user."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "c", "d", None]), n, 1_700_000_000.0 + n * 20 + rng.randint(0, 900), rng.random() < 0.8) for n in range(900)]
+    df = spark.createDataFrame(rows, "user_id string, event_id long, s double, failed boolean").withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    last = spark.createDataFrame([("z", 5000, 1_700_100_000.0, False)], "user_id string, event_id long, s double, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
+    for k in range(6):
+        part = df.where(f"event_id div 150 = {k}").orderBy("s")
+        part.unionByName(part.where("event_id % 7 = 0")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last.drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    found = lockouts(spark.readStream.schema(df.drop("s").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), threshold=8, watermark="1 hour", buckets=2)
+    with state_on_disk(spark):
+        running = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    got = sorted((r["event_id"], r["failures"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted((r["event_id"], r["failures"]) for r in practice.failed_attempt_lockouts(df.drop("s").fillna("none", "user_id")).collect())
+    assert got == want and len(want) > 20
+
+
 def page(n):
     return "<html><title>T</title><body>" + f"word{n} " * 60 + "</body></html>"
 
