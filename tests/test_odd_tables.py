@@ -79,6 +79,27 @@ def test_accents_of_every_character(spark):
     assert [(r["t"], r["bare"]) for r in found.collect() if r["bare"] != strip(r["t"])] == []
 
 
+def _tables_with_articles(spark):
+    """Texts of nothing but articles, and such that begin with thousands of them; some are equal behind them."""
+    words = "alpha river copper seven winter garden marble lantern orbit velvet thunder meadow quartz harbor".split()
+    said = lambda n, k: " ".join(words[i % len(words)] + chr(97 + n) for i in range(k))
+    docs = [(n, ("The " * 3000 if n % 4 == 0 else "a, AN é " if n % 4 == 1 else "") + said(n % 7, 14 + n % 3), "en", f"s{n % 2}", 0) for n in range(24)]
+    docs += [(24, "a an the " * 1500, "en", "s0", 0), (25, "The " * 4000, "en", "s1", 0)]
+    bank = [(n, ("The " * 3000 if n % 2 else "") + said(n, 15)) for n in range(9)]
+    parts = [(n, "hot bolt", f"Brand#{n % 12}", "LARGE" if n % 2 else "ECONOMY") for n in range(30)]
+    labels = [(n, n % 2, int(n % 9 == 0)) for n in range(0, 26, 3)]
+    return {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "benchmark": spark.createDataFrame(bank, "item_id long, text string"),
+        "part": spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string"), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    }
+
+
+@pytest.mark.parametrize("name", ["normalize_answer"])
+def test_texts_of_many_articles(spark, tmp_path, name):
+    """Some 800 articles at the beginning of a text ended the executor that brought it into its normal form."""
+    assert agree(spark, tmp_path, queries_corpus, name, _tables_with_articles(spark))
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

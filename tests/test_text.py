@@ -48,6 +48,14 @@ def test_normal_forms(spark):
     assert len(one(spark, text.fingerprint(F.col("t"), F.col("t")), t="x")) == 64
 
 
+def test_normal_form_of_many_articles(spark):
+    """Each article of a run took frames of the stack; some 800 of them ended the executor."""
+    for n in (1, 2, 30_000):
+        assert one(spark, text.normalize_answer(F.col("t")), t="The a, AN " * n + "é the end") == "e the end"
+        assert one(spark, text.normalize_answer(F.col("t")), t="the " * n) == ""
+        assert one(spark, text.normalize_answer(F.col("t")), t="a " * n + "ant") == "ant"
+
+
 def test_difficulty(spark):
     f = text.difficulty_hint(F.col("u"), F.lit(None).cast("string"), "archive.example.org")
     cases = {
