@@ -1,7 +1,10 @@
 """The word index, dense numbers, and the parse job that uses both."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,23 @@ def test_many_queries_go_to_shards_of_documents(corpus, monkeypatch, k, above):
     assert found(dedup.search_bm25(queries, both, k, above)) == want
 
 
+def test_shards_are_plain_numbers():
+    """Postings came as arrays, three for each block, most of them of one posting; a shard's worker held several hundred bytes a posting."""
+    rng = np.random.default_rng(5)
+    n = 200_000
+    held = pd.DataFrame({"_no": rng.integers(0, 5000, n), "doc_id": rng.integers(0, 8000, n), "_part": rng.random(n)}).drop_duplicates(["_no", "doc_id"])
+    queries = pd.DataFrame({"query_id": np.arange(50), "_nos": [rng.choice(6000, 8, replace=False) for _ in range(50)]})
+    tracemalloc.start()
+    got = index._best((0, 0), held, queries, 3, 0.5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120 * n
+    for q, nos in zip(queries["query_id"], queries["_nos"], strict=True):
+        sums = held[held["_no"].isin(nos)].groupby("doc_id")["_part"].sum()
+        want = sorted(sums[sums > 0.5].items(), key=lambda x: (-round(x[1], 6), x[0]))[:3]
+        assert sorted(got[got["query_id"] == q]["doc_id"]) == sorted(d for d, _ in want)
+
+
 def test_search_of_nothing(spark, corpus):
     docs, postings, queries = corpus
     assert dedup.search_bm25(queries, postings.limit(0)).count() == 0 and dedup.search_bm25(queries.limit(0), postings).count() == 0

@@ -94,7 +94,7 @@ def _tables_with_articles(spark):
     }
 
 
-@pytest.mark.parametrize("name", ["normalize_answer", "bm25_top5", "find_near_duplicates", "fingerprint_dedup", "fingerprint_dedup_incremental", "near_duplicates", "dedup_near"])
+@pytest.mark.parametrize("name", ["normalize_answer", "bm25_top5", "find_near_duplicates", "fingerprint_dedup", "fingerprint_dedup_incremental", "near_duplicates", "dedup_near", "parse_pipeline"])
 def test_texts_of_many_articles(spark, tmp_path, name):
     """Some 800 articles at the beginning of a text ended the executor that brought it into its normal form."""
     assert agree(spark, tmp_path, queries_corpus, name, _tables_with_articles(spark))
